@@ -103,7 +103,7 @@ def impute(df: DataFrame, plan: dict[str, str] | None = None) -> DataFrame:
     plan = fill_plan(df) if plan is None else plan
     cols: dict[str, Column] = {}
     medians = [c for c, rule in plan.items() if rule == "median"]
-    fitted = quantiles(ranked_values(df, medians), {"median": 0.5}) if medians else None
+    fitted = one_struct(quantiles(ranked_values(df, medians), {"median": 0.5}), medians, "median") if medians else None
     for c, rule in plan.items():
         if rule == "text":
             cols[c] = F.coalesce(F.col(c), F.lit(TEXT_FILL))
@@ -112,12 +112,18 @@ def impute(df: DataFrame, plan: dict[str, str] | None = None) -> DataFrame:
         elif rule == "zero":
             cols[c] = F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType))
         elif rule == "median":
-            cols[c] = F.coalesce(F.col(c), fitted.filter(F.col("name") == c).select("median").scalar())
+            cols[c] = F.coalesce(F.col(c), fitted[c])
         elif rule == "mode":
             cols[c] = F.coalesce(F.col(c), most_frequent(df, c).scalar())
     return df.withColumns(cols)
 
 
+def one_struct(named: DataFrame, names: list[str], value: str) -> Column:
+    """A scalar subquery holding ``value`` of every name as one struct, so it is computed once."""
+    row = named.agg(*[F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in names])
+    return row.select(F.struct(*names)).scalar()
+
+
 def most_frequent(df: DataFrame, column: str) -> DataFrame:
     """One-row frame with the most frequent value; the smallest value wins a tie."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
@@ -166,10 +172,10 @@ def winsorize(df: DataFrame, caps: dict[str, int] = WINSOR_CAPS) -> DataFrame:
     names = [c for c in caps if c in df.columns]
     if not names:
         return df
-    fitted = winsor_caps(df, caps)
+    fitted = one_struct(winsor_caps(df, caps), names, "cap")
     cols = {}
     for c in names:
-        cap = fitted.filter(F.col("name") == c).select("cap").scalar()
+        cap = fitted[c]
         cols[c] = F.when(F.col(c) > cap, cap.cast("int")).otherwise(F.col(c))
     return df.withColumns(cols)
 

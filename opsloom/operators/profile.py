@@ -273,13 +273,14 @@ def spearman_pairs(df: DataFrame, columns: list[str], rows_per_bucket: int = ROW
         F.count(F.lit(1)).alias("w")
     )
     edges = range_edges(combos, columns, rows_per_bucket)
+    ranked = combos
     for c in columns:
         counts = with_bucket(combos.groupBy(c).agg(F.sum("w").alias("cnt")), c, edges[c], "bucket").withColumn("k", F.lit(0))
         rank = running_totals(counts, ["k"], c, ["cnt"]).select(
             c, (F.col("cnt_before") + (F.col("cnt") + 1) / 2 - (F.col("cnt_total") + 1) / 2).alias(f"r_{c}")
         )
-        combos = combos.join(rank, c)
-    one = combos.agg(*[
+        ranked = ranked.join(rank, c)
+    one = ranked.agg(*[
         weighted_corr(F.col(f"r_{a}"), F.col(f"r_{b}"), F.col("w")).alias(f"{a}|{b}") for a, b in _pairs(columns)
     ])
     return rows_of(one, [
