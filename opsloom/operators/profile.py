@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from opsloom.functions.order_stats import ROWS_PER_BUCKET, quantiles, ranked_values, running_totals, range_edges, weighted_corr, with_bucket
+from opsloom.functions.order_stats import ROWS_PER_BUCKET, average_rank, quantiles, ranked_values, running_totals, range_edges, weighted_corr, with_bucket
 from opsloom.operators.text import (
     TOKEN_BUDGET, char_count, normalize, tokens_by_chars, tokens_by_chars_int, tokens_by_words, word_count,
 )
@@ -273,13 +273,17 @@ def spearman_pairs(df: DataFrame, columns: list[str], rows_per_bucket: int = ROW
         F.count(F.lit(1)).alias("w")
     )
     edges = range_edges(combos, columns, rows_per_bucket)
-    ranked = combos
     for c in columns:
-        counts = with_bucket(combos.groupBy(c).agg(F.sum("w").alias("cnt")), c, edges[c], "bucket").withColumn("k", F.lit(0))
-        rank = running_totals(counts, ["k"], c, ["cnt"]).select(
-            c, (F.col("cnt_before") + (F.col("cnt") + 1) / 2 - (F.col("cnt_total") + 1) / 2).alias(f"r_{c}")
-        )
-        ranked = ranked.join(rank, c)
+        combos = with_bucket(combos, c, edges[c], f"__b_{c}")
+    cells = [F.struct(F.lit(c).alias("name"), F.col(f"__b_{c}").alias("bucket"), F.col(c).alias("value")) for c in columns]
+    long = combos.select(F.struct(*columns).alias("combo"), "w", F.inline(F.array(*cells)))
+    counts = long.groupBy("name", "bucket", "value").agg(F.sum("w").alias("cnt"))
+    ranks = running_totals(counts, ["name"], "value", ["cnt"]).select(
+        "name", "value", (average_rank() - (F.col("cnt_total") + 1) / 2).alias("r")
+    )
+    ranked = long.join(ranks, ["name", "value"]).groupBy("combo", "w").agg(
+        *[F.max(F.when(F.col("name") == c, F.col("r"))).alias(f"r_{c}") for c in columns]
+    )
     one = ranked.agg(*[
         weighted_corr(F.col(f"r_{a}"), F.col(f"r_{b}"), F.col("w")).alias(f"{a}|{b}") for a, b in _pairs(columns)
     ])

@@ -74,10 +74,9 @@ def _top_k(metric: str, k: int, exclude_self: bool):
                 if exclude_self:
                     same = q_ids.to_numpy(zero_copy_only=False)[:, None] == c_ids.to_numpy(zero_copy_only=False)[order][None, :]
                     near = np.where(same, -np.inf, near)
-                # Unique integer keys: score first, then the smaller id.
-                key = np.where(np.isinf(near), np.iinfo(np.int64).min, 0).astype(np.int64)
+                # Unique integer keys: score first, then the smaller id; an excluded pair sorts last.
                 finite = np.where(np.isinf(near), 0, near).astype(np.int64)
-                key = np.where(key < 0, key, finite * m + (m - 1 - np.arange(m)))
+                key = np.where(np.isinf(near), -(2**62), finite * m + (m - 1 - np.arange(m)))
                 take = min(k, m)
                 best = np.argpartition(-key, take - 1, axis=1)[:, :take] if take < m else np.tile(np.arange(m), (len(q), 1))
                 rows = np.repeat(np.arange(len(q)), best.shape[1])
@@ -125,7 +124,7 @@ def train_cells(corpus: DataFrame, cells: int = DEFAULT_CELLS, vec_col: str = "e
     cells = min(cells, max(1, n // ROWS_PER_CELL), MAX_CELLS)
     vectors = corpus.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     if cells < 2:
-        return np.asarray([vectors.agg(F.lit(0)).count() and np.zeros(len(vectors.first()["features"]))])
+        return np.zeros((1, len(vectors.first()["features"])))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(vectors)
     return np.asarray(model.clusterCenters())
 
