@@ -17,19 +17,19 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1024
 
 
-def range_edges(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, list[float]]:
-    """At most ``MAX_BUCKETS`` increasing edges per column; an empty list when one bucket is enough."""
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+def range_edges(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> dict[str, list[float]]:
+    """At most ``MAX_BUCKETS`` increasing edges per column; none when ``rows`` (counted if not given) fit one bucket."""
+    want = min(MAX_BUCKETS, -(-(df.count() if rows is None else rows) // rows_per_bucket))
+    if want <= 1:
+        return {c: [] for c in cols}
+    grid = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
     row = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.percentile_approx(F.col(c), grid, 10 * MAX_BUCKETS).alias(c) for c in cols],
+        *[F.expr(f"percentile_approx(`{c}`, array({grid}), {10 * MAX_BUCKETS})").alias(c) for c in cols]
     ).first()
-    want = min(MAX_BUCKETS, -(-row["__n"] // rows_per_bucket)) if row["__n"] else 1
     step = max(1, MAX_BUCKETS // want)
     out = {}
     for c in cols:
-        points = (row[c] or [])[step - 1 :: step] if want > 1 else []
-        out[c] = sorted(set(points))
+        out[c] = sorted(set((row[c] or [])[step - 1 :: step]))
     return out
 
 

@@ -14,6 +14,8 @@ ORDINAL_RULES = {
     "urgency": (URGENCY_WORDS, 2, 1, 3),
 }
 
+WHITE_SPACE = " \t\n\r\x0b\x0c"
+
 
 def parse_ordinal(raw: Column, words: dict[str, int], default: int, numeric: bool = False) -> Column:
     """Level of a label: a keyword beats leading digits, digits beat the default; numbers pass through."""
@@ -35,8 +37,8 @@ def apply_rule(column: str, raw: Column, numeric: bool = False) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    """Strip every kind of white space (``trim`` strips blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip every kind of white space; a character set is far cheaper than a pattern on long texts."""
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:

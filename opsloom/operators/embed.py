@@ -1,4 +1,9 @@
-"""Dense text embeddings: TF-IDF followed by a truncated SVD on Spark's distributed row matrix."""
+"""Dense text embeddings: TF-IDF weights projected on the leading singular directions of the corpus.
+
+The projection comes from randomised subspace iteration: a handful of passes over the weights, where each
+task multiplies its own sparse rows and only matrices of vocabulary x dimensions leave it. Both factors of
+that size are bounded by parameters, never by the number of texts.
+"""
 
 from __future__ import annotations
 
@@ -6,55 +11,109 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
-from opsloom.operators.tfidf import DIMENSIONS, MAX_FEATURES, fit_tfidf
-from opsloom.operators.text import semantic_text
+from opsloom.operators.tfidf import DIMENSIONS, MAX_FEATURES, fit_vocabulary, weights
+from opsloom.operators.text import STOP_WORDS, semantic_text
+
+PASSES, OVERSAMPLE, SEED = 5, 10, 42
+SLOTS_PER_CHUNK, MERGE_WAYS = 512, 32
+
+
+def sparse_rows(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, stop_words=STOP_WORDS) -> DataFrame:
+    """``(id, ix[], val[])``: unit-length sparse weights per text; at most one entry per vocabulary slot."""
+    w = weights(df, vocab, id_col, text_col, stop_words)
+    packed = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ix", "weight"))).alias("s"))
+    return packed.select("id", F.col("s.ix").alias("ix"), F.col("s.weight").alias("val"))
+
+
+def _multiply(pdf: pd.DataFrame, basis: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(pdf), basis.shape[1]))
+    for i, (ix, val) in enumerate(zip(pdf["ix"], pdf["val"])):
+        out[i] = np.asarray(val) @ basis[np.asarray(ix)]
+    return out
+
+
+def gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """A'A @ basis for the sparse rows A. Tasks emit chunks of their partial product; chunks are added in two steps."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    width, k = basis.shape
+
+    def partial(frames):
+        total, seen = np.zeros((width, k)), 0
+        for pdf in frames:
+            seen += len(pdf)
+            dense = _multiply(pdf, shared.value)
+            for row, ix, val in zip(dense, pdf["ix"], pdf["val"]):
+                total[np.asarray(ix)] += np.outer(val, row)
+        if seen:
+            lane = int(abs(hash(total[:, 0].tobytes())) % MERGE_WAYS)
+            for at in range(0, width, SLOTS_PER_CHUNK):
+                yield pd.DataFrame({"at": [at], "lane": [lane], "part": [total[at : at + SLOTS_PER_CHUNK].tobytes()]})
+
+    def add(key, pdf):
+        parts = sum(np.frombuffer(p) for p in pdf["part"])
+        return pd.DataFrame({"at": [key[0]], "lane": [0], "part": [parts.tobytes()]})
+
+    shape = "at int, lane int, part binary"
+    chunks = rows.select("ix", "val").mapInPandas(partial, shape)
+    added = chunks.groupBy("at", "lane").applyInPandas(add, shape).groupBy("at").applyInPandas(add, shape)
+    out = np.zeros((width, k))
+    for r in added.collect():
+        block = np.frombuffer(r["part"]).reshape(-1, k)
+        out[r["at"] : r["at"] + len(block)] = block
+    shared.unpersist()
+    return out
+
+
+def leading_directions(rows: DataFrame, width: int, k: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (width x k) and singular values of the sparse rows."""
+    size = min(width, k + OVERSAMPLE)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))
+    for _ in range(PASSES):
+        basis, _ = np.linalg.qr(gram_product(rows, basis))
+    values, mix = np.linalg.eigh(basis.T @ gram_product(rows, basis))
+    order = np.argsort(-values)[:k]
+    return basis @ mix[:, order], np.sqrt(np.maximum(values[order], 0))
 
 
 @dataclass
 class Embedder:
-    """Text model and projection; at most vocabulary x dimensions numbers."""
+    """Fitted vocabulary and projection; reuse for any later batch of texts."""
 
-    text_model: PipelineModel
+    vocab: DataFrame
     projection: np.ndarray
     singular: np.ndarray
-    text_col: str = "semantic_text"
+    stop_words: tuple[str, ...]
 
-    def transform(self, df: DataFrame, id_col: str = "number") -> DataFrame:
-        """``(id, embedding)`` of unit length; a text without known words keeps a zero vector."""
-        v = df.sparkSession.sparkContext.broadcast(self.projection)
+    def transform(self, df: DataFrame, id_col: str = "number", text_col: str = "semantic_text") -> DataFrame:
+        """``(id, embedding)`` of unit length; a text without a known word gets a zero vector."""
+        shared = df.sparkSession.sparkContext.broadcast(self.projection)
+        kind = dict(df.dtypes)[id_col]
 
         def project(frames):
             for pdf in frames:
-                out = np.zeros((len(pdf), v.value.shape[1]))
-                for i, (ix, val) in enumerate(zip(pdf["ix"], pdf["val"])):
-                    if len(ix):
-                        out[i] = np.asarray(val) @ v.value[np.asarray(ix)]
+                out = _multiply(pdf, shared.value)
                 norm = np.linalg.norm(out, axis=1, keepdims=True)
                 out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
-                yield pd.DataFrame({id_col: pdf[id_col], "embedding": list(out.astype(np.float32))})
+                yield pd.DataFrame({"id": pdf["id"], "embedding": list(out.astype(np.float32))})
+
+        rows = sparse_rows(df, self.vocab, id_col, text_col, self.stop_words)
+        known = rows.mapInPandas(project, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+        zero = F.array_repeat(F.lit(0.0).cast("float"), self.projection.shape[1])
+        return df.select(id_col).join(known, id_col, "left").withColumn("embedding", F.coalesce("embedding", zero))
 
-        dense = vector_to_array("tfidf")
-        slots = F.filter(F.transform(dense, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0)
-        rows = self.text_model.transform(df).select(id_col, slots.alias("s")).select(
-            id_col, F.col("s.i").alias("ix"), F.col("s.x").alias("val"))
-        return rows.mapInPandas(project, f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>")
 
+def fit_embedder(df: DataFrame, id_col: str = "number", text_col: str = "semantic_text", dimensions: int = DIMENSIONS,
+                 max_features: int = MAX_FEATURES, stop_words=STOP_WORDS) -> Embedder:
+    from opsloom.operators.models import materialize
 
-def fit_embedder(df: DataFrame, text_col: str = "semantic_text", dimensions: int = DIMENSIONS, max_features: int = MAX_FEATURES) -> Embedder:
-    """Fit once on a corpus; reuse for every later batch of texts."""
-    model = fit_tfidf(df, text_col, max_features)
-    vectors = model.transform(df.select(text_col)).select("tfidf").persist()
-    n, width = vectors.count(), len(model.stages[2].vocabulary)
+    vocab = materialize(fit_vocabulary(df, id_col, text_col, max_features, stop_words), "vocabulary")
+    rows = materialize(sparse_rows(df, vocab, id_col, text_col, stop_words), "sparse-rows")
+    n, width = rows.count(), vocab.count()
     k = max(1, min(n - 1, width - 1, dimensions))
-    svd = RowMatrix(vectors.rdd.map(lambda r: OldVectors.fromML(r["tfidf"]))).computeSVD(k, computeU=False)
-    vectors.unpersist()
-    return Embedder(model, np.asarray(svd.V.toArray()), np.asarray(svd.s.toArray()), text_col)
+    directions, values = leading_directions(rows, width, k)
+    return Embedder(vocab, directions, values, tuple(stop_words))
 
 
 def with_semantic_text(df: DataFrame) -> DataFrame:

@@ -267,12 +267,12 @@ def spearman_pairs(df: DataFrame, columns: list[str], rows_per_bucket: int = ROW
 
     Rows are collapsed to distinct combinations first; ranks are exact and tie-averaged.
     """
-    spread = df.agg(*[(F.min(c) != F.max(c)).alias(c) for c in columns]).first()
+    spread = df.agg(F.count(F.lit(1)).alias("__n"), *[(F.min(c) != F.max(c)).alias(c) for c in columns]).first()
     columns = [c for c in columns if spread[c]]
     combos = df.select([F.col(c).cast("double").alias(c) for c in columns]).dropna().groupBy(*columns).agg(
         F.count(F.lit(1)).alias("w")
     )
-    edges = range_edges(combos, columns, rows_per_bucket)
+    edges = range_edges(combos, columns, rows_per_bucket, spread["__n"])
     for c in columns:
         combos = with_bucket(combos, c, edges[c], f"__b_{c}")
     cells = [F.struct(F.lit(c).alias("name"), F.col(f"__b_{c}").alias("bucket"), F.col(c).alias("value")) for c in columns]

@@ -6,6 +6,9 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
+
+from opsloom.functions.ordinals import trim_ws
 
 # Words without diagnostic value.
 STOP_WORDS = """
@@ -64,7 +67,7 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, TAG, " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normal form: the one step Spark has no function for."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -150,7 +153,7 @@ def semantic_text(df: DataFrame) -> Column:
         if c not in df.columns:
             val[c] = F.lit(default)
             continue
-        text = F.regexp_replace(F.col(c).cast("string"), r"^\s+|\s+$", "")
+        text = trim_ws(F.col(c).cast("string"))
         val[c] = F.when(text.isNull() | (text == "") | (F.lower(text) == "nan"), default).otherwise(text)
     title, body = val["short_description"], val["description"]
     repeats = F.lower(body).startswith(F.lower(title))
@@ -164,5 +167,5 @@ def semantic_text(df: DataFrame) -> Column:
 def combined_text(df: DataFrame) -> Column:
     """Lower-cased title and description for the models, never empty."""
     part = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
-    text = F.lower(F.regexp_replace(F.concat_ws(" ", part("short_description"), part("description")), r"^\s+|\s+$", ""))
+    text = F.lower(trim_ws(F.concat_ws(" ", part("short_description"), part("description"))))
     return F.concat(F.when(text == "", MODEL_EMPTY).otherwise(text), F.lit(MODEL_SUFFIX))

@@ -1,11 +1,7 @@
-"""TF-IDF over whole texts: tidy term weights, and a reusable embedding model."""
+"""TF-IDF over whole texts as tidy term weights."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opsloom.operators.text import STOP_WORDS
@@ -29,15 +25,26 @@ def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame
     return stats.orderBy(F.col("cf").desc(), "term").limit(max_features)
 
 
-def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES, stop_words=STOP_WORDS) -> DataFrame:
-    """``(id, term, weight)``: smoothed idf, unit length per document. The vocabulary is size-bounded."""
-    counts = term_counts(df, id_col, text_col, stop_words)
+def fit_vocabulary(df: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES, stop_words=STOP_WORDS) -> DataFrame:
+    """``(term, ix, idf)`` with smoothed idf and dense slot numbers; at most ``max_features`` rows."""
     n = df.agg(F.count(F.lit(1))).scalar()
-    idf = F.log((1 + n) / (1 + F.col("df"))) + 1
-    vocab = vocabulary(counts, max_features).select("term", idf.alias("idf"))
-    raw = counts.join(vocab, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vocab = vocabulary(term_counts(df, id_col, text_col, stop_words), max_features)
+    slot = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
+    return vocab.select("term", slot.alias("ix"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weights(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, stop_words=STOP_WORDS) -> DataFrame:
+    """``(id, term, ix, weight)``: tf x idf, unit length per text. The vocabulary is bounded, so it is broadcast."""
+    counts = term_counts(df, id_col, text_col, stop_words)
+    raw = counts.join(F.broadcast(vocab), "term").select("id", "term", "ix", (F.col("tf") * F.col("idf")).alias("w"))
     norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norms, "id").select("id", "term", "ix", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES, stop_words=STOP_WORDS) -> DataFrame:
+    """``(id, term, weight)`` with the vocabulary fitted on the same texts."""
+    vocab = fit_vocabulary(df, id_col, text_col, max_features, stop_words)
+    return weights(df, vocab, id_col, text_col, stop_words).drop("ix")
 
 
 def top_terms(weights: DataFrame, k: int = 5) -> DataFrame:
@@ -45,16 +52,3 @@ def top_terms(weights: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.col("weight").desc(), "term")
     return weights.select("id", "term", F.round("weight", 6).alias("weight")).withColumn(
         "rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
-
-
-def fit_tfidf(df: DataFrame, text_col: str = "semantic_text", max_features: int = MAX_FEATURES, stop_words=STOP_WORDS) -> PipelineModel:
-    """Reusable model text -> unit-length TF-IDF vector ``tfidf``; Spark's idf lacks the +1, so it is added."""
-    words = RegexTokenizer(inputCol=text_col, outputCol="__tok", gaps=False, pattern=TOKEN, toLowercase=True)
-    stop = StopWordsRemover(inputCol="__tok", outputCol="__kept", stopWords=list(stop_words))
-    prepared = stop.transform(words.transform(df))
-    count = CountVectorizer(inputCol="__kept", outputCol="__tf", vocabSize=max_features).fit(prepared)
-    idf = IDF(inputCol="__tf", outputCol="__idf").fit(count.transform(prepared))
-    scale = ElementwiseProduct(inputCol="__tf", outputCol="__raw", scalingVec=Vectors.dense(np.asarray(idf.idf.toArray()) + 1.0))
-    unit = Normalizer(inputCol="__raw", outputCol="tfidf", p=2.0)
-    stages: list[Transformer] = [words, stop, count, scale, unit]
-    return PipelineModel(stages)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import features as E, text as T
 from opsloom.plans.base import event_tickets, over_repaired, over_tickets, repaired, sql_list
-from opsloom.sources.tables import table, tickets
+from opsloom.sources.tables import spread, table, tickets
 
 Q, S = {}, {}
 
@@ -70,7 +70,7 @@ FROM tickets t JOIN orders o ON o.o_orderkey = t.ticket_key JOIN f ON f.o_custke
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("description"))
+    return spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("description")), "doc_id")
 
 
 WORDS = "len(list_filter(regexp_split_to_array({0}, '[\\s\\x0b]+'), lambda x: x != ''))"

@@ -61,11 +61,12 @@ CONSENSUS_CTE = MATCH_CTE + """
 , g AS (SELECT query_id, assignment_group, count(*) AS c, min(rank) AS r FROM mt GROUP BY 1, 2),
 md AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, r) AS rn FROM g) WHERE rn = 1),
 cs AS (SELECT mt.query_id, count(*) AS matches, any_value(md.assignment_group) AS mode_group, any_value(md.c) AS mode_count,
-  any_value(md.c) / count(*)::double AS mode_share, avg(similarity_score) AS average_similarity, avg(resolution_time_hours) AS history_hours
+  any_value(md.c) / count(*)::double AS mode_share,
+  cast(sum(similarity_score::decimal(18,6)) / count(*) AS decimal(18,8))::double AS average_similarity, avg(resolution_time_hours) AS history_hours
   FROM mt JOIN md USING (query_id) GROUP BY 1)
 """
 S["topk_consensus"] = over_repaired(CONSENSUS_CTE + """SELECT query_id, matches, mode_group, mode_count, round(mode_share, 4) AS mode_share,
-  round(average_similarity, 5) AS average_similarity, round(history_hours, 4) AS history_hours FROM cs""")
+  round(average_similarity::decimal(18,8), 5)::double AS average_similarity, round(history_hours, 4) AS history_hours FROM cs""")
 
 FUSED_CTE = SCORES_CTE + CONSENSUS_CTE + """
 , f0 AS (SELECT e.vec_id AS query_id, coalesce(b.cls, 'General Support') AS model_group, coalesce(nullif(b.score, 0), 0.5) AS p,
@@ -93,7 +94,7 @@ S["fuse_decision"] = over_repaired(FUSED_CTE + """SELECT query_id, recommended_g
 
 Q["fuse_confidence"] = lambda spark, sf: decisions(spark, sf).select("query_id", "confidence_score", "confidence_tier", "model_confidence", "average_similarity")
 S["fuse_confidence"] = over_repaired(FUSED_CTE + f"""SELECT query_id, round(score, 4) AS confidence_score, {TIER} AS confidence_tier,
-  round(p, 4) AS model_confidence, round(average_similarity, 4) AS average_similarity FROM f4""")
+  round(p, 4) AS model_confidence, round(average_similarity::decimal(18,8), 4)::double AS average_similarity FROM f4""")
 
 Q["success_rate"] = lambda spark, sf: decisions(spark, sf).select("query_id", "recommended_group", "success_rate")
 S["success_rate"] = over_repaired(FUSED_CTE + """SELECT query_id, recommended_group,
@@ -120,7 +121,7 @@ _c, _sh, _si = _num("model_confidence * 100", 1), _num("mode_pct", 1), _num("ave
 _fu, _ho, _n, _k = _num("confidence_score * 100", 2), _num("estimated_hours", 2), "cast(mode_count AS varchar)", "cast(matches AS varchar)"
 S["reasoning_text"] = over_repaired(FUSED_CTE + f"""
 , d AS (SELECT query_id, recommended_group, agreement, reason_code, model_group, mode_group, mode_count, matches, round(p, 4) AS model_confidence, round(mh, 2) AS model_hours,
-  round(mode_share * 100, 2) AS mode_pct, round(average_similarity, 4) AS average_similarity, round(score, 4) AS confidence_score, {TIER} AS confidence_tier,
+  round(mode_share * 100, 2) AS mode_pct, round(average_similarity::decimal(18,8), 4)::double AS average_similarity, round(score, 4) AS confidence_score, {TIER} AS confidence_tier,
   round(0.5 * mh + 0.5 * coalesce(history_hours, mh), 2) AS estimated_hours, round(coalesce(history_hours, mh), 2) AS history_hours,
   CASE WHEN rate = 0 AND agreement THEN round(mode_share * 100, 2) ELSE rate END AS success_rate FROM f4)
 SELECT query_id, CASE WHEN agreement THEN {_fmt(U.SUMMARY_AGREE, 'model_group', _c, _n, _k, _sh, 'mode_group', _si, 'recommended_group', 'confidence_tier', _fu, _ho)}

@@ -97,7 +97,7 @@ Q["global_attribution"] = lambda spark, sf: A.global_attribution(*_contrib(spark
 
 def _embed(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("number"), F.col("text").alias("semantic_text"))
-    return E.fit_embedder(docs, dimensions=64).transform(docs)
+    return E.fit_embedder(docs).transform(docs)
 
 
 Q["embed_svd"] = _embed

@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+_SCHEMAS: dict[str, StructType] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Its schema is read from the footer once and then reused, which saves a job per scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a table that sits in fewer files than there are cores; larger tables are left as they are.
+
+    Text work is bound by the processor, and one file is often one row group and so one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def tickets(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
@@ -39,10 +55,11 @@ def tickets(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     who = table(spark, sf_dir, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    # Orders and their lines are the two large sides: the lines are already hashed by order, so only orders move.
     df = (
         table(spark, sf_dir, "orders")
+        .join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(who, F.col("o_custkey") == F.col("c_custkey"))
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     )
     title = body = F.lit(None).cast("string")
     if text:
