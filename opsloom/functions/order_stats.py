@@ -82,7 +82,8 @@ def ranked_values(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PE
     return running_totals(counts, ["name"], "value", ["cnt"])
 
 
-def _at_rank(rank: Column) -> Column:
+def value_at_rank(rank: Column) -> Column:
+    """Aggregate: the value whose run of equal rows covers a 0-based rank."""
     hit = (F.col("cnt_before") <= rank) & (rank < F.col("cnt_before") + F.col("cnt"))
     return F.max(F.when(hit, F.col("value")))
 
@@ -92,8 +93,8 @@ def quantiles(ranked: DataFrame, probs: dict[str, float]) -> DataFrame:
     n1 = F.col("cnt_total") - 1
     aggs = []
     for label, p in probs.items():
-        aggs.append(_at_rank(F.floor(n1 * F.lit(p))).alias(f"__lo_{label}"))
-        aggs.append(_at_rank(F.ceil(n1 * F.lit(p))).alias(f"__hi_{label}"))
+        aggs.append(value_at_rank(F.floor(n1 * F.lit(p))).alias(f"__lo_{label}"))
+        aggs.append(value_at_rank(F.ceil(n1 * F.lit(p))).alias(f"__hi_{label}"))
     wide = ranked.groupBy("name").agg(F.max("cnt_total").alias("n"), *aggs)
     out = []
     for label, p in probs.items():

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from opsloom.operators.tfidf import DIMENSIONS, MAX_FEATURES, fit_vocabulary, weights
@@ -47,7 +48,7 @@ def gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
             for row, ix, val in zip(dense, pdf["ix"], pdf["val"]):
                 total[np.asarray(ix)] += np.outer(val, row)
         if seen:
-            lane = int(abs(hash(total[:, 0].tobytes())) % MERGE_WAYS)
+            lane = TaskContext.get().partitionId() % MERGE_WAYS
             for at in range(0, width, SLOTS_PER_CHUNK):
                 yield pd.DataFrame({"at": [at], "lane": [lane], "part": [total[at : at + SLOTS_PER_CHUNK].tobytes()]})
 

@@ -33,9 +33,12 @@ SEED = 42
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back, so iterative training never recomputes it."""
-    path = work_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = work_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
 
 
 def raw_features(df: DataFrame, as_of=None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from opsloom.functions.order_stats import ROWS_PER_BUCKET, average_rank, quantiles, ranked_values, running_totals, range_edges, weighted_corr, with_bucket
+from opsloom.functions.order_stats import ROWS_PER_BUCKET, average_rank, quantiles, ranked_values, running_totals, range_edges, value_at_rank, weighted_corr, with_bucket
 from opsloom.operators.text import (
     TOKEN_BUDGET, char_count, normalize, tokens_by_chars, tokens_by_chars_int, tokens_by_words, word_count,
 )
@@ -305,11 +305,26 @@ def counts_by(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     return counts.orderBy(F.col("tickets").desc(), column).limit(n) if n else counts
 
 
+def share_and_median_by(df: DataFrame, key: str, value: str, flag: Column, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Per key: rows, share of flagged rows and exact median. Values are counted before they are ranked."""
+    v = df.select(key, F.col(value).cast("double").alias("value"), flag.cast("int").alias("flag"))
+    bucketed = with_bucket(v, "value", range_edges(v, ["value"], rows_per_bucket)["value"], "bucket")
+    counts = bucketed.groupBy(key, "bucket", "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("cnt"), F.sum("flag").alias("flags"))
+    known = running_totals(counts.filter(F.col("cnt") > 0), [key], "value", ["cnt"])
+    middle = (value_at_rank(F.floor((F.col("cnt_total") - 1) / 2)) + value_at_rank(F.ceil((F.col("cnt_total") - 1) / 2))) / 2
+    medians = known.groupBy(key).agg(middle.alias("median"))
+    sums = counts.groupBy(key).agg(F.sum("rows").alias("tickets"), F.coalesce(F.sum("flags"), F.lit(0)).alias("flags"))
+    return sums.join(medians, key, "left").select(
+        key, "tickets", F.round(F.col("flags") * 100.0 / F.col("tickets"), 2).alias("flag_pct"), F.round("median", 4).alias("median"))
+
+
 def histogram(df: DataFrame, value: Column, bins: int = 30) -> DataFrame:
     """Equal-width bins between the smallest and largest value; the last bin is closed."""
     v = df.select(value.cast("double").alias("v"))
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    span = ends.select(F.struct("lo", "hi")).scalar()
+    lo, hi = span["lo"], span["hi"]
     width = (hi - lo) / bins
     slot = F.when(hi == lo, 0).otherwise(F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)))
     counts = v.filter(F.col("v").isNotNull()).groupBy(slot.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("tickets"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsloom.functions.ordinals import is_blank, trim_ws
@@ -129,10 +132,9 @@ def rule_samples(df: DataFrame, k: int = 3, key_k: int = 5) -> DataFrame:
     """
     checks = row_checks(df)
     broken = F.array_compact(F.array(*[
-        F.when(p, F.struct(F.lit(r).alias("rule_id"), F.lit(i).alias("part")))
-        for r, ps in checks.items() for i, p in enumerate(ps)
+        F.when(reduce(or_, ps), F.lit(r)) for r, ps in checks.items()
     ]))
-    hits = df.select("number", F.inline(broken)).select("number", "rule_id").distinct()
+    hits = df.select("number", F.explode(broken).alias("rule_id"))
     keys = (
         df.groupBy("number").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
         .select("number", F.lit("CHK-02").alias("rule_id"))

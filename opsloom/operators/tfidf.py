@@ -13,9 +13,13 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words=STOP_WORDS) -> DataFrame:
-    """``(id, term, tf)`` of lower-cased tokens of two or more word characters."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(TOKEN), 0)
-    long = df.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term"))
+    """``(id, term, tf)`` of lower-cased tokens of two or more word characters.
+
+    The texts are moved once, by id and before they are exploded; counts and norms per text then need no
+    further shuffle.
+    """
+    texts = df.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text")).repartition("id")
+    long = texts.select("id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("term"))
     return long.filter(~F.col("term").isin(list(stop_words))).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -37,8 +41,9 @@ def weights(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, stop_wo
     """``(id, term, ix, weight)``: tf x idf, unit length per text. The vocabulary is bounded, so it is broadcast."""
     counts = term_counts(df, id_col, text_col, stop_words)
     raw = counts.join(F.broadcast(vocab), "term").select("id", "term", "ix", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", "ix", (F.col("w") / F.col("norm")).alias("weight"))
+    # A text has at most one row per vocabulary slot, so a window over one text is bounded.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", "ix", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES, stop_words=STOP_WORDS) -> DataFrame:

@@ -90,23 +90,8 @@ def _by_team(spark, sf):
     """Per team: tickets, share over the SLA target and exact median hours."""
     df = repaired(spark, sf)
     over = F.col("resolution_time_hours") > R.sla_target(F.col("priority"))
-    counts = df.groupBy("assignment_group", F.col("resolution_time_hours").alias("hours")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.count_if(over).alias("late"))
-    return team_median(counts)
-
-
-def team_median(counts):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("assignment_group").orderBy("hours").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("assignment_group")
-    ranked = counts.select("*", F.coalesce(F.sum("cnt").over(w), F.lit(0)).alias("before"), F.sum("cnt").over(whole).alias("n"))
-    at = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("cnt")), F.col("hours")))
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.ceil((F.col("n") - 1) / 2))) / 2
-    return ranked.groupBy("assignment_group").agg(
-        F.sum("cnt").alias("tickets"), F.round(F.sum("late") * 100.0 / F.sum("cnt"), 2).alias("late_pct"),
-        F.round(middle, 4).alias("median_hours"),
-    )
+    return P.share_and_median_by(df, "assignment_group", "resolution_time_hours", over).withColumnsRenamed(
+        {"flag_pct": "late_pct", "median": "median_hours"})
 
 
 Q["sla_by_team"] = _by_team

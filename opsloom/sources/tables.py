@@ -24,12 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a table that sits in fewer files than there are cores; larger tables are left as they are.
+    """Hash-spread a scan with fewer splits than there are cores; larger tables are left as they are.
 
-    Text work is bound by the processor, and one file is often one row group and so one task.
+    Text work is bound by the processor, and a small file is often one row group and so one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def tickets(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
