@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 from opsloom.functions.order_stats import quantiles, ranked_values
 from opsloom.functions.ordinals import ORDINAL_RULES, apply_rule, is_blank, to_bool, trim_ws
 from opsloom.schema import POLICY, REQUIRED_COLUMNS, SPARK_TYPES
+from opsloom.session import materialize
 
 # Highest counter values kept, the lower bound of a usable cap, and the repair offsets.
 WINSOR_CAPS = {"reassignment_count": 15, "reopen_count": 8}
@@ -190,11 +191,14 @@ def rename_fields(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def clean(df: DataFrame, strict: bool = False, allow_custom: bool = False) -> DataFrame:
-    """All repairs in order."""
+    """All repairs in order.
+
+    The deduplicated table is written once: the fits of imputation and winsorising then read single columns
+    of it instead of repeating the deduplication.
+    """
+    typed = df.transform(keep_latest).transform(apply_ordinal_rules).transform(coerce_types)
     return (
-        df.transform(keep_latest)
-        .transform(apply_ordinal_rules)
-        .transform(coerce_types)
+        materialize(typed, "typed")
         .transform(impute)
         .transform(lambda d: blank_to_unknown(d, allow_custom=allow_custom))
         .transform(lambda d: repair_timestamps(d, strict))

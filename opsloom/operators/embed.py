@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opsloom.operators.tfidf import DIMENSIONS, MAX_FEATURES, fit_vocabulary, weights
 from opsloom.operators.text import STOP_WORDS, semantic_text
+from opsloom.session import materialize
 
 PASSES, OVERSAMPLE, SEED = 5, 10, 42
 SLOTS_PER_CHUNK, MERGE_WAYS = 512, 32
@@ -107,8 +108,6 @@ class Embedder:
 
 def fit_embedder(df: DataFrame, id_col: str = "number", text_col: str = "semantic_text", dimensions: int = DIMENSIONS,
                  max_features: int = MAX_FEATURES, stop_words=STOP_WORDS) -> Embedder:
-    from opsloom.operators.models import materialize
-
     vocab = materialize(fit_vocabulary(df, id_col, text_col, max_features, stop_words), "vocabulary")
     rows = materialize(sparse_rows(df, vocab, id_col, text_col, stop_words), "sparse-rows")
     n, width = rows.count(), vocab.count()

@@ -19,7 +19,7 @@ from opsloom.operators.features import calendar_flags, cyclic, date_parts, from_
 from opsloom.operators.leakage import assert_predictors
 from opsloom.operators.text import combined_text
 from opsloom.schema import label_of
-from opsloom.session import work_path
+from opsloom.session import materialize
 
 ONE_HOT = ["priority", "business_impact", "category"]
 FREQUENCY = ["subcategory", "cmdb_ci"]
@@ -31,16 +31,6 @@ TEXT_SLOTS = 64
 SEED = 42
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the shared folder and read it back, so iterative training never recomputes it."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
-
-
 def raw_features(df: DataFrame, as_of=None) -> DataFrame:
     """Derived predictors of raw tickets; a missing opening time counts as ``as_of`` when given."""
     if as_of is not None:

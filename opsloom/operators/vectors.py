@@ -15,6 +15,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
+from opsloom.session import materialize
+
 BLOCK_ROWS = 4096
 MAX_CELLS = 4096
 # Rows per cell the index aims at, default cells and probes.
@@ -38,16 +40,23 @@ def append_vectors(index: DataFrame, new: DataFrame, column: str = "embedding")
     return index.unionByName(new.withColumn(column, same))
 
 
-def _pack(df: DataFrame, id_col: str, vec_col: str, keys: list[str], block_rows: int) -> DataFrame:
-    """Blocks of about ``block_rows`` vectors per combination of ``keys``: ``keys, part, parts, rows``."""
-    base = df.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    if keys:
-        sizes = base.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts"))
-        base = base.join(sizes, keys)
-    else:
-        base = base.withColumn("parts", F.lit(max(1, -(-base.count() // block_rows))))
+def _blocks(n: int, block_rows: int) -> int:
+    return max(1, -(-n // block_rows))
+
+
+def _pack(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Fold ``keys, parts, id, vec`` into blocks ``keys, part, rows``. The part is a hash of the id."""
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    return base.withColumn("part", part).groupBy(*keys, "part", "parts").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
+    return df.withColumn("part", part).groupBy(*keys, "part").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
+
+
+def _plain(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+
+
+def _cell_parts(assigned: DataFrame, block_rows: int) -> DataFrame:
+    """Blocks per cell; one row per cell."""
+    return assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts"))
 
 
 def _top_k(metric: str, k: int, exclude_self: bool):
@@ -110,10 +119,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", id_co
     digits) go to the smaller id. Every query block meets every corpus block once, by an equi-join on the
     corpus block number; only K rows per query leave a block pair.
     """
-    q = _pack(queries, id_col, vec_col, [], block_rows)
-    c = _pack(corpus, id_col, vec_col, [], block_rows)
-    parts = c.agg(F.coalesce(F.max("parts"), F.lit(1)).alias("n")).scalar()
-    spread = q.select(F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
+    blocks = _blocks(corpus.count(), block_rows)
+    q = _pack(_plain(queries, id_col, vec_col).withColumn("parts", F.lit(_blocks(queries.count(), block_rows))), [])
+    c = _pack(_plain(corpus, id_col, vec_col).withColumn("parts", F.lit(blocks)), [])
+    spread = q.select(F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
     pairs = spread.join(c.select("part", F.col("rows").alias("c_rows")), "part")
     return _merge(pairs, metric, k, dict(corpus.dtypes)[id_col], exclude_self)
 
@@ -158,10 +167,12 @@ def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int = DEFAUL
     A hot cell is split into blocks by id hash on both sides, and a query block is sent to each of them.
     """
     centres = train_cells(corpus, cells, vec_col)
-    q = _pack(nearest_cells(queries, centres, probes, id_col, vec_col), "id", "vec", ["cell"], block_rows)
-    c = _pack(nearest_cells(corpus, centres, 1, id_col, vec_col), "id", "vec", ["cell"], block_rows)
-    sizes = c.groupBy("cell").agg(F.max("parts").alias("n"))
-    spread = q.join(sizes, "cell").select("cell", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    near_q = materialize(nearest_cells(queries, centres, probes, id_col, vec_col), "query-cells")
+    near_c = materialize(nearest_cells(corpus, centres, 1, id_col, vec_col), "corpus-cells")
+    c_parts = _cell_parts(near_c, block_rows)
+    q = _pack(near_q.join(_cell_parts(near_q, block_rows), "cell"), ["cell"])
+    c = _pack(near_c.join(c_parts, "cell"), ["cell"])
+    spread = q.join(c_parts, "cell").select("cell", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = spread.join(c.select("cell", "part", F.col("rows").alias("c_rows")), ["cell", "part"])
     return _merge(pairs, metric, k, dict(corpus.dtypes)[id_col], exclude_self)
 

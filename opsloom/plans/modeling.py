@@ -10,13 +10,14 @@ from opsloom.operators.metrics import classification_metrics
 from opsloom.operators.split import random_split
 from opsloom.plans.base import repaired
 from opsloom.plans.search import emb, matches
+from opsloom.session import materialize
 from opsloom.sources.tables import table
 
 Q, S = {}, {}
 
 
 def data(spark, sf):
-    return M.materialize(random_split(repaired(spark, sf, text=True)), "tickets")
+    return materialize(random_split(repaired(spark, sf, text=True)), "tickets")
 
 
 def _features(spark, sf):

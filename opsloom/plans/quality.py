@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import profile as P, quality as R
 from opsloom.operators.leakage import compliance
-from opsloom.plans.base import over_repaired, repaired, with_priority
+from opsloom.plans.base import over_repaired, over_tickets, repaired, sql_list, with_priority
+from opsloom.schema import DERIVED_FEATURES, FULL_COLUMNS, POLICY, POST_RESOLUTION_COLUMNS
 from opsloom.sources.tables import table, tickets
 
 Q, S = {}, {}
@@ -85,6 +86,24 @@ Q["schema_gate"] = lambda spark, sf: R.schema_gate(tickets(spark, sf, text=True)
 Q["leakage_gate"] = lambda spark, sf: compliance(repaired(spark, sf, text=True))
 Q["leakage_audit"] = lambda spark, sf: P.leakage_audit(repaired(spark, sf, text=True))
 
+HAVE = """number opened_at resolved_at closed_at priority_raw business_impact urgency category subcategory assignment_group
+business_service cmdb_ci caller short_description description reassignment_count made_sla problem_flag ticket_key""".split()
+MORE = HAVE + ["priority", "resolution_time_hours"]
+_names = lambda names: f"unnest([{sql_list(names)}])"
+S["schema_gate"] = over_tickets(f"""
+SELECT (SELECT count(*) > 0 FROM tickets) AS has_rows, column_name, column_name IN ({sql_list(HAVE)}) AS present
+FROM (SELECT {_names(FULL_COLUMNS)} AS column_name)""")
+S["leakage_gate"] = f"""
+SELECT 'missing_required' AS violation, c AS column_name FROM (SELECT {_names([c for c, p in POLICY.items() if p.required and p.leakage == 'safe'])} AS c)
+WHERE c NOT IN ({sql_list(MORE)}) AND c NOT IN ({sql_list(DERIVED_FEATURES)})
+UNION ALL SELECT 'blocked_present', c FROM (SELECT {_names([c for c, p in POLICY.items() if p.leakage == 'blocked'])} AS c)
+WHERE c IN ({sql_list(MORE)}) AND c <> 'resolution_time_hours'
+UNION ALL SELECT 'not_compliant', '*'"""
+S["leakage_audit"] = f"""
+SELECT c AS column_name, CASE WHEN c IN ({sql_list(POST_RESOLUTION_COLUMNS)}) THEN 'leaky' ELSE 'safe' END AS triage_class,
+  CASE {' '.join(f"WHEN c = '{c}' THEN '{p.leakage}'" for c, p in POLICY.items())} ELSE 'undeclared' END AS tier
+FROM (SELECT {_names(MORE)} AS c) WHERE c NOT IN ('number', 'assignment_group')"""
+
 
 def _by_team(spark, sf):
     """Per team: tickets, share over the SLA target and exact median hours."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "opsloom", partitions: int = 8) -> SparkSession:
@@ -38,3 +38,14 @@ def work_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/opsloom-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back, so later passes read only the columns they need
+    and neither repeated use nor a lost executor recomputes what came before."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import attribution as A, embed as E, models as M
 from opsloom.operators.split import random_split
+from opsloom.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def tickets(spark):
         F.lit("router failed").alias("short_description"), F.lit("text").alias("description"), (i % 7 == 0).alias("problem_flag"),
         F.concat(F.lit("G"), i % 4).alias("assignment_group"), ((i % 5) * 10 + 2).cast("double").alias("resolution_time_hours"),
     )
-    return M.materialize(random_split(df), "model-test")
+    return materialize(random_split(df), "model-test")
 
 
 @pytest.fixture(scope="module")
