@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from opsloom.operators import attribution as A, embed as E, fusion as U, models as M, vectors as V
+from opsloom.operators import attribution as A, embed as E, fusion as U, models as M, search as R
 from opsloom.operators.metrics import classification_metrics
 from opsloom.operators.split import random_split
 from opsloom.plans.base import repaired
 from opsloom.plans.search import emb, matches
-from opsloom.session import materialize
-from opsloom.sources.tables import table
+from opsloom.session import materialize, work_path
+from opsloom.sources.tables import table, ticket_number
 
 Q, S = {}, {}
 
@@ -104,6 +104,17 @@ def _embed(spark, sf):
 Q["embed_svd"] = _embed
 
 
+def _similar(spark, sf):
+    """Documents indexed as ticket texts; every conversation turn is a free-text query."""
+    docs = table(spark, sf, "documents").select(ticket_number("doc_id").alias("number"), F.col("text").alias("description"), F.col("source").alias("category"))
+    model, index = R.build_index(docs, work_path(spark, "index"), dimensions=64)
+    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    return R.similar_texts(model, index, turns)
+
+
+Q["similar_texts"] = _similar
+
+
 def _recommend(spark, sf):
     """Every stored vector's ticket: routed by the models, matched to precedents, fused and explained."""
     d = data(spark, sf)

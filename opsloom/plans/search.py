@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsloom.operators import tfidf as TT, vectors as V
+from opsloom.operators import search as R, tfidf as TT, vectors as V
+from opsloom.operators.embed import with_semantic_text
 from opsloom.operators.text import STOP_WORDS
 from opsloom.plans.base import over_repaired, repaired, sql_list
-from opsloom.plans.features import docs
-from opsloom.sources.tables import table
+from opsloom.plans.features import SEMANTIC_SQL, docs
+from opsloom.session import work_path
+from opsloom.sources.tables import table, ticket_number
 
 Q, S = {}, {}
 
@@ -118,3 +120,29 @@ v AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term
 w AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::double) + 1) AS w FROM c JOIN v USING (term)),
 u AS (SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w)
 SELECT * FROM (SELECT id, term, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS rank FROM u) WHERE rank <= 5"""
+
+
+def _resolve(spark, sf):
+    """Ticket numbers of all stored vectors and all conversation turns, asked as queries."""
+    numbers = emb(spark, sf).select(F.concat(F.lit("n"), "vec_id").alias("query_id"), F.concat(F.lit(" "), ticket_number("vec_id")).alias("query"))
+    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    store = with_semantic_text(repaired(spark, sf, text=True))
+    return R.resolve_queries(numbers.unionByName(turns), store).select("query_id", "kind", F.md5("semantic_text").alias("digest"))
+
+
+Q["resolve_queries"] = _resolve
+S["resolve_queries"] = over_repaired(SEMANTIC_SQL + r"""
+, a AS (SELECT concat('n', cast(vec_id AS varchar)) AS query_id, concat('INC', lpad(cast(vec_id AS varchar), 12, '0')) AS query FROM embeddings
+  UNION ALL SELECT concat(cast(conv_id AS varchar), '-', cast(turn AS varchar)), regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') FROM conversations)
+SELECT query_id, CASE WHEN s.number IS NULL THEN 'text' ELSE 'number' END AS kind, md5(coalesce(semantic_text, query)) AS digest
+FROM a LEFT JOIN sem s ON s.number = a.query""")
+
+
+def _store(spark, sf):
+    path = R.save_vectors(emb(spark, sf), work_path(spark, "vectors"))
+    return R.load_vectors(spark, path).select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select(
+        "vec_id", "label", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+Q["embedding_store"] = _store
+S["embedding_store"] = "SELECT vec_id, label, i - 1 AS i, round(embedding[i]::double, 6) AS x FROM embeddings, range(1, 65) r(i)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -47,6 +48,14 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, encoding: str |
     return df.withColumns({c: F.translate(c, latin, windows) for c, t in df.dtypes if t == "string"})
 
 
+def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet side table, or None when nothing is stored there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.mode("errorifexists").options(**QUOTED).option("quoteAll", "false").option("emptyValue", '""').csv(path)
     return path

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import attribution as A, embed as E, models as M
+from opsloom.operators import attribution as A, embed as E, models as M, search as R
 from opsloom.operators.split import random_split
 from opsloom.session import materialize
 
@@ -89,3 +89,30 @@ def test_embedding_matches_numpy(spark):
     out = model.transform(spark.createDataFrame([(1, texts[1]), (2, "zzz")], "number int, semantic_text string")).collect()
     norms = {r["number"]: float(np.linalg.norm(r["embedding"])) for r in out}
     assert norms[1] == pytest.approx(1.0, abs=1e-5) and norms[2] == 0.0
+
+
+def test_index_and_text_queries(spark, tmp_path):
+    texts = [f"router{i % 4} disk{i % 3} failed word{i}" for i in range(40)]
+    df = spark.createDataFrame([(f"INC{i}", t) for i, t in enumerate(texts)], "number string, short_description string")
+    model, index = R.build_index(df, str(tmp_path / "v1"), dimensions=20)
+    asked = spark.createDataFrame([("a", " INC7 "), ("b", "word11 failed")], "query_id string, query string")
+    kinds = {r["query_id"]: r["kind"] for r in R.resolve_queries(asked, index).collect()}
+    assert kinds == {"a": "number", "b": "text"}
+    best = {r["query_id"]: r["match_id"] for r in R.similar_texts(model, index, asked, 1).collect()}
+    assert best["a"] == "INC7"
+    with pytest.raises(Exception):
+        R.build_index(df, str(tmp_path / "v1"), dimensions=20)
+
+
+def test_store_rejects_mixed_dimensions(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<float>")
+    with pytest.raises(ValueError):
+        R.load_vectors(spark, R.save_vectors(df, str(tmp_path / "bad")))
+
+
+def test_free_text_ticket_and_filters(spark):
+    df = R.tickets_from_text(spark.createDataFrame([(" ATM jam ",)], "t string"), "t", "2026-01-05 09:00:00")
+    r = df.first()
+    assert (r["description"], r["category"], r["is_business_hours"], r["opened_at_dayofweek"]) == ("ATM jam", "General", 1, 0)
+    states = spark.createDataFrame([("8",), ("1",), (None,)], "state string")
+    assert R.exclude_cancelled(states).count() == 2
