@@ -64,10 +64,10 @@ def running_totals(counts: DataFrame, keys: list[str], value: str, weights: list
     )
 
 
-def ranked_values(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def ranked_values(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> DataFrame:
     """One row per ``(name, value)`` of numeric columns: ``cnt``, ``cnt_before`` and ``cnt_total`` (non-null)."""
     doubles = df.select([F.col(c).cast("double").alias(c) for c in cols])
-    edges = range_edges(doubles, cols, rows_per_bucket)
+    edges = range_edges(doubles, cols, rows_per_bucket, rows)
     for c in cols:
         doubles = with_bucket(doubles, c, edges[c], f"__b_{c}")
     cells = [
@@ -104,11 +104,16 @@ def quantiles(ranked: DataFrame, probs: dict[str, float]) -> DataFrame:
     return wide.select("name", "n", *out)
 
 
-def value_at(df: DataFrame, key: Column, rank: int, rows_per_bucket: int = ROWS_PER_BUCKET):
-    """The key at 0-based ``rank`` in ascending order and how many rows have a smaller key."""
-    ranked = ranked_values(df.select(key.cast("double").alias("key")), ["key"], rows_per_bucket)
-    hit = ranked.filter((F.col("cnt_before") <= rank) & (F.col("cnt_before") + F.col("cnt") > rank)).first()
-    return (None, 0) if hit is None else (hit["value"], hit["cnt_before"])
+def values_at(df: DataFrame, key: Column, ranks: list[int], rows: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
+    """Per 0-based rank in ascending order: the key there and how many rows have a smaller key; None past the end.
+
+    Only the hit rows, at most one per rank, reach the driver.
+    """
+    ranked = ranked_values(df.select(key.cast("double").alias("key")), ["key"], rows_per_bucket, rows)
+    covers = lambda r: (F.col("cnt_before") <= r) & (F.col("cnt_before") + F.col("cnt") > r)
+    hits = ranked.filter(reduce(lambda a, b: a | b, [covers(r) for r in ranks])).select("value", "cnt_before", "cnt").collect()
+    at = lambda r: next(((h["value"], h["cnt_before"]) for h in hits if h["cnt_before"] <= r < h["cnt_before"] + h["cnt"]), None)
+    return {r: at(r) for r in ranks}
 
 
 def average_rank() -> Column:
@@ -119,7 +124,3 @@ def average_rank() -> Column:
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:
     """Correlation of already centred columns."""
     return F.sum(w * x * y) / F.sqrt(F.sum(w * x * x) * F.sum(w * y * y))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -122,7 +122,7 @@ def class_imbalance(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> DataFrame:
     """Moments, exact quartiles and IQR outliers per column. Skew and kurtosis are bias-corrected."""
     cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]
     v = F.col("value")
@@ -130,7 +130,7 @@ def numeric_profile(df: DataFrame, columns: list[str], rows_per_bucket: int = RO
         F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.skewness(v).alias("g"), F.kurtosis(v).alias("k"),
     )
-    ranked = ranked_values(df, columns, rows_per_bucket)
+    ranked = ranked_values(df, columns, rows_per_bucket, rows)
     quart = quantiles(ranked, QUARTILES).withColumn("iqr", F.col("q75") - F.col("q25"))
     outside = (v < F.col("q25") - IQR_FACTOR * F.col("iqr")) | (v > F.col("q75") + IQR_FACTOR * F.col("iqr"))
     outliers = ranked.join(quart, "name").groupBy("name").agg(
@@ -305,18 +305,21 @@ def counts_by(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     return counts.orderBy(F.col("tickets").desc(), column).limit(n) if n else counts
 
 
-def share_and_median_by(df: DataFrame, key: str, value: str, flag: Column, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Per key: rows, share of flagged rows and exact median. Values are counted before they are ranked."""
+def share_and_median_by(df: DataFrame, key: str, value: str, flag: Column, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> DataFrame:
+    """Per key: rows, share of flagged rows and exact median. Values are counted before they are ranked.
+
+    ``rows`` may name an upper bound of the row count that is cheaper to get than counting ``df``.
+    """
     v = df.select(key, F.col(value).cast("double").alias("value"), flag.cast("int").alias("flag"))
-    bucketed = with_bucket(v, "value", range_edges(v, ["value"], rows_per_bucket)["value"], "bucket")
+    bucketed = with_bucket(v, "value", range_edges(v, ["value"], rows_per_bucket, rows)["value"], "bucket")
     counts = bucketed.groupBy(key, "bucket", "value").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("cnt"), F.sum("flag").alias("flags"))
-    known = running_totals(counts.filter(F.col("cnt") > 0), [key], "value", ["cnt"])
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("cnt"), F.coalesce(F.sum("flag"), F.lit(0)).alias("flags"))
+    # All three counters are totalled, so both uses of the counts share one shuffle.
+    ranked = running_totals(counts, [key], "value", ["cnt", "rows", "flags"])
     middle = (value_at_rank(F.floor((F.col("cnt_total") - 1) / 2)) + value_at_rank(F.ceil((F.col("cnt_total") - 1) / 2))) / 2
-    medians = known.groupBy(key).agg(middle.alias("median"))
-    sums = counts.groupBy(key).agg(F.sum("rows").alias("tickets"), F.coalesce(F.sum("flags"), F.lit(0)).alias("flags"))
-    return sums.join(medians, key, "left").select(
-        key, "tickets", F.round(F.col("flags") * 100.0 / F.col("tickets"), 2).alias("flag_pct"), F.round("median", 4).alias("median"))
+    tickets, flags = F.max("rows_total"), F.max("flags_total")
+    return ranked.groupBy(key).agg(
+        tickets.alias("tickets"), F.round(flags * 100.0 / tickets, 2).alias("flag_pct"), F.round(middle, 4).alias("median"))
 
 
 def histogram(df: DataFrame, value: Column, bins: int = 30) -> DataFrame:

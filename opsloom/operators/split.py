@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsloom.functions.lookup import lookup_join
-from opsloom.functions.order_stats import value_at
+from opsloom.functions.order_stats import values_at
 
 # Shares, seed, smallest class kept, name of the merged class, balance tolerance.
 RATIOS = (0.70, 0.15, 0.15)
@@ -110,12 +110,15 @@ def time_split(df: DataFrame, at: str = "opened_at", key: str = "number", ratios
     timed = df.withColumns({"__t": micros, "__h": row_hash(key, seed), "__one": F.lit("")})
     n = timed.count()
     n_train, n_val = int(n * ratios[0]), int(n * ratios[1])
+    cuts = {"val": n_train + n_val, "train": n_train}
     tag = F.lit("test")
-    for name, rank in (("val", n_train + n_val), ("train", n_train)):
-        if rank >= n:
+    at_rank = values_at(timed, F.col("__t"), list(cuts.values()), n)
+    for name, rank in cuts.items():
+        found = at_rank[rank]
+        if found is None:
             tag = F.lit(name)
             continue
-        moment, before = value_at(timed, F.col("__t"), rank)
+        moment, before = found
         inside = F.col("__t") < moment
         if rank > before:
             ties = timed.filter(F.col("__t") == F.lit(moment))

@@ -82,7 +82,7 @@ SELECT '{c}' AS column_name, round(avg({x}), 4) AS mean, round(stddev({x}), 4) A
 FROM {t}""" for c, x, t in pairs)
 
 
-Q["numeric_profile"] = lambda spark, sf: P.numeric_profile(repaired(spark, sf), NUMERIC)
+Q["numeric_profile"] = lambda spark, sf: P.numeric_profile(repaired(spark, sf), NUMERIC, rows=table(spark, sf, "orders").count())
 S["numeric_profile"] = over_repaired(_numeric_sql("", [(c, c, "rep") for c in NUMERIC]))
 
 Q["numeric_profile_lines"] = lambda spark, sf: P.numeric_profile(

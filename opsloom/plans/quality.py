@@ -109,7 +109,7 @@ def _by_team(spark, sf):
     """Per team: tickets, share over the SLA target and exact median hours."""
     df = repaired(spark, sf)
     over = F.col("resolution_time_hours") > R.sla_target(F.col("priority"))
-    return P.share_and_median_by(df, "assignment_group", "resolution_time_hours", over).withColumnsRenamed(
+    return P.share_and_median_by(df, "assignment_group", "resolution_time_hours", over, rows=table(spark, sf, "orders").count()).withColumnsRenamed(
         {"flag_pct": "late_pct", "median": "median_hours"})
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.functions.lookup import lookup_join
-from opsloom.functions.order_stats import quantiles, ranked_values, range_edges, value_at
+from opsloom.functions.order_stats import quantiles, ranked_values, range_edges, values_at
 from opsloom.operators import encode as N, profile as P, split as X
 from opsloom.sources import snapshots as V
 
@@ -27,7 +27,7 @@ def test_quantiles_match_pandas(spark, bucket_rows):
 def test_edges_split_the_work(spark):
     edges = range_edges(spark.range(10_000).select(F.col("id").cast("double").alias("v")), ["v"], 1000)["v"]
     assert 5 <= len(edges) <= 12
-    assert value_at(spark.range(10_000), F.col("id"), 4321, 1000) == (4321.0, 4321)
+    assert values_at(spark.range(10_000), F.col("id"), [4321, 10_000], rows_per_bucket=1000) == {4321: (4321.0, 4321), 10_000: None}
 
 
 def test_numeric_profile_matches_pandas(spark):
@@ -99,6 +99,11 @@ def test_time_split_with_one_hot_moment(spark):
     assert out == {"train": 4200, "val": 900, "test": 900}
 
 
+@pytest.mark.parametrize("n,want", [(2, {"train": 1, "test": 1}), (4, {"train": 2, "test": 2}), (7, {"train": 4, "val": 1, "test": 2})])
+def test_time_split_of_tiny_tables(rows, n, want):
+    assert {r["split"]: r["count"] for r in X.time_split(tickets(rows, n)).groupBy("split").count().collect()} == want
+
+
 def test_rare_and_constant_targets(rows):
     df = tickets(rows).unionByName(rows([("R1", dt.datetime(2026, 2, 1), "tiny")], "number string, opened_at timestamp_ntz, assignment_group string"))
     assert X.split(df, "stratified").filter("assignment_group = 'Rare / Other'").count() == 1
