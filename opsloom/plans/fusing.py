@@ -117,7 +117,7 @@ def _num(x: str, d: int) -> str:
     return f"cast(round({x}, {d})::decimal(20,{d}) AS varchar)"
 
 
-_c, _sh, _si = _num("model_confidence * 100", 1), _num("mode_pct", 1), _num("average_similarity", 4)
+_c, _sh, _si = _num("model_confidence::decimal(10,4) * 100", 1), _num("mode_pct", 1), _num("average_similarity", 4)
 _fu, _ho, _n, _k = _num("confidence_score * 100", 2), _num("estimated_hours", 2), "cast(mode_count AS varchar)", "cast(matches AS varchar)"
 S["reasoning_text"] = over_repaired(FUSED_CTE + f"""
 , d AS (SELECT query_id, recommended_group, agreement, reason_code, model_group, mode_group, mode_count, matches, round(p, 4) AS model_confidence, round(mh, 2) AS model_hours,
@@ -132,7 +132,7 @@ SELECT query_id, CASE WHEN agreement THEN {_fmt(U.SUMMARY_AGREE, 'model_group',
   {_fmt(U.BULLETS[3], _ho, _num('history_hours', 2))} AS bullet_4, {_fmt(U.BULLETS[4], _num('success_rate', 2))} AS bullet_5 FROM d""")
 
 Q["evidence_rows"] = lambda spark, sf: U.evidence(matches(spark, sf))
-S["evidence_rows"] = over_repaired(MATCH_CTE + f"""SELECT query_id, rank, number, round(similarity_score, 4) AS similarity_score, assignment_group AS historical_group,
+S["evidence_rows"] = over_repaired(MATCH_CTE + f"""SELECT query_id, rank, number, round(similarity_score::decimal(18,6), 4)::double AS similarity_score, assignment_group AS historical_group,
   concat({_num('resolution_time_hours', 2)}, 'h') AS historical_hours FROM mt""")
 
 Q["sla_risk"] = lambda spark, sf: U.sla_risk(
