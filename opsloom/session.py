@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,26 +27,39 @@ def local_session(cores: str | int = "*", app: str = "opsloom", partitions: int
     return spark
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder the session names in ``spark.checkpoint.dir``.
+_LOCAL_BASE: list[str] = []
+
+
+def work_base(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    The setting cannot be changed in a running session, so a local session without it (a test) gets one temporary
+    folder per process; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/opsloom-{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not _LOCAL_BASE:
+        _LOCAL_BASE.append(tempfile.mkdtemp(prefix="spark-"))
+    return _LOCAL_BASE[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the shared folder and read it back, so later passes read only the columns they need
-    and neither repeated use nor a lost executor recomputes what came before."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared work folder."""
+    return f"{work_base(spark)}/opsloom-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it cuts the lineage and outlives a lost executor."""
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``written``, dealt out to all cores where the stored files are fewer."""
+    out = written(df, name)
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out

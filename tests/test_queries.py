@@ -26,4 +26,4 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES) and set(entry.queries()) == set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) and set(QUERIES) <= set(entry.queries())
