@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "quality_rules", "exact_dedup", "line_dedup", "mixing",
+    "quality_rules", "exact_dedup", "line_dedup", "mixing", "best_fit",
 )
 
 
