@@ -25,7 +25,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.asarray(words.offsets).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
-    names = coded.dictionary.to_pylist()
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
     bounds = bounds - bounds[0]
     empty = np.fromiter((not w for w in names), bool, len(names))
