@@ -19,6 +19,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """The strings in buffers of their own: some kernels misread arrays that start inside a buffer."""
+    return texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in a row, and the bounds of each text's words. A-Z are lower-cased."""
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
@@ -39,13 +44,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     """One array per text: the sorted distinct hashes of its runs of ``size`` words; with fewer words the whole text is
     the only one; without words it is empty."""
-    if pa.types.is_string(texts.type):
-        texts = texts.cast(pa.large_string())
+    texts = fresh(texts)
     total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES)))
-        words, bounds = word_hashes(texts[at:end])
+        words, bounds = word_hashes(texts if end - at == len(texts) else fresh(texts[at:end]))
         n = max(0, len(words) - size + 1)
         runs = np.zeros(n, np.uint64)
         for k in range(size):

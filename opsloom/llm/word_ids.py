@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from opsloom.llm.shingles import fresh
+
 SLICE_BYTES = 12_000_000
 CACHED_WORDS = 800_000
 
@@ -81,16 +83,15 @@ class WordIds:
 
     def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For stretches of ``texts``: index of the first, ids of all in a row, and the bounds of each text's ids."""
-        texts = pc.fill_null(texts, "")
-        if pa.types.is_string(texts.type):
-            texts = texts.cast(pa.large_string())
+        texts = pc.fill_null(fresh(texts), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
-            words = pc.ascii_split_whitespace(texts[at:end])
+            part = fresh(texts[at:end])
+            words = pc.ascii_split_whitespace(part)
             plain = words.flatten()
-            if not pc.any(pc.match_substring(texts[at:end], "<|")).as_py():  # else lower-casing could make a special token
+            if not pc.any(pc.match_substring(part, "<|")).as_py():  # else lower-casing could make a special token
                 plain = pc.ascii_lower(plain)
             bounds = np.asarray(words.offsets) - words.offsets[0].as_py()
             coded = plain.dictionary_encode()
