@@ -18,8 +18,8 @@ import regex
 
 from opsloom.llm.shingles import fresh
 
-SLICE_BYTES = 12_000_000
-CACHED_WORDS = 800_000
+SLICE_BYTES = 8_000_000
+CACHED_WORDS = 500_000
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Characters that lower-case one to one and that composition leaves alone: words of these need no full normalisation.
