@@ -50,8 +50,9 @@ def without(lines, drop):
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: ``n_lines`` before, ``n_dropped`` and the remaining ``text``."""
     lines = written(line_keys(docs, min_chars), "lines")
-    shared = shared_keys(lines, min_docs)
+    shared = written(shared_keys(lines, min_docs), "shared-keys")  # two plain sides: Spark can then split a hot key
     hits = lines.join(shared, "key").filter(F.col("doc_id") != F.col("first_id"))
+    hits = written(hits.select("doc_id", "row_hash", "pos"), "line-hits")
     drops = hits.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "drop")
     text = text_of()
