@@ -7,31 +7,37 @@ from pyspark.sql import DataFrame, functions as F
 from opsloom.session import written
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """``id``, ``to``: the smallest id among a vertex and its neighbours, following one more step down."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a")))
-    step = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("to"))
-    step = written(step, "cc-step")
-    return step.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
+BROADCAST_ROWS = 1_000_000  # rows of two ids; longer pointer tables are joined by shuffling both sides
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be sent to all tasks if it was counted as small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``id``, ``component`` (smallest id that can be reached) of every vertex of ``edges`` (``a``, ``b``).
 
-    Every round points each vertex at a smaller neighbour, follows the pointer once more, and contracts the edges to
-    the pointers; the edges that are left shrink at least by half on stars and chains alike. All state is in tables.
+    Every round points each vertex at its smallest neighbour or itself and contracts the edges to the pointers; what is
+    left shrinks at least by half on stars and chains alike. All state is in tables.
     """
-    edges = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "cc-edges")
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc-edges")
     labels = None
     while not edges.isEmpty():
-        down = written(_least_neighbour(edges), "cc-down")
+        both = edges.union(edges.select("b", "a"))
+        down = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to")), "cc-down")
+        n = down.count()
+        to = lambda c: small(down.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")), n)
+        # One step further down: where a pointer ends in another pointer, both are followed.
+        down = down.join(to("to"), "to", "left").select("id", F.coalesce("to_to", "to").alias("to"))
+        down = written(down, "cc-down")
         labels = down.withColumnRenamed("to", "component") if labels is None else (
-            labels.join(down.select(F.col("id").alias("component"), "to"), "component", "left")
+            labels.join(small(down.select(F.col("id").alias("component"), "to"), n), "component", "left")
             .select("id", F.coalesce("to", "component").alias("component")))
-        labels = written(labels, "cc-labels")
-        to = lambda c: down.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}"))
-        moved = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-        edges = written(moved.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+        moved = edges.join(to("a"), "a").join(to("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        edges = written(moved.filter("a < b").distinct(), "cc-edges")
+        if not edges.isEmpty():
+            labels = written(labels, "cc-labels")
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels

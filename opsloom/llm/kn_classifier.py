@@ -6,9 +6,10 @@ vocabulary. What is kept for each word is bounded by the vocabulary and is sent
 with the trusted text, so they stay in shards. Documents send their distinct pairs, packed, to the shard of each pair;
 there the counts stream in first and the pairs are looked up in them, and the shards' sums are added up by document.
 
-Trusted documents are scored without their own counts, so that their perplexities are those of new text. Per language
-the threshold is the ``QUANTILE`` of the trusted documents' log perplexities, on a grid of a thousandth; short documents
-are drawn to the language's mean by ``PRIOR_WORDS`` words before they are compared.
+One trusted document in ``HELD`` (by the hash of its id) is kept out of the counts, so that its perplexity is that of new
+text. Per language the threshold is the ``QUANTILE`` of these documents' log perplexities, on a grid of a thousandth; with
+too few of them to see that quantile it is their mean plus ``SPREAD`` deviations, if that is higher. Short documents are
+drawn to the language's mean by ``PRIOR_WORDS`` words before they are compared.
 
 Defined results: a null text or one without words has no perplexity and isn't kept; a null language, or one without
 trusted documents, is held to the threshold of all trusted documents, and without any trusted document everything with
@@ -36,6 +37,8 @@ VOCABULARY = 65_534  # words with an id of their own; two more ids make 16 bits
 UNKNOWN, START = VOCABULARY, VOCABULARY + 1
 QUANTILE = 0.995
 PRIOR_WORDS = 20
+HELD = 5
+SPREAD = 2.0
 SHARD_ROWS = 2_000_000
 SLICE_BYTES = 8_000_000
 GRID = 1000
@@ -145,13 +148,13 @@ class Model:
 
 
 def packed_pairs(docs: DataFrame, vocabulary: dict[str, int], shards: int) -> DataFrame:
-    """Distinct pairs of documents by shard: documents (id, hash of the text, trusted), how many pairs of each, the pairs,
+    """Distinct pairs of documents by shard: documents (id, hash of the text), how many pairs of each, the pairs,
     and their counts where not 1."""
     names = ["shard", "docs", "sizes", "pairs", "times"]
 
     def pack(batches):
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("known_id", "text_hash", "trusted")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("known_id", "text_hash")], axis=1)
             for at, ids, code, bounds in coded_words(batch.column("text"), id_lookup(vocabulary)):
                 pairs = pair_keys(ids, code, bounds).astype(np.uint64)
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
@@ -170,7 +173,7 @@ def packed_pairs(docs: DataFrame, vocabulary: dict[str, int], shards: int) -> Da
                             pa.array([s], pa.int32()), pa.array([keys[at + d].tobytes()]), pa.array([sizes.astype(np.int32).tobytes()]),
                             pa.array([pair[take].tobytes()]), pa.array([times.tobytes()])], names)
 
-    return docs.select("known_id", "text_hash", F.col("trusted").cast("bigint").alias("trusted"), "text").mapInArrow(pack, "shard int, docs binary, sizes binary, pairs binary, times binary")
+    return docs.select("known_id", "text_hash", "text").mapInArrow(pack, "shard int, docs binary, sizes binary, pairs binary, times binary")
 
 
 def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
@@ -178,8 +181,7 @@ def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
 
 
 def scored(packed: DataFrame, pairs: DataFrame, model: Model, shards: int) -> DataFrame:
-    """``known_id``, ``text_hash``, ``words``, ``cost``: for each shard the costs of a document's words. A trusted
-    document's own counts are taken off first."""
+    """``known_id``, ``text_hash``, ``words``, ``cost``: for each shard the costs of a document's words."""
     key = (F.col("pair") % PRIME % shards).cast("int")
     nothing = F.lit(None).cast("binary")
     counts = pairs.select(key.alias("shard"), "pair", "n", *[nothing.alias(c) for c in ("docs", "sizes", "pairs", "times")])
@@ -208,14 +210,13 @@ def scored(packed: DataFrame, pairs: DataFrame, model: Model, shards: int) -> Da
                     n = np.concatenate([c for _, c in parts]) if parts else np.empty(0, np.int64)
                 for i in range(k, part.num_rows):
                     read = lambda c, t: np.frombuffer(part.column(c)[i].as_py(), t)
-                    rows, sizes, pair = read("docs", np.int64).reshape(-1, 3), read("sizes", np.int32), read("pairs", np.uint32).astype(np.int64)
+                    rows, sizes, pair = read("docs", np.int64).reshape(-1, 2), read("sizes", np.int32), read("pairs", np.uint32).astype(np.int64)
                     often = read("times", np.int32).reshape(2, -1)
                     times = np.ones(len(pair), np.int64)
                     times[often[0]] = often[1]
                     place = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
                     count = np.where(known[place] == pair, n[place], 0) if len(known) else np.zeros(len(pair), np.int64)
-                    own = np.repeat(rows[:, 2], sizes) * times
-                    cost = model.cost(pair, np.maximum(count - own, 0)) * times
+                    cost = model.cost(pair, count) * times
                     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.add.reduceat(times, first)), pa.array(np.add.reduceat(cost, first))],
@@ -224,20 +225,25 @@ def scored(packed: DataFrame, pairs: DataFrame, model: Model, shards: int) -> Da
     return both.mapInArrow(look_up, "known_id bigint, text_hash bigint, words bigint, cost double")
 
 
-def thresholds(scores: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
-    """Per language: mean log perplexity and threshold of trusted documents; and the threshold over all of them."""
-    trusted = scores.filter("trusted AND n_words > 0")
-    every = trusted.select(F.lit(None).cast("string").alias("lang"), "log_ppl", "n_words", F.lit(True).alias("all"))
+def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
+    """Per language, and over all of them (``all``): mean log perplexity and threshold of the held-out documents."""
+    held = scores.filter("held AND n_words > 0")
+    every = held.select(F.lit(None).cast("string").alias("lang"), "log_ppl", "n_words", F.lit(True).alias("all"))
     by = ["all", "lang"]
-    rows = written(trusted.select("lang", "log_ppl", "n_words", F.lit(False).alias("all")).union(every), "kn-trusted")
-    means = rows.groupBy(*by).agg((F.sum(F.round(F.col("log_ppl") * F.col("n_words"), 6).cast("decimal(30,6)")) / F.sum("n_words")).cast("double").alias("mean"))
+    rows = written(held.select("lang", "log_ppl", "n_words", F.lit(False).alias("all")).union(every), "kn-held")
+    means = rows.groupBy(*by).agg((F.sum((F.col("log_ppl") * F.col("n_words")).cast("decimal(30,6)")) / F.sum("n_words")).cast("double").alias("mean"))
     drawn = rows.join(means.select(F.col("all").alias("__a"), F.col("lang").alias("__l"), "mean"), (F.col("all") == F.col("__a")) & F.col("lang").eqNullSafe(F.col("__l")))
     cell = F.floor((F.col("log_ppl") * F.col("n_words") + F.col("mean") * PRIOR_WORDS) / (F.col("n_words") + PRIOR_WORDS) * GRID).cast("bigint")
     cells = drawn.groupBy(*by, "mean", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy("cell")  # cells of the grid, not documents
-    ranked = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    cut = ranked.filter(F.col("upto") >= F.col("total") * quantile).groupBy(*by).agg(F.first("mean").alias("mean"), ((F.min("cell") + 1) / F.lit(float(GRID))).alias("cut"))
-    return written(cut, "kn-thresholds")
+    whole = Window.partitionBy(*by)  # cells of the grid, not documents
+    ranked = cells.withColumn("upto", F.sum("n").over(whole.orderBy("cell"))).withColumn("total", F.sum("n").over(whole))
+    place = F.col("cell") / float(GRID)
+    spread = F.sqrt(F.sum(F.col("n") * (place - F.col("mean")) ** 2) / F.sum("n"))
+    cut = ranked.groupBy(*by, "mean").agg(
+        F.min(F.when(F.col("upto") >= F.col("total") * quantile, F.col("cell") + 1)).alias("at"), spread.alias("spread"), F.max("total").alias("total"))
+    seen = F.col("at") / float(GRID)
+    few = F.col("total") * (1 - quantile) < 1
+    return written(cut.select(*by, "mean", F.when(few, F.greatest(seen, F.col("mean") + SPREAD * F.col("spread"))).otherwise(seen).alias("cut")), "kn-thresholds")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -247,8 +253,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     rows = docs.select("doc_id", "lang", text_of().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left").select(
-        "doc_id", "lang", F.col("__good").isNotNull().alias("trusted"), F.coalesce("doc_id", F.lit(-1)).alias("known_id"), F.xxhash64("text").alias("text_hash"), "text")
-    trusted = rows.filter("trusted").select("text")
+        "doc_id", "lang", F.col("__good").isNotNull().alias("trusted"), (F.pmod(F.xxhash64("__good"), F.lit(HELD)) == 0).alias("held"), F.coalesce("doc_id", F.lit(-1)).alias("known_id"), F.xxhash64("text").alias("text_hash"), "text")
+    trusted = rows.filter("trusted AND NOT held").select("text")
     counts = written(word_counts(trusted), "kn-words")
     types = counts.count()
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()  # bounded by the vocabulary
@@ -258,9 +264,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     shards = max(2 * spark.sparkContext.defaultParallelism, -(-pairs.count() // SHARD_ROWS))
     sums = scored(packed_pairs(rows, vocabulary, shards), pairs, model, shards).groupBy("known_id", "text_hash").agg(
         F.sum("words").alias("words"), F.sum(F.round("cost", 6).cast("decimal(30,6)")).alias("cost"))
-    same = rows.groupBy("known_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("trusted").alias("trusted"))
+    same = rows.groupBy("known_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("held").alias("held"))
     scores = same.join(sums, ["known_id", "text_hash"], "left").select(  # equal rows have been added up
-        "doc_id", "lang", "trusted", "rows", F.coalesce((F.col("words") / F.col("rows")).cast("bigint"), F.lit(0)).alias("n_words"),
+        "doc_id", "lang", "held", "rows", F.coalesce((F.col("words") / F.col("rows")).cast("bigint"), F.lit(0)).alias("n_words"),
         (F.col("cost").cast("double") / F.col("words")).alias("log_ppl"))
     scores = written(scores, "kn-scores")
     cut = thresholds(scores, quantile)

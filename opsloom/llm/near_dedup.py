@@ -10,8 +10,8 @@ Documents with equal shingle sets form one class, and classes are compared by th
   second band, so that no link between candidates stays unexamined.
 * Verification: signatures of a pair are compared batch by batch. With a uniform prior the similarity after m matches in
   n is Beta(m + 1, n - m + 1); a pair goes as soon as the chance of a similarity at the threshold or above is under
-  ``MISS``. Survivors are confirmed on full shingle sets, first each class's best edge, then only what would still join
-  two components.
+  ``MISS``. Survivors are confirmed on full shingle sets: in every round each class's best edge, at the end only what
+  would still join two components.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a row without an id is
 linked with nothing, its component is null and it stays; rows that repeat an id are one document with the links of each
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from opsloom.llm.common import documents, text_of
-from opsloom.llm.components import components
+from opsloom.llm.components import components, small
 from opsloom.llm.shingles import shingle_sets
 from opsloom.session import written
 
@@ -39,9 +39,8 @@ THRESHOLD = 75  # percent
 BANDS, ROWS = 48, 5
 BATCH = 48
 MISS = 1e-6
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 SMALL_BUCKET = 32
-BROADCAST_IDS = 1_000_000
 _SEED = np.random.default_rng(2)
 _A = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _B = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -68,21 +67,21 @@ def sign(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n_shingles``, ``set_key`` (128-bit hash of the set, null when empty) and ``sig``."""
+    """``doc_id``, ``n_shingles``, ``set_key`` (128-bit hash of the set, null when empty) and ``sig``."""
     def rows(batches):
         for batch in batches:
-            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
+            ids = batch.column("doc_id")
             for lo in range(0, batch.num_rows, 2000):
                 sets = list(shingle_sets(batch.column("text").slice(lo, 2000), WORDS))
                 full = [s for s in sets if len(s)]
                 sigs = iter(sign(full)) if full else iter(())
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(lo, 2000), hashes.slice(lo, 2000), pa.array([len(s) for s in sets], pa.int64()),
+                    ids.slice(lo, 2000), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.data) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ], ["doc_id", "text_hash", "n_shingles", "set_key", "sig"])
+                ], ["doc_id", "n_shingles", "set_key", "sig"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(rows, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, set_key binary, sig binary")
 
 
 def hopeless(n: int, threshold: float = THRESHOLD / 100, miss: float = MISS) -> int:
@@ -141,45 +140,54 @@ def ordered(a: str, b: str) -> list:
 
 
 class Linker:
-    """State of the rounds: links found so far, components, and pairs already examined; all held in tables."""
+    """State of the rounds: components so far and pairs that wait for a check on full sets; all held in tables."""
 
     def __init__(self, docs: DataFrame, sigs: DataFrame):
         self.docs, self.sigs = docs, sigs
-        self.links = self.seen = self.labels = None
+        self.labels, self.waiting, self.size = None, None, 0
 
     def component(self, df: DataFrame, column: str, out: str) -> DataFrame:
         if self.labels is None:
             return df.withColumn(out, F.col(column))
-        named = self.labels.select(F.col("id").alias("__v"), F.col("component").alias("__c"))
+        named = small(self.labels.select(F.col("id").alias("__v"), F.col("component").alias("__c")), self.size)
         return df.join(named, F.col(column) == F.col("__v"), "left").withColumn(out, F.coalesce("__c", column)).drop("__v", "__c")
 
-    def add(self, links: DataFrame) -> None:
-        self.links = links if self.links is None else written(self.links.union(links), "links")
-        self.labels = components(self.links)
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm pairs on full sets and join what is linked."""
+        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "survivor-ids")
+        n = ids.count()
+        if not n:
+            return
+        texts = written(self.docs.join(small(ids, n), "doc_id", "left_semi"), "survivor-texts")
+        links = written(confirm(pairs, texts), "links")
+        if links.isEmpty():
+            return
+        if self.labels is None:
+            self.labels = written(components(links), "labels")
+        else:
+            both = self.component(self.component(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            joined = written(components(both), "joined")
+            old = self.labels.join(small(joined.withColumnRenamed("id", "__i").withColumnRenamed("component", "__c"), joined.count()), F.col("component") == F.col("__i"), "left")
+            old = old.select("id", F.coalesce("__c", "component").alias("component"))
+            new = joined.join(self.labels.select("id"), "id", "left_anti")
+            self.labels = written(old.unionByName(new), "labels")
+        self.size = self.labels.count()
 
     def between(self, pairs: DataFrame) -> DataFrame:
         both = self.component(self.component(pairs, "a", "ca"), "b", "cb")
         return both.filter(F.col("ca") != F.col("cb")).drop("ca", "cb")
 
     def examine(self, pairs: DataFrame) -> None:
-        """Sift the pairs not seen yet and confirm what may join components."""
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
+        """Sift the pairs; confirm each class's best, and let the others wait for the end."""
         left = written(sift(pairs, self.sigs), "survivors")
-        ids = left.select(F.col("a").alias("cid")).union(left.select("b")).distinct()
-        need = written(self.sigs.join(ids, "cid", "left_semi").select(F.col("cid").alias("doc_id"), "text_hash").distinct(), "survivor-ids")
-        n = need.count()
-        if n == 0:
-            return
-        texts = self.docs.join(F.broadcast(need) if n <= BROADCAST_IDS else need, ["doc_id", "text_hash"], "left_semi")
-        texts = written(texts.distinct().select("doc_id", "text"), "survivor-texts")
         best = left.groupBy(F.col("b").alias("v")).agg(F.max(F.struct("matches", "a", "b")).alias("e")).select("e.a", "e.b")
-        first = written(best.distinct(), "best")
-        self.add(written(confirm(first, texts), "links"))
-        rest = self.between(left.join(first, ["a", "b"], "left_anti"))
-        self.add(written(confirm(rest, texts), "links"))
+        self.add(written(best, "best"))
+        self.waiting = left if self.waiting is None else self.waiting.union(left)
+
+    def finish(self, pairs: DataFrame) -> None:
+        """Sift the pairs and confirm everything that may still join two components."""
+        left = sift(pairs, self.sigs).union(self.waiting)
+        self.add(written(self.between(left).select("a", "b").distinct(), "rest"))
 
 
 def buckets(rows: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
@@ -193,13 +201,12 @@ def buckets(rows: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: ``n_shingles``, ``component_id`` and ``kept``."""
-    text = text_of()
-    docs = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    docs = docs.select("doc_id", text_of().alias("text"))
     rows = written(signed(docs), "signatures")
     named = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("cid")), "classes")
     own = named.join(classes.withColumnRenamed("set_key", "__k"), F.col("doc_id") == F.col("cid")).filter(F.col("set_key") == F.col("__k"))
-    sigs = written(own.dropDuplicates(["cid", "set_key"]).select("cid", "text_hash", "sig"), "class-signatures")
+    sigs = written(own.dropDuplicates(["cid", "set_key"]).select("cid", "sig"), "class-signatures")
     linker = Linker(docs, sigs)
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 1 + 2 * ROWS * i, 2 * ROWS))
     members = sigs.select("cid", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
@@ -210,15 +217,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         linker.examine(pairs)
     members, by = buckets(members.withColumn("rnd", F.lit(LEADER_ROUNDS)), linker)
     members = written(members.join(by, "key").select("key", "cid", "n", "comp"), "members")
-    small = members.filter(F.col("n") <= SMALL_BUCKET)
+    few = members.filter(F.col("n") <= SMALL_BUCKET)
     large = members.filter(F.col("n") > SMALL_BUCKET).select("cid", "key").join(sigs, "cid")
     finer = large.select("cid", F.explode(F.array(*[F.xxhash64("key", band(i)) for i in range(BANDS)])).alias("key"), F.lit(0).alias("rnd"))
     finer, by = buckets(finer, linker)
     finer = finer.join(by.select("key"), "key").select("key", "cid", "comp")
-    rest = written(small.select("key", "cid", "comp").union(finer), "rest")
+    rest = written(few.select("key", "cid", "comp").union(finer), "rest")
     other = rest.select("key", F.col("cid").alias("other"), F.col("comp").alias("other_comp"))
     across = rest.join(other, "key").filter((F.col("cid") < F.col("other")) & (F.col("comp") != F.col("other_comp")))
-    linker.examine(across.select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct())
+    linker.finish(across.select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct())
     found = linker.component(classes, "cid", "component_id").select("set_key", "component_id") if linker.labels is not None else classes.select("set_key", F.col("cid").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
