@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets form one class, and classes are compared by their smallest document.
 
-* Candidates: the signature of a class is cut into bands; classes that share a band meet in a bucket. With 48 bands of
-  5 values a pair at the threshold of 0.75 shares no bucket with a chance of 2e-6, a pair at 0.8 with 5e-9.
+* Candidates: the signature of a class is cut into bands; classes that share a band meet in a bucket. With 64 bands of
+  7 values a pair at the threshold of 0.75 shares no bucket with a chance of 1e-4, a pair at 0.8 with 2e-7; a pair at 0.5,
+  as documents with a shared passage are, shares one with a chance of 0.4 and a pair at 0.3 with 0.01.
 * No bucket is expanded into all pairs. In each round a bucket proposes one member as its leader, and only members of
   other components are compared with it; buckets whose members are one component leave. A bucket that still holds
   several components after the leader rounds is compared across its components only, large ones after they are cut by a
@@ -36,19 +37,20 @@ Q, S = {}, {}
 
 WORDS = 5
 THRESHOLD = 75  # percent
-BANDS, ROWS = 48, 5
-BATCH = 48
+BANDS, ROWS = 64, 7
+BATCH = 64
 MISS = 1e-6
 LEADER_ROUNDS = 2
-SMALL_BUCKET = 32
+SMALL_BUCKET = 64
 _SEED = np.random.default_rng(2)
 _A = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _B = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 
 
 def sign(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash signatures of non-empty sets, 16 bits a value; worked in pieces that stay in the processor's cache."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint16)
+    """MinHash signatures of non-empty sets, the low 8 bits of each value (equal by chance once in 256, which can only keep a
+    pair alive longer); worked in pieces that stay in the processor's cache."""
+    out = np.empty((len(sets), BANDS * ROWS), np.uint8)
     lo = 0
     while lo < len(sets):
         hi, n = lo, 0
@@ -104,7 +106,7 @@ def sift(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+            read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
             a, b = read("sig_a"), read("sig_b")
             alive, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for n, least in stops:
@@ -135,6 +137,11 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a bigint, b bigint")
 
 
+def alike(a: str, b: str):
+    """Sizes of sets that can reach the threshold at all."""
+    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+
+
 def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -192,10 +199,10 @@ class Linker:
 
 def buckets(rows: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
     """Rows (``key``, ``cid``, ``comp``) of buckets that hold several components, and those buckets (``key``, ``n``, ``leader``)."""
-    rows = linker.component(rows.select("key", "cid", "rnd"), "cid", "comp")
+    rows = linker.component(rows.select("key", "cid", "n_set", "rnd"), "cid", "comp")
     by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                 F.min(F.struct(F.xxhash64("rnd", "key", "cid").alias("h"), "cid", "comp")).alias("leader"))
-    by = written(by.filter(F.col("lo") != F.col("hi")).select("key", "n", F.col("leader.cid").alias("leader"), F.col("leader.comp").alias("leader_comp")), "buckets")
+                                 F.min(F.struct(F.xxhash64("rnd", "key", "cid").alias("h"), "cid", "comp", "n_set")).alias("leader"))
+    by = written(by.filter(F.col("lo") != F.col("hi")).select("key", "n", F.col("leader.cid").alias("leader"), F.col("leader.comp").alias("leader_comp"), F.col("leader.n_set").alias("leader_set")), "buckets")
     return rows, by
 
 
@@ -206,25 +213,25 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     named = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("cid")), "classes")
     own = named.join(classes.withColumnRenamed("set_key", "__k"), F.col("doc_id") == F.col("cid")).filter(F.col("set_key") == F.col("__k"))
-    sigs = written(own.dropDuplicates(["cid", "set_key"]).select("cid", "sig"), "class-signatures")
+    sigs = written(own.dropDuplicates(["cid", "set_key"]).select("cid", F.col("n_shingles").alias("n_set"), "sig"), "class-signatures")
     linker = Linker(docs, sigs)
-    band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 1 + 2 * ROWS * i, 2 * ROWS))
-    members = sigs.select("cid", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
+    band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 1 + ROWS * i, ROWS))
+    members = sigs.select("cid", "n_set", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
     for rnd in range(LEADER_ROUNDS):
         members, by = buckets(members.withColumn("rnd", F.lit(rnd)), linker)
-        members = written(members.join(by, "key").select("key", "cid", "n", "comp", "leader", "leader_comp"), "members")
-        pairs = members.filter(F.col("comp") != F.col("leader_comp")).select(*ordered("cid", "leader")).distinct()
+        members = written(members.join(by, "key").select("key", "cid", "n_set", "n", "comp", "leader", "leader_comp", "leader_set"), "members")
+        pairs = members.filter((F.col("comp") != F.col("leader_comp")) & alike("n_set", "leader_set")).select(*ordered("cid", "leader")).distinct()
         linker.examine(pairs)
     members, by = buckets(members.withColumn("rnd", F.lit(LEADER_ROUNDS)), linker)
-    members = written(members.join(by, "key").select("key", "cid", "n", "comp"), "members")
+    members = written(members.join(by, "key").select("key", "cid", "n_set", "n", "comp"), "members")
     few = members.filter(F.col("n") <= SMALL_BUCKET)
     large = members.filter(F.col("n") > SMALL_BUCKET).select("cid", "key").join(sigs, "cid")
-    finer = large.select("cid", F.explode(F.array(*[F.xxhash64("key", band(i)) for i in range(BANDS)])).alias("key"), F.lit(0).alias("rnd"))
+    finer = large.select("cid", "n_set", F.explode(F.array(*[F.xxhash64("key", band(i)) for i in range(BANDS)])).alias("key"), F.lit(0).alias("rnd"))
     finer, by = buckets(finer, linker)
-    finer = finer.join(by.select("key"), "key").select("key", "cid", "comp")
-    rest = written(few.select("key", "cid", "comp").union(finer), "rest")
-    other = rest.select("key", F.col("cid").alias("other"), F.col("comp").alias("other_comp"))
-    across = rest.join(other, "key").filter((F.col("cid") < F.col("other")) & (F.col("comp") != F.col("other_comp")))
+    finer = finer.join(by.select("key"), "key").select("key", "cid", "n_set", "comp")
+    rest = written(few.select("key", "cid", "n_set", "comp").union(finer), "rest")
+    other = rest.select("key", F.col("cid").alias("other"), F.col("comp").alias("other_comp"), F.col("n_set").alias("other_set"))
+    across = rest.join(other, "key").filter((F.col("cid") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & alike("n_set", "other_set"))
     linker.finish(across.select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct())
     found = linker.component(classes, "cid", "component_id").select("set_key", "component_id") if linker.labels is not None else classes.select("set_key", F.col("cid").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")

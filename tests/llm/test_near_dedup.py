@@ -57,7 +57,7 @@ def test_empty_and_other_columns(spark):
 def test_stop_is_the_posterior_bound():
     # P(J >= t | m of n) under a uniform prior, by integration of the Beta density on a fine grid.
     x = (np.arange(200_000) + 0.5) / 200_000
-    for n in (48, 240):
+    for n in (64, 448):
         m = M.hopeless(n)
         for k, under in ((m, True), (m + 1, False)):
             density = np.exp(k * np.log(x) + (n - k) * np.log(1 - x))
