@@ -36,9 +36,10 @@ Q, S = {}, {}
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1  # grams in a window
-RUN = 64  # most windows in a row, so that the first and the last window cover its context
+RUN = 100  # most windows in a row, so that the first and the last window cover its context
 SLICE_BYTES = 400_000
 HOT_ROWS = 20_000
+GROUP_ROWS = 5_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,8 +196,8 @@ def window_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def spans_of(doc, tag, start):
-    """Runs of repeated windows (sorted by document, tag, start) as spans of bytes."""
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + 1)]) if len(doc) else np.empty(0, bool)
+    """Runs of repeated windows that follow each other as spans of bytes."""
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.empty(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc))[:len(first)] - 1
     return doc[first], tag[first], start[first], start[last] + LENGTH
@@ -207,42 +208,37 @@ SPAN = "doc_id bigint, tag bigint, lo bigint, hi bigint"
 
 def compare_windows(rows: DataFrame) -> DataFrame:
     """Spans of the windows that are not the first of their kind, anchor by anchor."""
-    def groups(batches):
-        part: list = []
+    def repeats(batches):
+        """Whole groups are put together to ``GROUP_ROWS`` rows or more; equal windows have equal anchors, so a group
+        never needs another."""
+        parts, n = [], 0
         for batch in batches:
             h = batch.column("h").to_numpy()
-            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi == lo:
-                    continue
-                if part and part[0].column("h")[0].as_py() != h[lo]:
-                    yield part
-                    part = []
-                part.append(batch.slice(lo, hi - lo))
-        if part:
-            yield part
-
-    def repeats(batches):
-        out, n = [[], [], [], []], 0
-        for group in groups(batches):
-            doc = np.concatenate([b.column("doc_id").to_numpy() for b in group])
-            place = np.concatenate([b.column("place").to_numpy() for b in group])
-            blobs = [x for b in group for x in b.column("bytes").to_pylist()]
-            fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])  # equal rows of the table count once
-            doc, place, blobs = doc[fresh], place[fresh], [b for b, f in zip(blobs, fresh) if f]
-            tag, start, _ = unpack(place)
-            hashes, row, inner = window_hashes(blobs)
-            again = np.ones(len(hashes), bool)
-            again[np.unique(hashes, return_index=True)[1]] = False
-            row, inner = row[again], inner[again]
-            for o, x in zip(out, spans_of(doc[row], tag[row], start[row] + inner)):
-                o.append(x)
-            n += 1
-            if n % 2000 == 0:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["doc_id", "tag", "lo", "hi"])
-                out = [[], [], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["doc_id", "tag", "lo", "hi"])
+            cut = len(h) and int(np.searchsorted(h, h[-1]))  # where the last group of the batch begins
+            if parts and len(h) and parts[-1].column("h")[-1].as_py() == h[-1]:
+                cut = 0
+            parts.append(batch.slice(0, cut))
+            n += cut
+            if cut and n >= GROUP_ROWS:  # what is held ends with a whole group
+                yield first_kept(parts)
+                parts, n = [], 0
+            parts.append(batch.slice(cut))
+            n += len(h) - cut
+            parts = [p for p in parts if p.num_rows]
+        if parts:
+            yield first_kept(parts)
+
+    def first_kept(parts):
+        doc, place = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("doc_id", "place"))
+        blobs = [x for p in parts for x in p.column("bytes").to_pylist()]
+        fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])  # equal rows of the table count once
+        doc, place, blobs = doc[fresh], place[fresh], [b for b, f in zip(blobs, fresh) if f]
+        tag, start, _ = unpack(place)
+        hashes, row, inner = window_hashes(blobs)
+        again = np.ones(len(hashes), bool)
+        again[np.unique(hashes, return_index=True)[1]] = False
+        row, inner = row[again], inner[again]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in spans_of(doc[row], tag[row], start[row] + inner)], ["doc_id", "tag", "lo", "hi"])
 
     return rows.repartition("h").sortWithinPartitions("h", "doc_id", "place").mapInArrow(repeats, SPAN)
 
