@@ -1,21 +1,14 @@
-"""Left join against a table with one row per key, safe for hot keys."""
+"""Left join against a table with one row per key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-SALTS = 16
 
+def lookup_join(df: DataFrame, lookup: DataFrame, on: list[str]) -> DataFrame:
+    """Left join ``df`` to ``lookup``, which has one row per key and is never multiplied.
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: list[str], spread: Column | None = None, salts: int = SALTS) -> DataFrame:
-    """Left join ``df`` to ``lookup`` on ``on``.
-
-    Spark broadcasts the lookup when the measured size is below its threshold. For the other case a ``spread``
-    column (any well distributed row value) salts the big side, so that a hot key is split over ``salts``
-    tasks and only the small lookup is repeated.
+    Spark broadcasts the lookup when it measures it as small. Beyond that both sides are shuffled once and adaptive
+    execution splits the partition of a hot key, repeating only that partition of the lookup.
     """
-    if spread is None:
-        return df.join(lookup, on, "left")
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], "left").drop("__salt")
+    return df.join(lookup, on, "left")

@@ -56,7 +56,7 @@ def apply_ordinal_rules(df: DataFrame) -> DataFrame:
 def coerce(c: Column, logical_type: str) -> Column:
     """Cast that yields NULL (integer: 0) instead of failing."""
     if logical_type == "integer":
-        return F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))
+        return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"), F.lit(0))
     if logical_type == "float":
         return c.try_cast("double")
     if logical_type == "boolean":

@@ -25,7 +25,7 @@ def frequency_encode(df: DataFrame, columns=SHARE_COLUMNS, key: str = "number")
     """Add ``<column>_freq``, the share of the value in the whole table."""
     for c in [c for c in columns if c in df.columns]:
         shares = frequency_shares(df, c).withColumnRenamed("share", f"{c}_freq")
-        df = lookup_join(df, shares, [c], F.col(key)).withColumn(f"{c}_freq", F.round(F.coalesce(f"{c}_freq", F.lit(0.0)), 4))
+        df = lookup_join(df, shares, [c]).withColumn(f"{c}_freq", F.round(F.coalesce(f"{c}_freq", F.lit(0.0)), 4))
     return df
 
 
@@ -33,7 +33,7 @@ def apply_frequency(df: DataFrame, fitted: dict[str, DataFrame], key: str = "num
     """Replace columns by shares fitted elsewhere; an unseen value gets the smallest share."""
     for c, shares in fitted.items():
         df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)))
-        df = lookup_join(df, shares.withColumnRenamed("share", "__s"), [c], F.col(key))
+        df = lookup_join(df, shares.withColumnRenamed("share", "__s"), [c])
         df = df.withColumn(c, F.coalesce("__s", F.lit(UNSEEN_SHARE))).drop("__s")
     return df
 
@@ -60,7 +60,7 @@ def target_encode(df: DataFrame, train: DataFrame, columns: list[str], y: Column
         fitted = target_means(train, c, y, smoothing)
         overall = fitted.agg(F.max("global_mean")).scalar()
         df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)))
-        df = lookup_join(df, fitted.select(c, F.col("value").alias("__v")), [c], F.col(key))
+        df = lookup_join(df, fitted.select(c, F.col("value").alias("__v")), [c])
         df = df.withColumn(c, F.coalesce("__v", overall)).drop("__v")
     return df
 
@@ -74,8 +74,9 @@ def target_encode_out_of_fold(df: DataFrame, column: str, y: Column, fold: Colum
     whole = part.groupBy("__c").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"))
     folds = part.groupBy("__f").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
     total = part.agg(F.struct(F.sum("n").alias("n"), F.sum("s").alias("s"))).scalar()
-    others = (total["s"] - F.col("fs")) / (total["n"] - F.col("fn"))
+    rest = total["n"] - F.col("fn")
+    others = F.when(rest > 0, F.try_divide(total["s"] - F.col("fs"), rest)).otherwise(total["s"] / total["n"])  # a single fold has no others
     mean = part.join(whole, "__c").join(folds, "__f").select(
         "__c", "__f", ((F.col("ts") - F.col("s") + smoothing * others) / (F.col("tn") - F.col("n") + smoothing)).alias(f"{column}_te")
     )
-    return lookup_join(rows, mean, ["__c", "__f"], F.col(key)).drop("__c", "__f", "__y")
+    return lookup_join(rows, mean, ["__c", "__f"]).drop("__c", "__f", "__y")

@@ -32,7 +32,8 @@ def tickets_from_text(df: DataFrame, text: str, as_of) -> DataFrame:
 def resolve_queries(asked: DataFrame, store: DataFrame) -> DataFrame:
     """``(query_id, kind, semantic_text)``: a stored ticket number stands for its stored text, else the query is the text."""
     q = asked.select("query_id", trim_ws(F.col("query")).alias("number"))
-    known = lookup_join(q, store.select("number", "semantic_text"), ["number"], F.col("query_id"))
+    asked_for = store.select("number", "semantic_text").join(q.select("number").distinct(), "number", "left_semi")
+    known = lookup_join(q, asked_for, ["number"])  # only the texts that are asked for meet the queries
     return known.select(
         "query_id", F.when(F.col("semantic_text").isNotNull(), "number").otherwise("text").alias("kind"),
         F.coalesce("semantic_text", "number").alias("semantic_text"))

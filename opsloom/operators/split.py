@@ -30,8 +30,8 @@ def row_hash(key: str = "number", seed: int = SEED) -> Column:
 def random_split(df: DataFrame, key: str = "number", ratios=RATIOS, seed: int = SEED) -> DataFrame:
     """Tag rows by hash bucket; no shuffle."""
     check_ratios(ratios)
-    bucket = F.conv(F.substring(row_hash(key, seed), 1, 8), 16, 10).cast("bigint") % 100
-    train, val = round(ratios[0] * 100), round((ratios[0] + ratios[1]) * 100)
+    bucket = F.conv(F.substring(row_hash(key, seed), 1, 8), 16, 10).cast("bigint")
+    train, val = round(ratios[0] * 2**32), round((ratios[0] + ratios[1]) * 2**32)
     return df.withColumn("split", F.when(bucket < train, "train").when(bucket < val, "val").otherwise("test"))
 
 
@@ -73,7 +73,7 @@ def _tag(hashed: Column) -> Column:
 
 def group_rare_classes(df: DataFrame, target: str, key: str = "number", least: int = MIN_CLASS_ROWS) -> DataFrame:
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") < least)
-    tagged = lookup_join(df, counts, [target], F.col(key))
+    tagged = lookup_join(df, counts, [target])
     label = F.when(F.col("__n").isNotNull(), F.lit(RARE_CLASS)).otherwise(F.col(target))
     return tagged.withColumn(target, label).drop("__n").select(df.columns)
 
@@ -90,7 +90,7 @@ def stratified_split(df: DataFrame, target: str, key: str = "number", ratios=RAT
         "__class", F.coalesce(F.col(target).cast("string"), F.lit(""))
     )
     cuts = nth_hash(out, "__class", "__h", _size_cuts(ratios))
-    tagged = lookup_join(out, cuts, ["__class"], F.col(key))
+    tagged = lookup_join(out, cuts, ["__class"])
     return tagged.withColumn("split", _tag(F.col("__h"))).select(*df.columns, "split")
 
 

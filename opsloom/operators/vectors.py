@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from opsloom.session import materialize
 
 BLOCK_ROWS = 4096
-MAX_CELLS = 4096
 # Rows per cell the index aims at, default cells and probes.
-ROWS_PER_CELL, DEFAULT_CELLS, DEFAULT_PROBES = 39, 100, 10
+ROWS_PER_CELL, LEAST_CELLS, DEFAULT_PROBES = 39, 100, 10
 SCORE_DIGITS = 6
 
 
@@ -51,7 +50,8 @@ def _pack(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _plain(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    """Ids and vectors; a row without a vector can neither ask nor match."""
+    return df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
 
 
 def _cell_parts(assigned: DataFrame, block_rows: int) -> DataFrame:
@@ -83,15 +83,15 @@ def _top_k(metric: str, k: int, exclude_self: bool):
                 if exclude_self:
                     same = q_ids.to_numpy(zero_copy_only=False)[:, None] == c_ids.to_numpy(zero_copy_only=False)[order][None, :]
                     near = np.where(same, -np.inf, near)
-                # Unique integer keys: score first, then the smaller id; an excluded pair sorts last.
-                finite = np.where(np.isinf(near), 0, near).astype(np.int64)
-                key = np.where(np.isinf(near), -(2**62), finite * m + (m - 1 - np.arange(m)))
+                # The K best of a row and all that tie with the last of them; ties go to the smaller id.
                 take = min(k, m)
-                best = np.argpartition(-key, take - 1, axis=1)[:, :take] if take < m else np.tile(np.arange(m), (len(q), 1))
-                rows = np.repeat(np.arange(len(q)), best.shape[1])
-                cols = best.ravel()
+                last = np.partition(near, m - take, axis=1)[:, m - take]
+                rows, cols = np.nonzero((near >= last[:, None]) & ~np.isinf(near))
                 value = near[rows, cols]
-                keep = ~np.isinf(value)
+                ranked = np.lexsort((cols, -value, rows))
+                rows, cols, value = rows[ranked], cols[ranked], value[ranked]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                keep = place < take
                 rows, cols, value = rows[keep], cols[keep], value[keep]
                 yield pa.RecordBatch.from_arrays(
                     [q_ids.take(pa.array(rows)), c_ids.take(pa.array(order[cols])), pa.array((value if metric == "ip" else -value) / scale)],
@@ -127,10 +127,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", id_co
     return _merge(pairs, metric, k, dict(corpus.dtypes)[id_col], exclude_self)
 
 
-def train_cells(corpus: DataFrame, cells: int = DEFAULT_CELLS, vec_col: str = "embedding", seed: int = 42, iterations: int = 10) -> np.ndarray:
-    """Cell centres by k-means, one row per cell; at most ``MAX_CELLS`` rows, whatever the corpus size."""
+def train_cells(corpus: DataFrame, cells: int | None = None, vec_col: str = "embedding", seed: int = 42, iterations: int = 10) -> np.ndarray:
+    """Cell centres by k-means, one row per cell: as many as asked for, else about the square root of the corpus."""
+    corpus = corpus.filter(F.col(vec_col).isNotNull())
     n = corpus.count()
-    cells = min(cells, max(1, n // ROWS_PER_CELL), MAX_CELLS)
+    cells = min(cells or max(LEAST_CELLS, round(n**0.5)), max(1, n // ROWS_PER_CELL))
     vectors = corpus.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     if cells < 2:
         return np.zeros((1, len(vectors.first()["features"])))
@@ -156,11 +157,10 @@ def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int, id_col: str,
             )
 
     kind = dict(df.dtypes)[id_col]
-    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    return base.mapInArrow(assign, f"id {kind}, vec array<float>, cell int")
+    return _plain(df, id_col, vec_col).mapInArrow(assign, f"id {kind}, vec array<float>, cell int")
 
 
-def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int = DEFAULT_CELLS, probes: int = DEFAULT_PROBES, metric: str = "ip",
+def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int = DEFAULT_PROBES, metric: str = "ip",
               id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate top-K: a query is scored against the corpus of its ``probes`` closest cells only.
 

@@ -65,7 +65,7 @@ def _coerce(spark, sf):
 Q["coerce_types"] = _coerce
 S["coerce_types"] = """
 SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS opened_at,
-  coalesce(try_cast(o_orderpriority AS int), 0) AS int_or_zero, cast(left(o_orderpriority, 1) AS int) AS priority,
+  coalesce(try_cast(o_orderpriority AS bigint), 0)::bigint AS int_or_zero, cast(left(o_orderpriority, 1) AS bigint) AS priority,
   o_totalprice AS price, try_cast(o_orderpriority AS double) AS not_a_number,
   CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag
 FROM orders"""

@@ -19,12 +19,17 @@ def share_scores(spark, sf):
     """``(number, label, cls, score)`` from past shares: the baseline a model is compared with.
 
     A group is scored by its share among the train tickets of the same cell: the caller where the order is
-    finished, else service and category.
+    finished, else service and category. A cell without a train ticket takes the shares over all train tickets, so
+    every ticket is scored.
     """
     df = random_split(repaired(spark, sf)).withColumn(
         "cell", F.when(F.col("subcategory") == "F", F.col("caller")).otherwise(F.concat("business_service", "category")))
     train = df.filter("split = 'train'").groupBy("cell", F.col("assignment_group").alias("cls")).agg(
         F.count(F.lit(1)).alias("c"), F.sum("resolution_time_hours").alias("h"))
+    every = train.groupBy("cls").agg(F.sum("c").alias("c"), F.sum("h").alias("h")).withColumn("cell", F.lit("*"))
+    known = train.select(F.col("cell").alias("__cell")).distinct()
+    df = df.join(known, F.col("cell") == F.col("__cell"), "left").withColumn("cell", F.coalesce("__cell", F.lit("*")))
+    train = train.unionByName(every)
     size = train.groupBy("cell").agg(F.sum("c").alias("n"), F.sum("h").alias("hours"))
     share = train.join(size, "cell").select("cell", "cls", F.round(F.col("c") / F.col("n"), 6).alias("score"), (F.col("hours") / F.col("n")).alias("cell_hours"))
     rows = df.select("number", "ticket_key", "split", "cell", "priority", F.col("assignment_group").alias("label"), "resolution_time_hours")
@@ -38,10 +43,12 @@ def best_scores(spark, sf):
 SCORES_CTE = f"""
 , cells AS (SELECT number, ticket_key, priority, assignment_group AS label, resolution_time_hours, {RANDOM} AS split,
     CASE WHEN subcategory = 'F' THEN caller ELSE concat(business_service, category) END AS cell FROM rep),
-tr AS (SELECT cell, label AS cls, count(*) AS c, sum(resolution_time_hours) AS h FROM cells WHERE split = 'train' GROUP BY 1, 2),
+tr0 AS (SELECT cell, label AS cls, count(*) AS c, sum(resolution_time_hours) AS h FROM cells WHERE split = 'train' GROUP BY 1, 2),
+tr AS (SELECT cell, cls, c, h FROM tr0 UNION ALL SELECT '*', cls, sum(c), sum(h) FROM tr0 GROUP BY cls),
+asked AS (SELECT * REPLACE (CASE WHEN cell IN (SELECT cell FROM tr0) THEN cell ELSE '*' END AS cell) FROM cells),
 sh AS (SELECT cell, cls, round(c / (sum(c) OVER (PARTITION BY cell))::double, 6) AS score,
     sum(h) OVER (PARTITION BY cell) / sum(c) OVER (PARTITION BY cell) AS cell_hours FROM tr),
-scores AS (SELECT * FROM cells JOIN sh USING (cell)),
+scores AS (SELECT * FROM asked JOIN sh USING (cell)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, cls) AS rn FROM scores) WHERE rn = 1)
 """
 

@@ -13,8 +13,8 @@ from opsloom.sources.tables import table, tickets
 Q, S = {}, {}
 
 HASH = "md5(concat({0}, '42'))"
-RANDOM = """CASE WHEN ('0x' || substr(md5(concat(number, '42')), 1, 8))::bigint % 100 < 70 THEN 'train'
-  WHEN ('0x' || substr(md5(concat(number, '42')), 1, 8))::bigint % 100 < 85 THEN 'val' ELSE 'test' END"""
+RANDOM = """CASE WHEN ('0x' || substr(md5(concat(number, '42')), 1, 8))::bigint < 3006477107 THEN 'train'
+  WHEN ('0x' || substr(md5(concat(number, '42')), 1, 8))::bigint < 3650722202 THEN 'val' ELSE 'test' END"""
 
 Q["split_random"] = lambda spark, sf: X.random_split(tickets(spark, sf)).select("number", "split")
 S["split_random"] = over_tickets(f"SELECT number, {RANDOM} AS split FROM tickets")

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class ColumnPolicy:
-    label: str
     logical_type: str
     max_missing_pct: float
     leakage: str
@@ -19,60 +18,49 @@ class ColumnPolicy:
     required: bool
 
 
-# Column -> label | type | allowed missing % | leakage tier | encoding | imputation | role | required
-_POLICY_TEXT = """
-number                     | Incident Number                    | string   | 0  | safe    | none        | none             | excluded  | required
-opened_at                  | Opened Timestamp                   | datetime | 0  | safe    | none        | none             | excluded  | required
-resolved_at                | Resolved Timestamp                 | datetime | 2  | blocked | none        | none             | excluded  | optional
-priority                   | Priority Level                     | integer  | 0  | safe    | ordinal     | mode             | predictor | required
-business_impact            | Business Impact                    | integer  | 0  | safe    | ordinal     | mode             | predictor | required
-severity                   | System Severity                    | integer  | 0  | safe    | ordinal     | mode             | predictor | required
-state                      | Lifecycle State                    | integer  | 0  | safe    | one_hot     | mode             | excluded  | required
-category                   | IT Domain Category                 | string   | 0  | safe    | one_hot     | constant_unknown | predictor | required
-subcategory                | Technical Subcategory              | string   | 0  | safe    | frequency   | constant_unknown | predictor | required
-assignment_group           | Assignment Group                   | string   | 0  | safe    | label       | constant_unknown | target    | required
-assigned_to                | Assigned Engineer                  | string   | 15 | safe    | none        | constant_unknown | excluded  | optional
-cmdb_ci                    | Configuration Item (CI)            | string   | 0  | safe    | frequency   | constant_unknown | predictor | required
-short_description          | Incident Summary Title             | string   | 0  | safe    | none        | constant_unknown | predictor | required
-description                | Full Diagnostic Description        | string   | 0  | safe    | none        | constant_unknown | predictor | required
-close_code                 | Resolution Code Taxonomy           | string   | 12 | blocked | none        | none             | excluded  | optional
-resolution_time_hours      | Resolution Time (Hours)            | float    | 2  | blocked | none        | median           | target    | optional
-calendar_stc               | Calendar Duration (Hours)          | float    | 2  | blocked | none        | none             | excluded  | optional
-made_sla                   | SLA Compliance Flag                | boolean  | 0  | blocked | none        | none             | excluded  | required
-problem_flag               | Problem Investigation Flag         | boolean  | 0  | warning | none        | none             | excluded  | required
-problem_id                 | Linked Problem ID                  | string   | 90 | warning | none        | constant_unknown | excluded  | optional
-opened_at_hour             | Opened Hour of Day                 | integer  | 0  | safe    | sine_cosine | none             | predictor | required
-opened_at_hour_sin         | Opened Hour Sine Cyclic            | float    | 0  | safe    | none        | none             | predictor | required
-opened_at_hour_cos         | Opened Hour Cosine Cyclic          | float    | 0  | safe    | none        | none             | predictor | required
-opened_at_dayofweek        | Opened Day of Week                 | integer  | 0  | safe    | sine_cosine | none             | predictor | required
-opened_at_dayofweek_sin    | Opened Day of Week Sine Cyclic     | float    | 0  | safe    | none        | none             | predictor | required
-opened_at_dayofweek_cos    | Opened Day of Week Cosine Cyclic   | float    | 0  | safe    | none        | none             | predictor | required
-is_business_hours          | Business Hours Indicator           | integer  | 0  | safe    | none        | none             | predictor | required
-has_problem_id             | Has Problem Record Flag            | integer  | 0  | safe    | none        | none             | predictor | required
-priority_x_business_impact | Priority x Impact Interaction Score| float    | 0  | safe    | none        | median           | predictor | required
-u_caused_by                | Caused By (Custom)                 | string   | 0  | safe    | frequency   | constant_unknown | predictor | optional
-u_development_release_id   | Dev Release ID (Custom)            | string   | 0  | safe    | frequency   | constant_unknown | predictor | optional
-u_vendor_ticket_ref        | Vendor Ticket Ref (Custom)         | string   | 0  | safe    | frequency   | constant_unknown | predictor | optional
-u_describe_customer_impact | Describe Customer Impact (Custom)  | string   | 0  | safe    | none        | constant_unknown | predictor | optional
-caused_by                  | Caused By                          | string   | 0  | safe    | frequency   | constant_unknown | predictor | optional
-incident_state             | Incident State                     | string   | 0  | blocked | none        | constant_unknown | excluded  | optional
-close_notes                | Close Notes                        | string   | 0  | blocked | none        | constant_unknown | excluded  | optional
-"""
-
-
-def _parse(text: str) -> dict[str, ColumnPolicy]:
-    out = {}
-    for line in text.strip().splitlines():
-        name, label, kind, missing, leak, enc, imp, role, req = (p.strip() for p in line.split("|"))
-        out[name] = ColumnPolicy(label, kind, float(missing), leak, enc, imp, role, req == "required")
-    return out
-
-
-POLICY: dict[str, ColumnPolicy] = _parse(_POLICY_TEXT)
+# Column -> type, allowed missing percent, leakage tier, encoding, imputation, role, required.
+POLICY: dict[str, ColumnPolicy] = {
+    "number": ColumnPolicy("string", 0, "safe", "none", "none", "excluded", True),
+    "opened_at": ColumnPolicy("datetime", 0, "safe", "none", "none", "excluded", True),
+    "resolved_at": ColumnPolicy("datetime", 2, "blocked", "none", "none", "excluded", False),
+    "priority": ColumnPolicy("integer", 0, "safe", "ordinal", "mode", "predictor", True),
+    "business_impact": ColumnPolicy("integer", 0, "safe", "ordinal", "mode", "predictor", True),
+    "severity": ColumnPolicy("integer", 0, "safe", "ordinal", "mode", "predictor", True),
+    "state": ColumnPolicy("integer", 0, "safe", "one_hot", "mode", "excluded", True),
+    "category": ColumnPolicy("string", 0, "safe", "one_hot", "constant_unknown", "predictor", True),
+    "subcategory": ColumnPolicy("string", 0, "safe", "frequency", "constant_unknown", "predictor", True),
+    "assignment_group": ColumnPolicy("string", 0, "safe", "label", "constant_unknown", "target", True),
+    "assigned_to": ColumnPolicy("string", 15, "safe", "none", "constant_unknown", "excluded", False),
+    "cmdb_ci": ColumnPolicy("string", 0, "safe", "frequency", "constant_unknown", "predictor", True),
+    "short_description": ColumnPolicy("string", 0, "safe", "none", "constant_unknown", "predictor", True),
+    "description": ColumnPolicy("string", 0, "safe", "none", "constant_unknown", "predictor", True),
+    "close_code": ColumnPolicy("string", 12, "blocked", "none", "none", "excluded", False),
+    "resolution_time_hours": ColumnPolicy("float", 2, "blocked", "none", "median", "target", False),
+    "calendar_stc": ColumnPolicy("float", 2, "blocked", "none", "none", "excluded", False),
+    "made_sla": ColumnPolicy("boolean", 0, "blocked", "none", "none", "excluded", True),
+    "problem_flag": ColumnPolicy("boolean", 0, "warning", "none", "none", "excluded", True),
+    "problem_id": ColumnPolicy("string", 90, "warning", "none", "constant_unknown", "excluded", False),
+    "opened_at_hour": ColumnPolicy("integer", 0, "safe", "sine_cosine", "none", "predictor", True),
+    "opened_at_hour_sin": ColumnPolicy("float", 0, "safe", "none", "none", "predictor", True),
+    "opened_at_hour_cos": ColumnPolicy("float", 0, "safe", "none", "none", "predictor", True),
+    "opened_at_dayofweek": ColumnPolicy("integer", 0, "safe", "sine_cosine", "none", "predictor", True),
+    "opened_at_dayofweek_sin": ColumnPolicy("float", 0, "safe", "none", "none", "predictor", True),
+    "opened_at_dayofweek_cos": ColumnPolicy("float", 0, "safe", "none", "none", "predictor", True),
+    "is_business_hours": ColumnPolicy("integer", 0, "safe", "none", "none", "predictor", True),
+    "has_problem_id": ColumnPolicy("integer", 0, "safe", "none", "none", "predictor", True),
+    "priority_x_business_impact": ColumnPolicy("float", 0, "safe", "none", "median", "predictor", True),
+    "u_caused_by": ColumnPolicy("string", 0, "safe", "frequency", "constant_unknown", "predictor", False),
+    "u_development_release_id": ColumnPolicy("string", 0, "safe", "frequency", "constant_unknown", "predictor", False),
+    "u_vendor_ticket_ref": ColumnPolicy("string", 0, "safe", "frequency", "constant_unknown", "predictor", False),
+    "u_describe_customer_impact": ColumnPolicy("string", 0, "safe", "none", "constant_unknown", "predictor", False),
+    "caused_by": ColumnPolicy("string", 0, "safe", "frequency", "constant_unknown", "predictor", False),
+    "incident_state": ColumnPolicy("string", 0, "blocked", "none", "constant_unknown", "excluded", False),
+    "close_notes": ColumnPolicy("string", 0, "blocked", "none", "constant_unknown", "excluded", False),
+}
 
 SPARK_TYPES: dict[str, T.DataType] = {
     "string": T.StringType(),
-    "integer": T.IntegerType(),
+    "integer": T.LongType(),
     "float": T.DoubleType(),
     "boolean": T.BooleanType(),
     "datetime": T.TimestampNTZType(),
@@ -122,11 +110,15 @@ def allowed_missing(column: str) -> float:
     return POLICY[column].max_missing_pct if column in POLICY else 100.0
 
 
+def _title(name: str) -> str:
+    return name.replace("_", " ").title()
+
+
 def label_of(feature: str) -> str:
     """Display name of a column or of a derived vector slot such as ``category_NETWORK``."""
     if feature in POLICY:
-        return POLICY[feature].label
+        return _title(feature)
     base = max((c for c in POLICY if feature.startswith(c + "_")), key=len, default=None)
     if base:
-        return f"{POLICY[base].label} = {feature[len(base) + 1:]}"
-    return feature.replace("_", " ").title()
+        return f"{_title(base)} = {feature[len(base) + 1:]}"
+    return _title(feature)

@@ -18,7 +18,9 @@ def manifest(spark: SparkSession, base: str) -> DataFrame:
     """Every manifest entry ever written below ``base``."""
     try:
         return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{base}/manifest")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MANIFEST_SCHEMA)
 
 
@@ -39,7 +41,7 @@ def save_version(df: DataFrame, base: str, seed: int = 42, version: int | None =
     path = f"{base}/data/v={version}"
     if file_format == "csv":
         write_csv(df, path)
-        written = spark.read.schema(df.schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+        written = _read_csv(spark, path, df.schema)
     else:
         df.write.mode("errorifexists").parquet(path)
         written = spark.read.parquet(path)
@@ -51,5 +53,15 @@ def save_version(df: DataFrame, base: str, seed: int = 42, version: int | None =
     return version
 
 
-def load_version(spark: SparkSession, base: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{base}/data/v={version}")
+def _read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+    return (reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")).csv(path)
+
+
+def load_version(spark: SparkSession, base: str, version: int, schema=None) -> DataFrame:
+    """A version in the format it was written in; a CSV version takes ``schema`` or has its types inferred."""
+    entry = history(spark, base).filter(F.col("version") == version).select("file_format").first()
+    if entry is None:
+        raise ValueError(f"no version {version} below {base}")
+    path = f"{base}/data/v={version}"
+    return _read_csv(spark, path, schema) if entry["file_format"] == "csv" else spark.read.parquet(path)

@@ -134,13 +134,14 @@ def test_target_encoder(rows):
     assert out["1"] == pytest.approx((4 + 10 * 4) / 12) and out["9"] == pytest.approx(4.0)
 
 
-def test_lookup_join_salts_hot_keys(spark):
+def test_lookup_join_keeps_its_small_side(spark):
     df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     look = spark.range(9000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = lookup_join(df, look, ["k"], F.col("id"))
+        out = lookup_join(df, look, ["k"])
+        assert "explode" not in out._jdf.queryExecution().executedPlan().toString()
         assert out.count() == 9000 and out.filter("v != 2 * k").count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
@@ -154,3 +155,6 @@ def test_versions(rows, tmp_path):
         V.save_version(df, base, version=1)
     out = {r["version"]: (r["rows"], r["columns"], r["seed"]) for r in V.history(df.sparkSession, base).collect()}
     assert out == {1: (2, 2, 42), 2: (1, 2, 7)}
+    assert V.save_version(df, base, file_format="csv") == 3
+    assert sorted(map(tuple, V.load_version(df.sparkSession, base, 3, df.schema).collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, V.load_version(df.sparkSession, base, 1).collect())) == [("a", 1), ("b", 2)]

@@ -77,7 +77,7 @@ def test_leakage_rules():
 
 
 def test_labels():
-    assert label_of("category_Hardware") == "IT Domain Category = Hardware" and label_of("priority") == "Priority Level"
+    assert label_of("category_Hardware") == "Category = Hardware" and label_of("priority") == "Priority"
     assert label_of("some_new") == "Some New"
 
 

@@ -115,7 +115,7 @@ def test_reasoning_and_evidence(spark):
     m = spark.createDataFrame(match_rows(["Net"] * 2, [0.8, 0.7], [2.0, None], [0, 0]), MATCH)
     d = U.fuse(spark.createDataFrame([(1, "Net", 0.8, 4.0)], PRED), m)
     r = U.reasoning(d).first()
-    assert "'Net' with 80.0% confidence" in r["summary"] and r["bullet_3"].endswith("Yes (Verified Convergence)")
+    assert "'Net' (probability 80.0%)" in r["summary"] and r["bullet_3"].endswith(U.AGREE_YES)
     e = U.evidence_list(m).first()["historical_evidence"]
     assert [x["rank"] for x in e] == [1, 2] and e[1]["historical_hours"] == "N/A"
 
@@ -135,3 +135,12 @@ def test_auc_against_pairs(spark, bucket_rows):
     counts = M.score_counts(long, long.select("number", "label"), bucket_rows)
     got = {r["cls"]: r["auc"] for r in M.auc_by_class(counts).collect()}
     assert got["1"] == pytest.approx(np.mean(pairs))
+
+
+def test_top_k_of_large_scores_and_missing_vectors(rows):
+    v = rows([(1, [1e6, 0.0]), (2, [2e6, 1e6]), (3, [1e6, 1e6]), (4, None), (5, [0.0, 3e6]), (6, [2e6, 1e6])], "vec_id bigint, embedding array<float>")
+    for metric, score in (("ip", lambda a, b: -sum(x * y for x, y in zip(a, b))), ("l2", lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)))):
+        got = {(r["query_id"], r["rank"]): r["match_id"] for r in V.knn(v, v, 3, metric=metric).collect()}
+        vec = {r["vec_id"]: r["embedding"] for r in v.collect() if r["embedding"]}
+        want = {(q, k + 1): m for q in vec for k, m in enumerate(sorted(vec, key=lambda m: (score(vec[q], vec[m]), m))[:3])}
+        assert got == want
