@@ -169,12 +169,25 @@ def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None =
     centres = train_cells(corpus, cells, vec_col)
     near_q = materialize(nearest_cells(queries, centres, probes, id_col, vec_col), "query-cells")
     near_c = materialize(nearest_cells(corpus, centres, 1, id_col, vec_col), "corpus-cells")
+    return _knn_by_cell(near_q, near_c, k, metric, exclude_self, block_rows)
+
+
+def knn_within(queries: DataFrame, corpus: DataFrame, group: str, k: int, metric: str = "ip", id_col: str = "vec_id", vec_col: str = "embedding",
+               exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top-K among the vectors of the query's own ``group``; a query without a group has none."""
+    celled = lambda df: df.filter(F.col(vec_col).isNotNull() & F.col(group).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.col(group).alias("cell"))
+    return _knn_by_cell(celled(queries), celled(corpus), k, metric, exclude_self, block_rows)
+
+
+def _knn_by_cell(near_q: DataFrame, near_c: DataFrame, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Top-K of queries (``id``, ``vec``, ``cell``) among the corpus rows of their cells; blocks of a hot cell are split on both sides."""
     c_parts = _cell_parts(near_c, block_rows)
     q = _pack(near_q.join(_cell_parts(near_q, block_rows), "cell"), ["cell"])
     c = _pack(near_c.join(c_parts, "cell"), ["cell"])
     spread = q.join(c_parts, "cell").select("cell", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = spread.join(c.select("cell", "part", F.col("rows").alias("c_rows")), ["cell", "part"])
-    return _merge(pairs, metric, k, dict(corpus.dtypes)[id_col], exclude_self)
+    return _merge(pairs, metric, k, dict(near_c.dtypes)["id"], exclude_self)
 
 
 # Defaults of a formatted match.
@@ -202,9 +215,13 @@ def retrieval_consensus(matches: DataFrame) -> DataFrame:
     )
 
 
-def boost_same_item(matches: DataFrame, query_ci: str = "query_ci", match_ci: str = "match_ci", boost: float = 0.15, least: float = 0.5) -> DataFrame:
-    """Add a bonus when both tickets name the same item, then drop weak matches and rank again."""
+def boost_same_item(matches: DataFrame, query_ci: str = "query_ci", match_ci: str = "match_ci", boost: float = 0.15, least: float = 0.5, k: int | None = None) -> DataFrame:
+    """Add a bonus when both tickets name the same item, drop weak matches, rank again and keep the ``k`` best.
+
+    For the true K best after the bonus, ``matches`` must hold the K best of all and the K best of the same item.
+    """
     score = F.col("score") + F.when(F.col(query_ci) == F.col(match_ci), F.lit(boost)).otherwise(F.lit(0.0))
     w = Window.partitionBy("query_id").orderBy(F.col("boosted_score").desc(), "match_id")
     kept = matches.withColumn("boosted_score", F.round(score, 6)).filter(F.col("boosted_score") >= least)
-    return kept.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    ranked = kept.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return ranked.filter(F.col("rank") <= k) if k else ranked

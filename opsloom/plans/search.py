@@ -99,18 +99,36 @@ SELECT query_id, round(avg(similarity_score), 6) AS mean_similarity, any_value(b
 
 
 def _boosted(spark, sf):
-    m = matches(spark, sf, K)
-    own = meta(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("cmdb_ci").alias("query_ci"))
-    j = m.join(own, "query_id").withColumnsRenamed({"cmdb_ci": "match_ci", "similarity_score": "score"})
-    return V.boost_same_item(j).select("query_id", "match_id", "boosted_score", "rank")
+    item = repaired(spark, sf).select(F.col("ticket_key").alias("vec_id"), "cmdb_ci")
+    e = emb(spark, sf).join(item, "vec_id", "left")
+    found = V.knn(e, e, K, exclude_self=True).unionByName(V.knn_within(e, e, "cmdb_ci", K, exclude_self=True)).drop("rank").distinct()
+    name = lambda side: item.select(F.col("vec_id").alias(f"{side}_id"), F.col("cmdb_ci").alias(f"{side}_ci"))
+    j = found.join(name("query"), "query_id", "left").join(name("match"), "match_id", "left")
+    return V.boost_same_item(j, k=K).select("query_id", "match_id", "boosted_score", "rank")
 
 
 Q["knn_boosted"] = _boosted
 S["knn_boosted"] = over_repaired(f"""
-, m AS ({knn_sql(K, True)}),
-b AS (SELECT m.query_id, m.match_id, round(m.score + CASE WHEN q.cmdb_ci = t.cmdb_ci THEN 0.15::double ELSE 0 END, 6) AS boosted_score
-  FROM m JOIN rep q ON q.ticket_key = m.query_id LEFT JOIN rep t ON t.ticket_key = m.match_id)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted_score DESC, match_id) AS rank FROM b WHERE boosted_score >= 0.5""")
+, e AS (SELECT vec_id, embedding, cmdb_ci FROM embeddings LEFT JOIN rep ON ticket_key = vec_id),
+b AS (SELECT q.vec_id AS query_id, t.vec_id AS match_id,
+   round(round(list_inner_product(q.embedding::double[], t.embedding::double[]), 6) + CASE WHEN q.cmdb_ci = t.cmdb_ci THEN 0.15::double ELSE 0 END, 6) AS boosted_score
+  FROM e q, e t WHERE q.vec_id <> t.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted_score DESC, match_id) AS rank FROM b WHERE boosted_score >= 0.5)
+SELECT * FROM r WHERE rank <= {K}""")
+
+Q["knn_ivf_all_cells"] = lambda spark, sf: V.knn_cells(emb(spark, sf), emb(spark, sf), K, probes=2**31)
+S["knn_ivf_all_cells"] = knn_sql(K)
+
+
+def _recall(spark, sf):
+    """Share of the exact matches that the cell search finds."""
+    e = emb(spark, sf)
+    key = ["query_id", "match_id"]
+    exact, found = V.knn(e, e, K).select(*key), V.knn_cells(e, e, K).select(*key, F.lit(1).alias("hit"))
+    return exact.join(found, key, "left").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
+
+
+Q["knn_ivf_recall"] = _recall
 
 Q["tfidf_topterms"] = lambda spark, sf: TT.top_terms(TT.tfidf(docs(spark, sf), "doc_id", "description"))
 S["tfidf_topterms"] = f"""
