@@ -7,8 +7,9 @@ Documents with equal shingle sets form one class, and classes are compared by th
   as documents with a shared passage are, shares one with a chance of 0.4 and a pair at 0.3 with 0.01.
 * No bucket is expanded into all pairs. In each round a bucket proposes one member as its leader, and only members of
   other components are compared with it; buckets whose members are one component leave. A bucket that still holds
-  several components after the leader rounds is compared across its components only, large ones after they are cut by a
-  second band, so that no link between candidates stays unexamined.
+  several components after the leader rounds is compared across its components; members of crowded ones, which share a
+  passage more often than they are near copies, are instead compared where they share one of the rarest shingles of
+  their sets (prefix filter), which finds every link among them exactly.
 * Verification: signatures of a pair are compared batch by batch. With a uniform prior the similarity after m matches in
   n is Beta(m + 1, n - m + 1); a pair goes as soon as the chance of a similarity at the threshold or above is under
   ``MISS``. Survivors are confirmed on full shingle sets: in every round each class's best edge, at the end only what
@@ -26,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from opsloom.llm.common import documents, text_of
 from opsloom.llm.components import components, small
@@ -41,7 +42,7 @@ BANDS, ROWS = 64, 7
 BATCH = 64
 MISS = 1e-6
 LEADER_ROUNDS = 2
-SMALL_BUCKET = 64
+SMALL_BUCKET = 8
 _SEED = np.random.default_rng(2)
 _A = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _B = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -206,6 +207,39 @@ def buckets(rows: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
     return rows, by
 
 
+def across(rows: DataFrame) -> DataFrame:
+    """Pairs of rows with one key, of different components, whose sizes allow a link."""
+    other = rows.select("key", F.col("cid").alias("other"), F.col("comp").alias("other_comp"), F.col("n_set").alias("other_set"))
+    fit = (F.col("cid") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & alike("n_set", "other_set")
+    return rows.join(other, "key").filter(fit).select(F.col("cid").alias("a"), F.col("other").alias("b"))
+
+
+def prefix_rows(docs: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Keys for classes that share crowded buckets: the rarest quarter of each set (``key`` is a shingle).
+
+    Two sets at the threshold share one of their ``n - ceil(threshold * n) + 1`` rarest shingles, whatever the order, so
+    nothing is lost; a passage that stands in many documents is no key unless it is most of the document.
+    """
+    def explode(batches):
+        for batch in batches:
+            cid = batch.column("cid").to_numpy()
+            for lo in range(0, batch.num_rows, 500):
+                sets = list(shingle_sets(batch.column("text").slice(lo, 500), WORDS))
+                flat = np.concatenate([s.view(np.int64) for s in sets])
+                sizes = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[lo:lo + 500], sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(flat)], ["cid", "n_set", "key"])
+
+    n = crowded.count()
+    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(small(crowded.select("cid").distinct(), n), "cid", "left_semi")
+    rows = written(texts.mapInArrow(explode, "cid bigint, n_set bigint, key bigint"), "crowded-shingles")
+    counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "crowded-counts")
+    rarest = F.dense_rank().over(Window.partitionBy("cid", "n_set").orderBy("df", "key"))  # equal rows of the table rank alike
+    ranked = rows.join(counts, "key").withColumn("place", rarest).filter("df > 1")
+    sized = ranked.join(small(crowded.select("cid", "comp").distinct(), n), "cid")
+    prefix = F.col("n_set") - F.ceil(F.col("n_set") * THRESHOLD / 100) + 1
+    return written(sized.filter(F.col("place") <= prefix).select("key", "cid", "n_set", "comp"), "prefixes")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: ``n_shingles``, ``component_id`` and ``kept``."""
     docs = docs.select("doc_id", text_of().alias("text"))
@@ -224,15 +258,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         linker.examine(pairs)
     members, by = buckets(members.withColumn("rnd", F.lit(LEADER_ROUNDS)), linker)
     members = written(members.join(by, "key").select("key", "cid", "n_set", "n", "comp"), "members")
-    few = members.filter(F.col("n") <= SMALL_BUCKET)
-    large = members.filter(F.col("n") > SMALL_BUCKET).select("cid", "key").join(sigs, "cid")
-    finer = large.select("cid", "n_set", F.explode(F.array(*[F.xxhash64("key", band(i)) for i in range(BANDS)])).alias("key"), F.lit(0).alias("rnd"))
-    finer, by = buckets(finer, linker)
-    finer = finer.join(by.select("key"), "key").select("key", "cid", "n_set", "comp")
-    rest = written(few.select("key", "cid", "n_set", "comp").union(finer), "rest")
-    other = rest.select("key", F.col("cid").alias("other"), F.col("comp").alias("other_comp"), F.col("n_set").alias("other_set"))
-    across = rest.join(other, "key").filter((F.col("cid") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & alike("n_set", "other_set"))
-    linker.finish(across.select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct())
+    few = members.filter(F.col("n") <= SMALL_BUCKET).select("key", "cid", "n_set", "comp")
+    many = members.filter(F.col("n") > SMALL_BUCKET).select("cid", "n_set", "comp").distinct()
+    linker.finish(across(few).union(across(prefix_rows(docs, written(many, "crowded")))).distinct())
     found = linker.component(classes, "cid", "component_id").select("set_key", "component_id") if linker.labels is not None else classes.select("set_key", F.col("cid").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
