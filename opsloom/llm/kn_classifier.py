@@ -147,10 +147,17 @@ class Model:
         return -np.log((main + self.back[v] * self.lower[w]) * self.share[w])
 
 
-def packed_pairs(docs: DataFrame, vocabulary: dict[str, int], shards: int) -> DataFrame:
+def shard_names(spark, shards: int) -> list[int]:
+    """A number for each shard, so that hashing them deals every shard to a partition of its own."""
+    rows = spark.range(60 * shards).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(shards))).agg(F.min("id").alias("id")).collect()
+    free = sorted(r["id"] for r in rows)  # a residue that none of the numbers hits costs a partition, not a shard
+    return (free + [i for i in range(60 * shards) if i not in set(free)])[:shards]
+
+
+def packed_pairs(docs: DataFrame, vocabulary: dict[str, int], names_of: list[int]) -> DataFrame:
     """Distinct pairs of documents by shard: documents (id, hash of the text), how many pairs of each, the pairs,
     and their counts where not 1."""
-    names = ["shard", "docs", "sizes", "pairs", "times"]
+    names, shards = ["shard", "docs", "sizes", "pairs", "times"], len(names_of)
 
     def pack(batches):
         for batch in batches:
@@ -170,7 +177,7 @@ def packed_pairs(docs: DataFrame, vocabulary: dict[str, int], shards: int) -> Da
                         often = np.flatnonzero(n[take] > 1)
                         times = np.stack([often, n[take][often]]).astype(np.int32)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([s], pa.int32()), pa.array([keys[at + d].tobytes()]), pa.array([sizes.astype(np.int32).tobytes()]),
+                            pa.array([names_of[s]], pa.int32()), pa.array([keys[at + d].tobytes()]), pa.array([sizes.astype(np.int32).tobytes()]),
                             pa.array([pair[take].tobytes()]), pa.array([times.tobytes()])], names)
 
     return docs.select("known_id", "text_hash", "text").mapInArrow(pack, "shard int, docs binary, sizes binary, pairs binary, times binary")
@@ -180,9 +187,10 @@ def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
     return pair.astype(np.int64) % PRIME % shards
 
 
-def scored(packed: DataFrame, pairs: DataFrame, model: Model, shards: int) -> DataFrame:
+def scored(packed: DataFrame, pairs: DataFrame, model: Model, names_of: list[int]) -> DataFrame:
     """``known_id``, ``text_hash``, ``words``, ``cost``: for each shard the costs of a document's words."""
-    key = (F.col("pair") % PRIME % shards).cast("int")
+    shards = len(names_of)
+    key = F.element_at(F.array(*[F.lit(i) for i in names_of]), (F.col("pair") % PRIME % shards + 1).cast("int"))
     nothing = F.lit(None).cast("binary")
     counts = pairs.select(key.alias("shard"), "pair", "n", *[nothing.alias(c) for c in ("docs", "sizes", "pairs", "times")])
     asked = packed.select("shard", F.lit(None).cast("bigint").alias("pair"), F.lit(None).cast("bigint").alias("n"), "docs", "sizes", "pairs", "times")
@@ -262,7 +270,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     pairs = written(pair_counts(trusted, vocabulary), "kn-pairs")
     model = Model(pairs, types - len(vocabulary))
     shards = max(2 * spark.sparkContext.defaultParallelism, -(-pairs.count() // SHARD_ROWS))
-    sums = scored(packed_pairs(rows, vocabulary, shards), pairs, model, shards).groupBy("known_id", "text_hash").agg(
+    names_of = shard_names(spark, shards)
+    sums = scored(packed_pairs(rows, vocabulary, names_of), pairs, model, names_of).groupBy("known_id", "text_hash").agg(
         F.sum("words").alias("words"), F.sum(F.round("cost", 6).cast("decimal(30,6)")).alias("cost"))
     same = rows.groupBy("known_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("held").alias("held"))
     scores = same.join(sums, ["known_id", "text_hash"], "left").select(  # equal rows have been added up
