@@ -29,8 +29,8 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; of rows that repeat an id all stay if one is kept."""
-    return _only(docs, quality_verdicts(docs))
+    """Documents that the rules keep, clear failures judged whatever their host; of rows that repeat an id all stay if one is kept."""
+    return _only(docs, quality_verdicts(docs, clear=True))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

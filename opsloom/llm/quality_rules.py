@@ -6,6 +6,10 @@ to the common rate. A host whose drawn rate of a rule is above ``max_rate`` is f
 is joined back: a document goes if it fails the base rule, or if it fails a rule that its host is flagged for. A
 document that fails no rule always stays, whatever its host does.
 
+Where junk is spread over many hosts no host is flagged. ``clear`` then lets a document's own margin decide: one that
+fails a rule by far (``CLEAR``, twice its bound) goes whatever its host, and a narrow failure only on a flagged host. The
+pipeline judges so; the registered query keeps the rule that its SQL states.
+
 Defined results: a null or empty text has no words and fails the base rule; a null host is a host of its own; rows with
 the same or with no id are judged one by one; an empty table gives an empty result; other columns of the input are not read.
 """
@@ -32,6 +36,12 @@ RULES = {
     "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 12 * n_words)",
 }
 BASE = ("short", "repeats")
+# rule -> failed by far?
+CLEAR = {
+    "symbols": "5 * n_symbols > n_words",
+    "dup_lines": "10 * n_dup_lines > 6 * n_lines",
+    "word_length": "n_words > 0 AND (word_chars < n_words OR word_chars > 24 * n_words)",
+}
 
 
 def repeat_words(words: Column) -> Column:
@@ -83,8 +93,9 @@ def beta_priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
     return priors
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """One row per document: its measures, ``base_failed``, ``host_flagged`` (for any rule) and ``kept``."""
+def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE, clear: bool = False) -> DataFrame:
+    """One row per document: its measures, ``base_failed``, ``host_flagged`` (for any rule) and ``kept``. With ``clear`` a document that
+    fails a rule by far isn't kept, whatever its host."""
     measured = written(measures(docs, host), "quality")
     failed = {r: F.expr(cond) for r, cond in RULES.items()}
     hosts = written(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(failed[r]).alias(f"f_{r}") for r in RULES]), "hosts")
@@ -95,6 +106,8 @@ def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = MA
     joined = measured.join(verdict, F.col("host").eqNullSafe(F.col("__host")), "left").drop("__host")
     base = any_of([failed[r] for r in BASE])
     soft = any_of([failed[r] & F.col(f"bad_{r}") for r in RULES])
+    if clear:
+        soft = soft | any_of([F.expr(cond) for cond in CLEAR.values()])
     return joined.select(
         *measured.columns,
         base.alias("base_failed"),

@@ -1,3 +1,4 @@
+import corpus_pipeline as P
 from opsloom.llm import quality_rules as M
 from tests.llm.helpers import CLASHES, ODD, SCHEMA, check_sql, documents, empty, same_rows, words
 
@@ -36,3 +37,22 @@ def test_bad_host_loses_only_failing_documents(spark):
     out = {r["doc_id"]: r for r in M.quality_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not any(out[i]["kept"] for i in range(60)) and out[100]["kept"]
     assert out[200]["kept"] and not out[200]["host_flagged"] and out[100]["host_flagged"]
+
+
+def test_junk_spread_over_hosts(spark):
+    clean = " ".join(f"word{i}" for i in range(40))
+    junk, narrow = clean + " ###" * 5, clean + " #" * 5
+    rows = [(100 * h + i, junk if i == 0 else narrow if i == 1 else clean, "en", f"host{h}", 1) for h in range(12) for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r["doc_id"]: r for r in M.quality_verdicts(docs, clear=True).collect()}
+    assert not any(r["host_flagged"] or r["base_failed"] for r in out.values())
+    assert {i for i, r in out.items() if not r["kept"]} == {100 * h for h in range(12)}
+    assert {r["doc_id"] for r in P.quality_rules(spark, docs, "").collect()} == {i for i, r in out.items() if r["kept"]}
+
+
+def test_clear_failures_against_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    gone = M.quality_verdicts(docs, clear=True).filter("NOT kept AND NOT base_failed").join(labels, "doc_id")
+    quality = [r["quality"] for r in gone.collect()]
+    assert len(quality) > 200 and sum(quality) <= 0.01 * len(quality)
