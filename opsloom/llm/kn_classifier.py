@@ -1,10 +1,11 @@
 """Quality classifier: perplexity under an n-gram model of trusted text.
 
-The model is an interpolated modified Kneser-Ney bigram model over the ``VOCABULARY`` most frequent words of trusted
-documents (labels with quality 1 and toxic 0) and one unknown word, whose chance is shared by all types outside the
-vocabulary. What is kept for each word is bounded by the vocabulary and is sent to all tasks; the counts of pairs grow
-with the trusted text, so they stay in shards. Documents send their distinct pairs, packed, to the shard of each pair;
-there the counts stream in first and the pairs are looked up in them, and the shards' sums are added up by document.
+The model is an interpolated modified Kneser-Ney bigram model over all words of trusted documents (labels with quality 1
+and toxic 0), named by 64-bit hashes, and one unknown word for those that never occur there. Nothing it gathers is capped
+or held by the driver: pairs, contexts and words are tables, and context sums and continuation counts are joined to the
+pairs by word. The cost of a word splits into a term of its context, a term of the word and, for a pair that was seen, the
+rest; these values lie in shards by key. Documents send their distinct keys, packed, to the shard of each; there the
+values stream in first and the keys are looked up in them, and the shards' sums are added up by document.
 
 One trusted document in ``HELD`` (by the hash of its id) is kept out of the counts, so that its perplexity is that of new
 text. Per language the threshold is the ``QUANTILE`` of these documents' log perplexities, on a grid of a thousandth; with
@@ -24,25 +25,27 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opsloom.llm.common import documents, text_of
-from opsloom.llm.shingles import fresh
+from opsloom.llm.shingles import _MIX, _mixed, fresh
 from opsloom.session import written
 from opsloom.sources.tables import table
 
 Q, S = {}, {}
 
-VOCABULARY = 65_534  # words with an id of their own; two more ids make 16 bits
-UNKNOWN, START = VOCABULARY, VOCABULARY + 1
+VOCABULARY = 65_534  # types that the lower order is spread over at least; more if the trusted texts have more
+START = xxhash.xxh3_64_intdigest(b" ")  # no word has a blank
 QUANTILE = 0.995
 PRIOR_WORDS = 20
 HELD = 5
 SPREAD = 2.0
 SHARD_ROWS = 2_000_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 GRID = 1000
 PRIME = 999_983
+PACKED = ("docs", "words", "sizes", "keys", "places", "times")
 BROADCAST_IDS = 1_000_000
 
 
@@ -73,38 +76,48 @@ def coded_words(texts: pa.Array, code_of):
         at = end
 
 
-def word_counts(trusted: DataFrame) -> DataFrame:
-    """``word``, ``n`` over the trusted texts; added up per slice before they leave a task."""
-    def count(batches):
-        for batch in batches:
-            for _, names, code, _ in coded_words(batch.column("text"), lambda n: n):
-                yield pa.RecordBatch.from_arrays([pa.array([plain(n) for n in names], pa.string()), pa.array(np.bincount(code, minlength=len(names)).astype(np.int64))], ["word", "n"])
-
-    return trusted.select("text").mapInArrow(count, "word string, n bigint").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+def word_hashes(names: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(plain(n).encode()) for n in names), np.uint64, len(names))
 
 
-def pair_keys(ids: np.ndarray, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(word before, word) of every word as one 32-bit number; a text starts after ``START``."""
-    words = ids[code].astype(np.uint32)
+def contexts_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The word before every word; a text starts after ``START``."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    starts = bounds[:-1][bounds[:-1] < bounds[1:]]
-    before[starts] = START
-    return (before << np.uint32(16)) | words
+    before[bounds[:-1][bounds[:-1] < bounds[1:]]] = START
+    return before
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _mixed(before * _MIX[0] + words * _MIX[2])
 
 
-def id_lookup(vocabulary: dict[str, int]):
-    return lambda names: np.fromiter((vocabulary.get(plain(n), UNKNOWN) for n in names), np.int64, len(names))
+def last_keys(words: np.ndarray) -> np.ndarray:
+    """Keys under which a text takes back the context term of its last word."""
+    return _mixed(words * _MIX[3])
+
+
+def keyed(df: DataFrame, make, columns: list[str]) -> DataFrame:
+    """``df`` with ``key``, made of some of its columns."""
+    def run(batches):
+        for batch in batches:
+            key = make(*[batch.column(c).to_numpy().view(np.uint64) for c in columns]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("value")], ["key", "value"])
+
+    return df.select(*columns, "value").mapInArrow(run, "key bigint, value double")
 
 
-def pair_counts(trusted: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+def pair_counts(trusted: DataFrame) -> DataFrame:
+    """``v``, ``w``, ``n``: word before, word and count over the trusted texts; added up per slice before they leave a task."""
     def count(batches):
         for batch in batches:
-            for _, ids, code, bounds in coded_words(batch.column("text"), id_lookup(vocabulary)):
-                keys, n = np.unique(pair_keys(ids, code, bounds), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
+            for _, ids, code, bounds in coded_words(batch.column("text"), word_hashes):
+                words = ids[code]
+                before = contexts_of(words, bounds)
+                _, first, n = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (before, words)] + [pa.array(n.astype(np.int64))], ["v", "w", "n"])
 
-    return trusted.select("text").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return trusted.select("text").mapInArrow(count, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -116,35 +129,33 @@ def discounts(of: list[int]) -> np.ndarray:
 
 
 class Model:
-    """What is kept for each word id (bounded by the vocabulary): log chance terms of the lower order and context sums."""
+    """Value tables of a table of pairs; single sums reach the driver."""
 
-    def __init__(self, pairs: DataFrame, unknown_types: int):
+    def __init__(self, pairs: DataFrame):
         level = F.least("n", F.lit(3))
         of = pairs.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).first()
-        self.d = discounts(list(of))
-        size = VOCABULARY + 2
-        self.total, heads = np.zeros(size), np.zeros((4, size))
-        follow = np.zeros(size)
-        before, word = F.shiftrightunsigned("pair", 16), F.col("pair").bitwiseAND(0xFFFF)
-        for r in pairs.groupBy(before.alias("v")).agg(F.sum("n").alias("c"), *[F.count_if(level == k).alias(f"n{k}") for k in (1, 2, 3)]).collect():  # at most a row for each word id
-            self.total[r["v"]] = r["c"]
-            heads[1:, r["v"]] = r["n1"], r["n2"], r["n3"]
-        for r in pairs.groupBy(word.alias("w")).agg(F.count(F.lit(1)).alias("c")).collect():  # at most a row for each word id
-            follow[r["w"]] = r["c"]
-        self.back = np.where(self.total > 0, self.d @ heads / np.maximum(self.total, 1), 1.0)
-        seen = follow.sum()
-        low = discounts([int((follow == k).sum()) for k in range(1, 5)])
-        cut = low[np.minimum(follow, 3).astype(int)]
-        base = 1.0 / (VOCABULARY + 1)
-        self.lower = (np.maximum(follow - cut, 0) + cut.sum() * base) / seen if seen else np.full(size, base)
-        self.share = np.ones(size)
-        self.share[UNKNOWN] = 1.0 / max(1, unknown_types)
-
-    def cost(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Negative log chance of each pair, given its count in the trusted text."""
-        v, w = pair >> 16, pair & 0xFFFF
-        main = np.where(self.total[v] > 0, np.maximum(count - self.d[np.minimum(count, 3)], 0) / np.maximum(self.total[v], 1), 0.0)
-        return -np.log((main + self.back[v] * self.lower[w]) * self.share[w])
+        d = discounts(list(of))
+        cut = lambda c, by: F.element_at(F.array(*[F.lit(float(x)) for x in by]), (F.least(c, F.lit(3)) + 1).cast("int"))
+        heads = pairs.groupBy("v").agg(F.sum("n").alias("total"), *[F.count_if(level == k).alias(f"n{k}") for k in (1, 2, 3)])
+        back = sum((F.col(f"n{k}") * float(d[k]) for k in (1, 2, 3)), F.lit(0.0)) / F.col("total")
+        contexts = written(heads.select("v", "total", back.alias("back")), "kn-contexts")
+        follows = written(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("follow")), "kn-words")
+        f = follows.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("follow"), F.lit(0)).alias("seen"), *[F.count_if(F.col("follow") == k).alias(f"n{k}") for k in range(1, 5)]).first()
+        low = discounts([f[f"n{k}"] for k in range(1, 5)])
+        base = 1.0 / (max(VOCABULARY, f["types"]) + 1)
+        more = f["types"] - f["n1"] - f["n2"]
+        rest = float(low[1] * f["n1"] + low[2] * f["n2"] + low[3] * more) * base
+        self.seen, self.rows = f["seen"], f["seen"] + 2 * f["types"]
+        self.unknown = -math.log(rest / self.seen if self.seen else base)
+        start = contexts.filter(F.col("v") == int(np.uint64(START).view(np.int64))).first()
+        self.start = -math.log(start["back"]) if start else 0.0
+        lower = follows.select("w", ((F.greatest(F.col("follow") - cut(F.col("follow"), low), F.lit(0.0)) + rest) / max(1, self.seen)).alias("lower"))
+        words = lower.join(contexts.select(F.col("v").alias("w"), "back"), "w", "left").select(
+            F.col("w").alias("key"), (-F.log("lower") - self.unknown - F.log(F.coalesce("back", F.lit(1.0)))).alias("value"))
+        main = F.greatest(F.col("n") - cut(F.col("n"), d), F.lit(0.0)) / F.col("total")
+        seen = pairs.join(contexts, "v").join(lower, "w").select("v", "w", (-F.log(main / (F.col("back") * F.col("lower")) + 1)).alias("value"))
+        last = contexts.select("v", F.log("back").alias("value"))
+        self.values = words.union(keyed(seen, pair_keys, ["v", "w"])).union(keyed(last, last_keys, ["v"]))
 
 
 def shard_names(spark, shards: int) -> list[int]:
@@ -154,50 +165,60 @@ def shard_names(spark, shards: int) -> list[int]:
     return (free + [i for i in range(60 * shards) if i not in set(free)])[:shards]
 
 
-def packed_pairs(docs: DataFrame, vocabulary: dict[str, int], names_of: list[int]) -> DataFrame:
-    """Distinct pairs of documents by shard: documents (id, hash of the text), how many pairs of each, the pairs,
-    and their counts where not 1."""
-    names, shards = ["shard", "docs", "sizes", "pairs", "times"], len(names_of)
+def packed_keys(docs: DataFrame, names_of: list[int]) -> DataFrame:
+    """Distinct keys of a slice of documents by shard: documents (id, hash of the text), their words (with their last word's
+    key), how many keys of each, the keys, the documents' places in them, and how often where not once."""
+    names, shards = ["shard", *PACKED], len(names_of)
 
     def pack(batches):
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("known_id", "text_hash")], axis=1)
-            for at, ids, code, bounds in coded_words(batch.column("text"), id_lookup(vocabulary)):
-                pairs = pair_keys(ids, code, bounds).astype(np.uint64)
-                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
-                both, n = np.unique((doc << np.uint64(32)) | pairs, return_counts=True)
-                doc, pair = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                shard = shard_of(pair, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            for at, ids, code, bounds in coded_words(batch.column("text"), word_hashes):
+                words, n_words = ids[code], np.diff(bounds)
+                doc = np.repeat(np.arange(len(n_words)), n_words)
+                full = np.flatnonzero(n_words)
+                ends = last_keys(words[bounds[1:][full] - 1])
+                asked, place = np.unique(np.concatenate([pair_keys(contexts_of(words, bounds), words), words, ends]), return_inverse=True)
+                is_end = np.zeros(len(asked), bool)
+                is_end[place[2 * len(words):]] = True
+                both, n = np.unique((np.concatenate([doc, doc, full]).astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64), return_counts=True)
+                doc, place = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                key_shard = shard_of(asked, shards)
+                order = np.argsort(key_shard, kind="stable")
+                cuts = np.searchsorted(key_shard[order], np.arange(shards + 1))
+                local = np.empty(len(asked), np.int64)
+                local[order] = np.arange(len(asked)) - cuts[key_shard[order]]
+                rows = np.argsort(key_shard[place], kind="stable")
+                row_cuts = np.searchsorted(key_shard[place[rows]], np.arange(shards + 1))
                 for s in range(shards):
-                    take = order[cuts[s]:cuts[s + 1]]
+                    take, held = rows[row_cuts[s]:row_cuts[s + 1]], asked[order[cuts[s]:cuts[s + 1]]]
                     if len(take):
-                        d, sizes = np.unique(doc[take], return_counts=True)
+                        d, first, sizes = np.unique(doc[take], return_index=True, return_counts=True)
+                        ended = np.add.reduceat(is_end[place[take]].astype(np.int64), first) > 0
                         often = np.flatnonzero(n[take] > 1)
                         times = np.stack([often, n[take][often]]).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([names_of[s]], pa.int32()), pa.array([keys[at + d].tobytes()]), pa.array([sizes.astype(np.int32).tobytes()]),
-                            pa.array([pair[take].tobytes()]), pa.array([times.tobytes()])], names)
+                        places = local[place[take]].astype(np.uint16 if len(held) <= 1 << 16 else np.uint32)
+                        yield pa.RecordBatch.from_arrays([pa.array([names_of[s]], pa.int32()), *[pa.array([x.tobytes()]) for x in (
+                            keys[at + d], np.where(ended, n_words[d], 0).astype(np.int32), sizes.astype(np.int32), held, places, times)]], names)
 
-    return docs.select("known_id", "text_hash", "text").mapInArrow(pack, "shard int, docs binary, sizes binary, pairs binary, times binary")
+    return docs.select("known_id", "text_hash", "text").mapInArrow(pack, "shard int, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
-def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
-    return pair.astype(np.int64) % PRIME % shards
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return key.view(np.int64) % PRIME % shards
 
 
-def scored(packed: DataFrame, pairs: DataFrame, model: Model, names_of: list[int]) -> DataFrame:
+def scored(packed: DataFrame, model: Model, names_of: list[int]) -> DataFrame:
     """``known_id``, ``text_hash``, ``words``, ``cost``: for each shard the costs of a document's words."""
     shards = len(names_of)
-    key = F.element_at(F.array(*[F.lit(i) for i in names_of]), (F.col("pair") % PRIME % shards + 1).cast("int"))
-    nothing = F.lit(None).cast("binary")
-    counts = pairs.select(key.alias("shard"), "pair", "n", *[nothing.alias(c) for c in ("docs", "sizes", "pairs", "times")])
-    asked = packed.select("shard", F.lit(None).cast("bigint").alias("pair"), F.lit(None).cast("bigint").alias("n"), "docs", "sizes", "pairs", "times")
-    both = counts.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("pair").asc_nulls_last())
+    unknown, start = model.unknown, model.start
+    shard = F.element_at(F.array(*[F.lit(i) for i in names_of]), (F.pmod(F.col("key"), F.lit(PRIME)) % shards + 1).cast("int"))
+    values = model.values.select(shard.alias("shard"), "key", "value", *[F.lit(None).cast("binary").alias(c) for c in PACKED])
+    asked = packed.select("shard", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("value"), *PACKED)
+    both = values.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_last())
 
     def look_up(batches):
-        at, known, n, parts = None, None, None, []
+        at, known, value, parts = None, None, None, []
         for batch in batches:
             shard = batch.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
@@ -207,28 +228,26 @@ def scored(packed: DataFrame, pairs: DataFrame, model: Model, names_of: list[int
                 part = batch.slice(lo, hi - lo)
                 if shard[lo] != at:
                     at, known, parts = shard[lo], None, []
-                is_count = part.column("pair").is_valid().to_numpy(zero_copy_only=False)
-                k = int(is_count.sum())
+                k = int(part.column("key").is_valid().to_numpy(zero_copy_only=False).sum())
                 if k:
-                    parts.append((part.column("pair").slice(0, k).to_numpy(zero_copy_only=False).astype(np.int64), part.column("n").slice(0, k).to_numpy(zero_copy_only=False).astype(np.int64)))
+                    parts.append([part.column(c).slice(0, k).to_numpy(zero_copy_only=False).astype(t) for c, t in (("key", np.int64), ("value", np.float64))])
                 if k == part.num_rows:
                     continue
                 if known is None:
                     known = np.concatenate([p for p, _ in parts]) if parts else np.empty(0, np.int64)
-                    n = np.concatenate([c for _, c in parts]) if parts else np.empty(0, np.int64)
+                    value = np.concatenate([c for _, c in parts]) if parts else np.empty(0)
                 for i in range(k, part.num_rows):
                     read = lambda c, t: np.frombuffer(part.column(c)[i].as_py(), t)
-                    rows, sizes, pair = read("docs", np.int64).reshape(-1, 2), read("sizes", np.int32), read("pairs", np.uint32).astype(np.int64)
+                    rows, words, sizes, keys = read("docs", np.int64).reshape(-1, 2), read("words", np.int32).astype(np.int64), read("sizes", np.int32), read("keys", np.int64)
+                    places = read("places", np.uint16 if len(keys) <= 1 << 16 else np.uint32)
                     often = read("times", np.int32).reshape(2, -1)
-                    times = np.ones(len(pair), np.int64)
+                    times = np.ones(len(places))
                     times[often[0]] = often[1]
-                    place = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
-                    count = np.where(known[place] == pair, n[place], 0) if len(known) else np.zeros(len(pair), np.int64)
-                    cost = model.cost(pair, count) * times
+                    spot = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+                    found = np.where(known[spot] == keys, value[spot], 0.0) if len(known) else np.zeros(len(keys))
                     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.add.reduceat(times, first)), pa.array(np.add.reduceat(cost, first))],
-                        ["known_id", "text_hash", "words", "cost"])
+                    cost = np.add.reduceat(found[places] * times, first) + words * unknown + (words > 0) * start
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(words), pa.array(cost)], ["known_id", "text_hash", "words", "cost"])
 
     return both.mapInArrow(look_up, "known_id bigint, text_hash bigint, words bigint, cost double")
 
@@ -263,15 +282,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     rows = docs.select("doc_id", "lang", text_of().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left").select(
         "doc_id", "lang", F.col("__good").isNotNull().alias("trusted"), (F.pmod(F.xxhash64("__good"), F.lit(HELD)) == 0).alias("held"), F.coalesce("doc_id", F.lit(-1)).alias("known_id"), F.xxhash64("text").alias("text_hash"), "text")
     trusted = rows.filter("trusted AND NOT held").select("text")
-    counts = written(word_counts(trusted), "kn-words")
-    types = counts.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()  # bounded by the vocabulary
-    vocabulary = {r["word"]: i for i, r in enumerate(top)}
-    pairs = written(pair_counts(trusted, vocabulary), "kn-pairs")
-    model = Model(pairs, types - len(vocabulary))
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-pairs.count() // SHARD_ROWS))
+    model = Model(written(pair_counts(trusted), "kn-pairs"))
+    shards = max(2 * spark.sparkContext.defaultParallelism, -(-model.rows // SHARD_ROWS))
     names_of = shard_names(spark, shards)
-    sums = scored(packed_pairs(rows, vocabulary, names_of), pairs, model, names_of).groupBy("known_id", "text_hash").agg(
+    sums = scored(packed_keys(rows, names_of), model, names_of).groupBy("known_id", "text_hash").agg(
         F.sum("words").alias("words"), F.sum(F.round("cost", 6).cast("decimal(30,6)")).alias("cost"))
     same = rows.groupBy("known_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("held").alias("held"))
     scores = same.join(sums, ["known_id", "text_hash"], "left").select(  # equal rows have been added up

@@ -74,3 +74,19 @@ def test_odd_texts(spark):
     assert M.classify(empty(spark), labels).count() == 0
     none = M.classify(documents(spark), labels.filter("doc_id < 0")).collect()
     assert all(r["kept"] == (r["n_words"] > 0) for r in none)
+
+
+def test_rare_words_beyond_any_vocabulary(spark):
+    """More trusted types than 16-bit ids: the rare ones keep their pairs and the result is that of the full model."""
+    types = M.VOCABULARY + 20_000
+    texts = [" ".join(f"w{i + j} x{i + j}" for j in range(100)) for i in range(0, types // 2, 100)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], LABELS)
+    out = {r["doc_id"]: r["perplexity"] for r in M.classify(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    held = {r[0] for r in spark.range(len(texts)).filter(F.pmod(F.xxhash64("id"), F.lit(M.HELD)) == 0).collect()}
+    trusted = [t for i, t in enumerate(texts) if i not in held]
+    known = {w for t in trusted for w in words(t)}
+    assert len(known) > M.VOCABULARY
+    low, high = min(out[i] for i in held), max(p for i, p in out.items() if i not in held)
+    assert max(p for i, p in out.items() if i not in held) == pytest.approx(min(p for i, p in out.items() if i not in held), rel=1e-3)
+    assert low > 5 * high
