@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from opsloom.session import materialize
 
 BLOCK_ROWS = 4096
-# Rows per cell the index aims at, default cells and probes.
-ROWS_PER_CELL, LEAST_CELLS, DEFAULT_PROBES = 39, 100, 10
+ASSIGN_ROWS = 1 << 16  # rows of a batch of vectors with their cells
+# Rows per cell the index aims at and default cells.
+ROWS_PER_CELL, LEAST_CELLS = 39, 100
+# Share of the exact matches that chosen probes aim at, so that small sets of queries reach 0.9 too, and queries it is measured on.
+RECALL, PROBE_QUERIES = 0.95, 1000
 SCORE_DIGITS = 6
 
 
@@ -144,15 +147,14 @@ def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int, id_col: str,
     probes = min(probes, len(centres))
 
     def assign(batches):
-        for batch in batches:
-            vecs = batch.column("vec")
-            if not batch.num_rows:
-                continue
-            flat = vecs.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        step = max(1, ASSIGN_ROWS // probes)
+        for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
+            vecs = part.column("vec")
+            flat = vecs.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
             order = np.argsort(-(flat.astype(np.float64) @ centres.T), axis=1, kind="stable")[:, :probes]
-            rows = np.repeat(np.arange(batch.num_rows), probes)
+            rows = np.repeat(np.arange(part.num_rows), probes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows)), vecs.take(pa.array(rows)), pa.array(order.ravel().astype(np.int32))],
+                [part.column("id").take(pa.array(rows)), vecs.take(pa.array(rows)), pa.array(order.ravel().astype(np.int32))],
                 names=["id", "vec", "cell"],
             )
 
@@ -160,15 +162,44 @@ def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int, id_col: str,
     return _plain(df, id_col, vec_col).mapInArrow(assign, f"id {kind}, vec array<float>, cell int")
 
 
-def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int = DEFAULT_PROBES, metric: str = "ip",
+def choose_probes(queries: DataFrame, corpus: DataFrame, near_c: DataFrame, centres: np.ndarray, k: int, metric: str = "ip", id_col: str = "vec_id",
+                  vec_col: str = "embedding", exclude_self: bool = False, recall: float = RECALL) -> int:
+    """The fewest probes that find ``recall`` of the exact matches, two standard errors below the measured share.
+
+    Up to ``PROBE_QUERIES`` queries, by the hash of their id, are searched exactly; only they and their matches reach
+    the driver. ``near_c`` has the cell of every corpus row.
+    """
+    asked = queries.filter(F.col(vec_col).isNotNull())
+    sample = materialize(asked.orderBy(F.xxhash64(id_col), id_col).limit(PROBE_QUERIES).select(id_col, vec_col), "probe-queries")
+    exact = knn(sample, corpus, k, metric, id_col, vec_col, exclude_self)
+    cells = near_c.select(F.col("id").alias("match_id"), "cell").distinct()
+    vectors = {r["id"]: r["vec"] for r in _plain(sample, id_col, vec_col).collect()}
+    found = exact.join(cells, "match_id").select("query_id", "cell").collect()
+    if not found:
+        return 1
+    place = {q: i for i, q in enumerate(vectors)}
+    rows, cell = np.array([place[r["query_id"]] for r in found]), np.array([r["cell"] for r in found])
+    near = np.argsort(-(np.array(list(vectors.values()), np.float64) @ centres.T), axis=1, kind="stable")
+    rank = np.argsort(near, axis=1)[rows, cell]
+    hits = np.zeros((len(vectors), len(centres)))
+    np.add.at(hits, (rows, rank), 1)
+    hits = hits[hits.sum(1) > 0]
+    share = np.cumsum(hits, axis=1) / hits.sum(1, keepdims=True)
+    error = share.std(0) / np.sqrt(len(share)) * np.sqrt(max(0.0, 1 - len(share) / max(len(share), asked.count())))
+    return int(np.argmax(share.mean(0) - 2 * error >= recall - 1e-9)) + 1
+
+
+def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int | None = None, metric: str = "ip",
               id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate top-K: a query is scored against the corpus of its ``probes`` closest cells only.
+    """Approximate top-K: a query is scored against the corpus of its ``probes`` closest cells only; as many as asked
+    for, else as many as the recall measured on these tables needs.
 
     A hot cell is split into blocks by id hash on both sides, and a query block is sent to each of them.
     """
     centres = train_cells(corpus, cells, vec_col)
-    near_q = materialize(nearest_cells(queries, centres, probes, id_col, vec_col), "query-cells")
     near_c = materialize(nearest_cells(corpus, centres, 1, id_col, vec_col), "corpus-cells")
+    probes = probes or choose_probes(queries, corpus, near_c, centres, k, metric, id_col, vec_col, exclude_self)
+    near_q = materialize(nearest_cells(queries, centres, probes, id_col, vec_col), "query-cells")
     return _knn_by_cell(near_q, near_c, k, metric, exclude_self, block_rows)
 
 

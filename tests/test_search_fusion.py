@@ -144,3 +144,12 @@ def test_top_k_of_large_scores_and_missing_vectors(rows):
         vec = {r["vec_id"]: r["embedding"] for r in v.collect() if r["embedding"]}
         want = {(q, k + 1): m for q in vec for k, m in enumerate(sorted(vec, key=lambda m: (score(vec[q], vec[m]), m))[:3])}
         assert got == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_chosen_probes_reach_recall_on_given_embeddings(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+    some = e.filter("vec_id % 50 = 0")
+    for queries in (e, some):
+        exact, near = ranked(V.knn(some, e, 10)), ranked(V.knn_cells(queries, e, 10))
+        assert np.mean([len(set(exact[i]) & set(near[i])) / len(exact[i]) for i in exact]) >= 0.9
