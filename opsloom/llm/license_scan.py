@@ -1,6 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates (built-in expressions only).
 
-A block is a line of a text, as the set of its words. Every block that contains at least ``THRESHOLD`` of the words of a
+A block is a line of a text, or a window of as many words as a template has, wherever lines break, as the set of its
+words; so a notice wrapped over lines is found too. Windows are kept for a template only where enough of its words stand
+in them, so a text without them has none. Every block that contains at least ``THRESHOLD`` of the words of a
 template is found: words are ordered by their document frequency over the whole table, rarest first; the first
 ``|T| - need + 1`` words of a template are its prefix, and a block that holds ``need`` of its words must hold one of
 those (prefix filter), must have ``need`` template words at all (length filter) and must have enough words left after
@@ -64,6 +66,26 @@ def needed(words: set[str], threshold: float) -> int:
     return max(1, ceil(threshold * len(words) - 1e-9))
 
 
+def template_windows(text: str, threshold: float) -> Column:
+    """Distinct sets of template words in the windows of a text (``plain``, ``seen``) that hold enough of them.
+
+    A window has the template's length and starts at one of its words; other windows hold no more of its words than these.
+    """
+    length, need = len(text.split()), needed(set(text.split()), threshold)
+    own = F.array(*[F.lit(w) for w in sorted(set(text.split()))])
+    none = F.array().cast("array<array<string>>")
+    hit = lambda w, i: F.when(F.array_contains(own, w), F.struct(i.alias("at"), w.alias("word")))
+    hits = F.array_compact(F.transform(split_words(F.col("plain")), hit))
+
+    def windows(h: Column) -> Column:
+        crowded = F.filter(F.transform(h, lambda x, j: F.struct(x.at.alias("at"), j.alias("j"), F.get(h, j + need - 1).at.alias("far"))), lambda x: x.far < x.at + length)
+        within = lambda x: F.filter(F.slice(h, x.j + 1, F.lit(length)), lambda y: y.at < x.at + length)
+        sets = F.transform(crowded, lambda x: F.array_sort(F.array_distinct(F.transform(within(x), lambda y: y.word))))
+        return F.filter(F.array_distinct(sets), lambda words: F.size(words) >= need)
+
+    return F.when(F.size(F.array_intersect("seen", own)) >= need, let(hits, windows)).otherwise(none)
+
+
 def scanned(docs: DataFrame, templates, threshold: float) -> DataFrame:
     """One pass over the texts: word counts, places of phrases, template words of the text, and the blocks with enough of them."""
     sets = [set(t.split()) for _, t in templates]
@@ -77,10 +99,12 @@ def scanned(docs: DataFrame, templates, threshold: float) -> DataFrame:
     places = [F.when(padded.contains(f" {p} "), found(p)).otherwise(none) for p, _ in PHRASES]
     block = lambda line, i: F.struct(i.alias("line"), F.array_intersect(split_words(plain_words(line)), vocabulary).alias("words"))
     blocks = F.filter(F.transform(F.split("text", "\n", -1), block), lambda b: F.size(b.words) >= least)
+    rows = rows.withColumn("seen", F.array_intersect(split_words(F.col("plain")), vocabulary))
+    wrapped = F.array_distinct(F.concat(*[template_windows(text, threshold) for _, text in templates]))
+    over_lines = F.transform(wrapped, lambda words, i: F.struct((-i - 1).alias("line"), words.alias("words")))
     return rows.select(
         "doc_id", "row_hash", F.size(split_words(F.col("plain"))).cast("bigint").alias("n_words"),
-        *[p.alias(f"at_{i}") for i, p in enumerate(places)],
-        F.array_intersect(split_words(F.col("plain")), vocabulary).alias("seen"), blocks.alias("blocks"))
+        *[p.alias(f"at_{i}") for i, p in enumerate(places)], "seen", F.concat(blocks, over_lines).alias("blocks"))
 
 
 def values(spark, rows: list[tuple], names: str) -> DataFrame:

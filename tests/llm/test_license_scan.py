@@ -34,3 +34,29 @@ def test_odd_texts_and_thresholds(spark):
     assert same_rows(want, M.license_scan(df).collect()) and {w[6] for w in want} >= {"bsd", "mit", "cc-by-nc", "apache-2", ""}
     assert same_rows(brute(odd_rows(documents(spark))), M.license_scan(documents(spark, clash=True)).collect())
     assert M.license_scan(empty(spark)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped at any column, with comment marks, in the midst of other words, equal to windows by brute force."""
+    before, after = "some other words stand here and more of the same".split(), "tail of the file with further text".split()
+    texts = []
+    for _, notice in M.TEMPLATES:
+        w = [*before, *notice.split(), *after]
+        texts += ["\n".join(" * " + " ".join(w[i:i + n]).capitalize() for i in range(0, len(w), n)) for n in (1, 3, 5, 8, 12)]
+        texts += ["\n".join(x for i, x in enumerate(w) if i % 3), "\n".join(x for i, x in enumerate(w) if i % 7), "\n".join(notice.split()[:3] + ["x"] * 40 + notice.split()[3:])]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    want = []
+    for i, t in enumerate(texts):
+        w = WORD.findall(t.translate(LOWER))
+        labels = set()
+        for label, s in M.TEMPLATES:
+            words = s.split()
+            shared = max(len(set(w[k:k + len(words)]) & set(words)) for k in range(len(w)))
+            if shared >= M.THRESHOLD * len(set(words)) - 1e-9:
+                labels.add(label)
+        want.append(labels)
+    lines = brute([(i, t) for i, t, *_ in rows])
+    found = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in M.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (labels, line) in enumerate(zip(want, lines)):
+        assert found[i] == labels | set(filter(None, line[6].split(","))), texts[i]
+    assert sum(len(f) > len(set(filter(None, x[6].split(",")))) for f, x in zip(found.values(), lines)) > 20
