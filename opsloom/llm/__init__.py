@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "quality_rules", "exact_dedup", "line_dedup", "mixing", "best_fit", "near_dedup", "suffix_dedup", "license_scan", "kd_sharding", "kn_classifier", "token_counts", "spelling_variants",
+    "quality_rules", "exact_dedup", "line_dedup", "mixing", "best_fit", "near_dedup", "suffix_dedup", "license_scan", "kd_sharding", "kn_classifier", "token_counts", "spelling_variants", "lexical_search",
 )
 
 
