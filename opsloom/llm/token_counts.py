@@ -6,9 +6,10 @@ whose symbols have changed meanwhile are passed over. The count is the number of
 character that the vocabulary lacks counts as its UTF-8 bytes until a merge takes it in. No identifiers are made.
 
 Pairs never reach across places where no piece can lie, so a text is cut there and every distinct unit is merged once per
-worker: before a blank that follows something else, and around line breaks and tabs, if no piece of the vocabulary
-contradicts (else the text stays whole). Units and texts may have any length: the heap is n log n. One pass over the
-documents without a shuffle; a worker holds the vocabulary and a bounded memory of units.
+worker: before a blank that follows something else, around line breaks and tabs, and after a Latin letter or digit that
+neither follows. Each cut is made only if no piece of the vocabulary contradicts (at worst the text stays whole). Units and
+texts may have any length: the heap is n log n. One pass over the documents without a shuffle; a worker holds the
+vocabulary and a bounded memory of units.
 
 Vocabularies of the library's BPE kind are supported whose normaliser leaves texts alone (blanks become the blank mark, one
 is put in front) and which fall back to bytes; others are refused.
@@ -36,7 +37,8 @@ LIMIT = 4096
 BLANK = "▁"
 ALONE = "\n\t\r"
 ROWS = 256  # texts turned into Python strings at a time
-UNIT_CHARS, KNOWN_CHARS = 64, 4_000_000  # longest unit that is remembered, characters remembered in all
+WORD = "A-Za-z0-9\u00c0-\u024f"
+UNIT_CHARS, KNOWN_CHARS = 64, 6_000_000  # longest unit that is remembered, characters remembered in all
 
 
 def vocabulary_file() -> str:
@@ -45,36 +47,46 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def merges(symbols: list[str], ranks: dict[str, float], width: list[int]) -> int:
-    """Tokens of a list of initial symbols, each of which counts as its ``width`` while it stands alone."""
+def merges(symbols: list[str], ranks: dict[str, int], width: list[int]) -> int:
+    """Tokens of a list of initial symbols, each of which counts as its ``width`` while it stands alone.
+
+    An entry of the heap is one number: rank, place of the left symbol, size of the pair. A symbol only grows, so a pair
+    whose size is what it was has the same two symbols.
+    """
     n = len(symbols)
     total = sum(width)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    rank_of = ranks.get
     heap = []
     for i in range(n - 1):
-        rank = ranks.get(symbols[i] + symbols[i + 1])
+        pair = symbols[i] + symbols[i + 1]
+        rank = rank_of(pair)
         if rank is not None:
-            heap.append((rank, i, i + 1, len(symbols[i]) + len(symbols[i + 1])))
+            heap.append((rank << 40 | i) << 24 | len(pair))
     heapify(heap)
     while heap:
-        _, i, j, size = heappop(heap)
-        if not symbols[i] or not symbols[j] or len(symbols[i]) + len(symbols[j]) != size:
+        top = heappop(heap)
+        i, size = top >> 24 & 0xFFFFFFFFFF, top & 0xFFFFFF
+        j = right[i]
+        if j == n or not symbols[i] or len(symbols[i]) + len(symbols[j]) != size:
             continue
-        symbols[i] += symbols[j]
+        merged = symbols[i] = symbols[i] + symbols[j]
         symbols[j] = ""
         total -= width[i] + width[j] - 1
         width[i] = 1
         k = right[i] = right[j]
         if k < n:
             left[k] = i
-            rank = ranks.get(symbols[i] + symbols[k])
+            pair = merged + symbols[k]
+            rank = rank_of(pair)
             if rank is not None:
-                heappush(heap, (rank, i, k, size + len(symbols[k])))
+                heappush(heap, (rank << 40 | i) << 24 | len(pair))
         h = left[i]
         if h >= 0:
-            rank = ranks.get(symbols[h] + symbols[i])
+            pair = symbols[h] + merged
+            rank = rank_of(pair)
             if rank is not None:
-                heappush(heap, (rank, h, i, len(symbols[h]) + size))
+                heappush(heap, (rank << 40 | h) << 24 | len(pair))
     return total
 
 
@@ -90,13 +102,18 @@ class Units(dict):
         probe = "  AÉﬁ ½\t\n　x  "
         if sum(map(model.is_byte, pieces)) != 256 or SentencePieceNormalizer(model_file=path).normalize(probe) != BLANK + probe.replace(" ", BLANK):
             raise ValueError("this vocabulary changes texts or has no bytes to fall back to")
-        self.ranks = {pieces[i]: -model.get_score(i) for i in plain}
-        inside = "".join(p for p in self.ranks if len(p) > 1)
-        alone = "".join(c for c in ALONE if c not in inside)
-        if any(BLANK in p.lstrip(BLANK) for p in self.ranks):
-            self.unit = re.compile(r"[\s\S]+")
+        order = {x: n for n, x in enumerate(sorted({-model.get_score(i) for i in plain}))}
+        self.ranks = {pieces[i]: order[-model.get_score(i)] for i in plain}
+        long = [p for p in self.ranks if len(p) > 1]
+        alone = "".join(c for c in ALONE if not any(c in p for p in long))
+        ends = re.compile(f"[{WORD}][^{WORD}]")
+        if any(BLANK in p.lstrip(BLANK) for p in long):
+            unit = r"[\s\S]+"
+        elif any(map(ends.search, long)):
+            unit = f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+"
         else:
-            self.unit = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|[{alone}]" if alone else ""))
+            unit = f"{BLANK}*[^{WORD}{BLANK}{alone}]*[{WORD}]+|{BLANK}*[^{WORD}{BLANK}{alone}]+|{BLANK}+"
+        self.unit = re.compile(unit + (f"|[{alone}]" if alone else ""))
         self.chars = 0
 
     def __missing__(self, unit: str) -> int:

@@ -50,9 +50,8 @@ def test_memory_is_bounded(monkeypatch):
 
 
 def test_merge_takes_in_a_character_without_a_piece():
-    ranks = {"ab": 1.0, "b": 5.0}
-    assert M.merges(list("aé"), ranks, [1, 2]) == 3
-    assert M.merges(list("éb"), {"éb": 1.0, "b": 2.0}, [2, 1]) == 1
+    assert M.merges(list("aé"), {"ab": 1, "b": 5}, [1, 2]) == 3
+    assert M.merges(list("éb"), {"éb": 1, "b": 2}, [2, 1]) == 1
 
 
 def test_other_kinds_are_refused():
