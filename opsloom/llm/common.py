@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -11,6 +12,7 @@ from opsloom.sources.tables import table
 WHITE = " \t\n\x0b\x0c\r"  # \x20 and \x09-\x0D
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 ROWS_PER_CHUNK = 1_000_000
+BATCH_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Jobs started inside hand rows to Python in batches of about ``size`` bytes, which bounds what a worker and its task hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -4,8 +4,8 @@ A document's normaliser m depends on its length alone, so documents of equal m f
 count tf is worth the same everywhere. The index holds segments of documents sorted by m; inside one, postings are runs of
 documents with one (stratum, term, tf), in this order. The impact of a run is computed once from its m and tf.
 
-* Building: documents are counted into terms one by one, without a shuffle; the packed counts then move once, to range
-  partitions of (m, hash of the id), where segments of bounded size are cut. A stratum of any size spreads over segments.
+* Building: documents are counted into terms one by one and stored; once the length of all is known, every split of that
+  table is sorted by m and cut into segments of bounded size. Nothing is shuffled, and a stratum of any size spreads.
 * A stratum's bound for an item is the sum of weight times impact at each term's largest tf, the last run of the term.
   A segment's strata are visited by falling bound, in steps that double, until the next bound is below the score that the
   tenth place asks for; a bound that equals it is still visited, since a smaller id may win the tie. Nothing else is skipped.
@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from opsloom.llm.common import documents
+from opsloom.llm.common import documents, small_batches
 from opsloom.session import written
 from opsloom.sources.tables import table
 
@@ -110,8 +110,8 @@ def segments(rows: DataFrame) -> DataFrame:
     def cut(batches):
         open_, size = ([], [], [], []), 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(segment(*open_), kinds)], names)
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "m", "terms", "tfs"))):
+        for part in (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS)):
+            for row in zip(*(part.column(c).to_pylist() for c in ("doc_id", "m", "terms", "tfs"))):
                 for column, value in zip(open_, row):
                     column.append(value)
                 size += len(row[2]) + len(row[3])
@@ -121,8 +121,7 @@ def segments(rows: DataFrame) -> DataFrame:
         if open_[0]:
             yield out()
 
-    order = [F.col("m"), F.xxhash64("doc_id", "terms")]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "m", "terms", "tfs").mapInArrow(cut, SEGMENT)
+    return rows.select("doc_id", "m", "terms", "tfs").sortWithinPartitions("m").mapInArrow(cut, SEGMENT)
 
 
 @dataclass
@@ -136,6 +135,11 @@ class LexicalIndex:
 
 def build_index(docs: DataFrame) -> LexicalIndex:
     """Index every document with all its terms."""
+    with small_batches(docs.sparkSession):
+        return _build_index(docs)
+
+
+def _build_index(docs: DataFrame) -> LexicalIndex:
     rows = written(counted(docs), "term-counts")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     n, terms = total["n"], total["terms"]
@@ -257,6 +261,11 @@ def search_block(index: LexicalIndex, wanted: dict, k: int) -> DataFrame | None:
 
 def search(index: LexicalIndex, items: DataFrame, k: int = K) -> DataFrame:
     """The ``k`` best documents of every item (``item_id``, ``text``) with a score above 0."""
+    with small_batches(items.sparkSession):
+        return _search(index, items, k)
+
+
+def _search(index: LexicalIndex, items: DataFrame, k: int) -> DataFrame:
     def split(batches):
         for batch in batches:
             words = [sorted(set(terms_of(t))) for t in _bytes(batch.column("text"))]
