@@ -5,11 +5,14 @@ Documents with equal shingle sets form one class, and classes are compared by th
 * Candidates: the signature of a class is cut into bands; classes that share a band meet in a bucket. With 64 bands of
   7 values a pair at the threshold of 0.75 shares no bucket with a chance of 1e-4, a pair at 0.8 with 2e-7; a pair at 0.5,
   as documents with a shared passage are, shares one with a chance of 0.4 and a pair at 0.3 with 0.01.
-* No bucket is expanded into all pairs. In each round a bucket proposes one member as its leader, and only members of
-  other components are compared with it; buckets whose members are one component leave. A bucket that still holds
-  several components after the leader rounds is compared across its components; members of crowded ones, which share a
-  passage more often than they are near copies, are instead compared where they share one of the rarest shingles of
-  their sets (prefix filter), which finds every link among them exactly.
+* No bucket is expanded into all pairs. In each round a bucket proposes one member as its leader, the same one in all
+  buckets that hold it, and a member of another component is compared with the leaders it shares most buckets with;
+  buckets whose members are one component leave. A small bucket that still holds several components after the leader
+  rounds is compared across its components; members of crowded ones, which share a passage more often than they are near
+  copies, are instead compared where they share one of the foremost shingles of their sets (prefix filter), which finds
+  every link among them exactly. A shingle that only one component holds can't link two, so these come first, then rare
+  ones. From the places of a shared shingle follows how much two sets can share at most (positional filter); a row that
+  even the smallest set under its shingle rules out is dropped before the join, as is a shingle left to one component.
 * Verification: signatures of a pair are compared batch by batch. With a uniform prior the similarity after m matches in
   n is Beta(m + 1, n - m + 1); a pair goes as soon as the chance of a similarity at the threshold or above is under
   ``MISS``. Survivors are confirmed on full shingle sets: in every round each class's best edge, at the end only what
@@ -29,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from opsloom.llm.common import documents, text_of
+from opsloom.llm.common import documents, small_batches, text_of
 from opsloom.llm.components import components, small
 from opsloom.llm.shingles import shingle_sets
 from opsloom.session import written
@@ -41,7 +44,9 @@ THRESHOLD = 75  # percent
 BANDS, ROWS = 64, 7
 BATCH = 64
 MISS = 1e-6
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
+LEADERS = 3  # leaders that a member is compared with in a round
+NARROWINGS = 3
 SMALL_BUCKET = 8
 _SEED = np.random.default_rng(2)
 _A = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -74,12 +79,12 @@ def signed(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for lo in range(0, batch.num_rows, 2000):
-                sets = list(shingle_sets(batch.column("text").slice(lo, 2000), WORDS))
+            for lo in range(0, batch.num_rows, 500):
+                sets = list(shingle_sets(batch.column("text").slice(lo, 500), WORDS))
                 full = [s for s in sets if len(s)]
                 sigs = iter(sign(full)) if full else iter(())
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(lo, 2000), pa.array([len(s) for s in sets], pa.int64()),
+                    ids.slice(lo, 500), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.data) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ], ["doc_id", "n_shingles", "set_key", "sig"])
@@ -166,8 +171,12 @@ class Linker:
         n = ids.count()
         if not n:
             return
-        texts = written(self.docs.join(small(ids, n), "doc_id", "left_semi"), "survivor-texts")
-        links = written(confirm(pairs, texts), "links")
+        texts = written(self.docs.join(small(ids, n), "doc_id", "left_semi"), "survivor-texts")  # each text of an id
+        self.join(confirm(pairs, texts))
+
+    def join(self, links: DataFrame) -> None:
+        """Make one component of all that ``links`` (``a``, ``b``) connect."""
+        links = written(links, "links")
         if links.isEmpty():
             return
         if self.labels is None:
@@ -202,22 +211,40 @@ def buckets(rows: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
     """Rows (``key``, ``cid``, ``comp``) of buckets that hold several components, and those buckets (``key``, ``n``, ``leader``)."""
     rows = linker.component(rows.select("key", "cid", "n_set", "rnd"), "cid", "comp")
     by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                 F.min(F.struct(F.xxhash64("rnd", "key", "cid").alias("h"), "cid", "comp", "n_set")).alias("leader"))
+                                 F.min(F.struct(F.xxhash64("rnd", "cid").alias("h"), "cid", "comp", "n_set")).alias("leader"))
     by = written(by.filter(F.col("lo") != F.col("hi")).select("key", "n", F.col("leader.cid").alias("leader"), F.col("leader.comp").alias("leader_comp"), F.col("leader.n_set").alias("leader_set")), "buckets")
     return rows, by
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """Pairs of rows with one key, of different components, whose sizes allow a link."""
-    other = rows.select("key", F.col("cid").alias("other"), F.col("comp").alias("other_comp"), F.col("n_set").alias("other_set"))
+    """Pairs of rows with one key, of different components, whose sizes allow a link; with ``place``, whose places do."""
+    placed = "place" in rows.columns
+    other = rows.select("key", F.col("cid").alias("other"), F.col("comp").alias("other_comp"), F.col("n_set").alias("other_set"), *([F.col("place").alias("other_place")] if placed else []))
     fit = (F.col("cid") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & alike("n_set", "other_set")
+    if placed:
+        left = F.least(F.col("n_set") - F.col("place"), F.col("other_set") - F.col("other_place")) + 1
+        fit = fit & (left >= least_shared(F.col("n_set") + F.col("other_set")))
     return rows.join(other, "key").filter(fit).select(F.col("cid").alias("a"), F.col("other").alias("b"))
 
 
+def least_shared(sizes):
+    """Shingles that two sets at the threshold share at least, from the sum of their sizes."""
+    return F.ceil(sizes * THRESHOLD / (100 + THRESHOLD) - 1e-9)
+
+
+def narrowed(rows: DataFrame) -> DataFrame:
+    """Rows whose place still allows a link with the smallest set under their key, under keys of several components."""
+    by = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_set").alias("least_set"))
+    by = by.filter("lo <> hi").select("key", "least_set")
+    smallest = F.greatest(F.col("least_set"), F.ceil(F.col("n_set") * THRESHOLD / 100))
+    fit = F.col("n_set") - F.col("place") + 1 >= least_shared(F.col("n_set") + smallest)
+    return written(rows.join(by, "key").filter(fit).select("key", "cid", "n_set", "comp", "place"), "prefixes")
+
+
 def prefix_rows(docs: DataFrame, crowded: DataFrame) -> DataFrame:
     """Keys for classes that share crowded buckets: the rarest quarter of each set (``key`` is a shingle).
 
-    Two sets at the threshold share one of their ``n - ceil(threshold * n) + 1`` rarest shingles, whatever the order, so
+    Two sets at the threshold share one of their ``n - ceil(threshold * n) + 1`` first shingles, whatever the order, so
     nothing is lost; a passage that stands in many documents is no key unless it is most of the document.
     """
     def explode(batches):
@@ -227,21 +254,31 @@ def prefix_rows(docs: DataFrame, crowded: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(batch.column("text").slice(lo, 500), WORDS))
                 flat = np.concatenate([s.view(np.int64) for s in sets])
                 sizes = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[lo:lo + 500], sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(flat)], ["cid", "n_set", "key"])
+                own = np.array([xxhash.xxh3_64_intdigest(s.data) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, sizes)) for x in (cid[lo:lo + 500], own, sizes)] + [pa.array(flat)], ["cid", "own", "n_set", "key"])
 
     n = crowded.count()
     texts = docs.select(F.col("doc_id").alias("cid"), "text").join(small(crowded.select("cid").distinct(), n), "cid", "left_semi")
-    rows = written(texts.mapInArrow(explode, "cid bigint, n_set bigint, key bigint"), "crowded-shingles")
-    counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "crowded-counts")
-    rarest = F.dense_rank().over(Window.partitionBy("cid", "n_set").orderBy("df", "key"))  # equal rows of the table rank alike
-    ranked = rows.join(counts, "key").withColumn("place", rarest).filter("df > 1")
-    sized = ranked.join(small(crowded.select("cid", "comp").distinct(), n), "cid")
+    rows = written(texts.mapInArrow(explode, "cid bigint, own bigint, n_set bigint, key bigint"), "crowded-shingles")
+    comps = crowded.select("cid", "comp").distinct()
+    rows = rows.join(small(comps, n), "cid")
+    counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") != F.max("comp")).alias("links")), "crowded-counts")
+    first = F.dense_rank().over(Window.partitionBy("cid", "own").orderBy("links", "df", "key"))  # equal rows of the table rank alike
     prefix = F.col("n_set") - F.ceil(F.col("n_set") * THRESHOLD / 100) + 1
-    return written(sized.filter(F.col("place") <= prefix).select("key", "cid", "n_set", "comp"), "prefixes")
+    ranked = rows.join(counts, "key").withColumn("place", first).filter(F.col("links") & (F.col("place") <= prefix))
+    ranked = written(ranked.select("key", "cid", "n_set", "comp", "place"), "prefixes")
+    for _ in range(NARROWINGS):
+        ranked = narrowed(ranked)
+    return ranked
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: ``n_shingles``, ``component_id`` and ``kept``."""
+    with small_batches(docs.sparkSession):
+        return _near_dedup(docs)
+
+
+def _near_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", text_of().alias("text"))
     rows = written(signed(docs), "signatures")
     named = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
@@ -254,20 +291,35 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     for rnd in range(LEADER_ROUNDS):
         members, by = buckets(members.withColumn("rnd", F.lit(rnd)), linker)
         members = written(members.join(by, "key").select("key", "cid", "n_set", "n", "comp", "leader", "leader_comp", "leader_set"), "members")
-        pairs = members.filter((F.col("comp") != F.col("leader_comp")) & alike("n_set", "leader_set")).select(*ordered("cid", "leader")).distinct()
+        met = members.filter((F.col("comp") != F.col("leader_comp")) & alike("n_set", "leader_set")).groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("times"))
+        best = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("times"), "leader"))  # a member has a leader in each band at most
+        pairs = met.withColumn("rank", best).filter(F.col("rank") <= LEADERS).select(*ordered("cid", "leader")).distinct()
         linker.examine(pairs)
     members, by = buckets(members.withColumn("rnd", F.lit(LEADER_ROUNDS)), linker)
     members = written(members.join(by, "key").select("key", "cid", "n_set", "n", "comp"), "members")
     few = members.filter(F.col("n") <= SMALL_BUCKET).select("key", "cid", "n_set", "comp")
     many = members.filter(F.col("n") > SMALL_BUCKET).select("cid", "n_set", "comp").distinct()
     linker.finish(across(few).union(across(prefix_rows(docs, written(many, "crowded")))).distinct())
-    found = linker.component(classes, "cid", "component_id").select("set_key", "component_id") if linker.labels is not None else classes.select("set_key", F.col("cid").alias("component_id"))
+    linker.join(same_id(named, classes))
+    found = linker.component(classes, "cid", "component_id").select("set_key", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    # An empty text of an id that has other texts.
+    empty = rows.filter("set_key IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    other = named.join(empty, "doc_id", "left_semi").join(found, "set_key").groupBy("doc_id").agg(F.min("component_id").alias("__other"))
+    out = out.join(other, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "__other", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def same_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes of the different texts of one id."""
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id")
+    sets = named.select("doc_id", "set_key").join(several, "doc_id", "left_semi").distinct().join(classes, "set_key")
+    least = sets.groupBy("doc_id").agg(F.min("cid").alias("a"))
+    return sets.join(least, "doc_id").filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+
+
 def op2_near_dedup(spark, sf_dir):
     return near_dedup(documents(spark, sf_dir))
 

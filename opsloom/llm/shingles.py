@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 3_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                  0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # odd multipliers, one for each place in a shingle
 
@@ -44,12 +44,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     """One array per text: the sorted distinct hashes of its runs of ``size`` words; with fewer words the whole text is
     the only one; without words it is empty."""
-    texts = fresh(texts)
-    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES)))
-        words, bounds = word_hashes(texts if end - at == len(texts) else fresh(texts[at:end]))
+        words, bounds = word_hashes(fresh(texts[at:end]))
         n = max(0, len(words) - size + 1)
         runs = np.zeros(n, np.uint64)
         for k in range(size):
@@ -63,3 +62,4 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
             else:
                 yield np.empty(0, np.uint64)
         at = end
+    pa.default_memory_pool().release_unused()

@@ -49,6 +49,34 @@ def test_groups_edits_and_odd_texts(spark):
     assert same_rows(want, M.near_dedup(df).collect())
 
 
+def test_repeated_ids_have_the_links_of_all_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (9, b), (9, None), (7, ""), (11, c), (12, c + " more"), (None, a), (12, b + " x"), (20, None), (3, "c d")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    want = [(i, n, c, i == c) for i, n, c in brute(rows)]
+    assert {c for i, _, c, _ in want if i in (5, 7, 9, 11, 12)} == {5}
+    assert same_rows(want, M.near_dedup(df).collect())
+
+
+def test_crowded_groups_of_far_copies(spark, monkeypatch):
+    """Copies edited so much that some have links to few or none of their group, by way of the prefix filter alone."""
+    monkeypatch.setattr(M, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(M, "SMALL_BUCKET", 1)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(len(w))] = f"y{k % 30}_{rng.randrange(3)}"
+        texts.append(" ".join(w[:rng.randrange(90, 121)]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    want = [(i, n, c, i == c) for i, n, c in brute(rows)]
+    assert len({c for _, _, c, _ in want}) > 3
+    assert same_rows(want, M.near_dedup(df).collect())
+
+
 def test_empty_and_other_columns(spark):
     assert M.near_dedup(empty(spark)).count() == 0
     assert M.near_dedup(documents(spark, [None, ""], clash=True)).select("n_shingles").distinct().collect()[0][0] == 0
