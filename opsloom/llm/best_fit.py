@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opsloom.llm.common import documents, grouped_rank
+from opsloom.llm.common import documents, grouped_rank, small_batches
 from opsloom.llm.word_ids import word_ids
 from opsloom.session import written
 
@@ -130,7 +130,8 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, seed: int = SEED, iden
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences."""
-    pieces = written(token_pieces(docs, tokenizer or tokenizer_file(), capacity, with_ids=with_ids), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(token_pieces(docs, tokenizer or tokenizer_file(), capacity, with_ids=with_ids), "pieces")
     return best_fit(pieces, capacity)
 
 

@@ -18,8 +18,9 @@ import regex
 
 from opsloom.llm.shingles import fresh
 
-SLICE_BYTES = 8_000_000
-CACHED_WORDS = 500_000
+SLICE_BYTES = 1_000_000
+CACHED_WORDS = 120_000  # of up to 40 characters: some 20 MB
+LONGEST_CACHED = 40
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Characters that lower-case one to one and that composition leaves alone: words of these need no full normalisation.
@@ -56,7 +57,7 @@ class WordIds:
         if ids is None:
             named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
             ids = pack_ids([t.id for t in self.model.tokenize(named)])
-            if len(self.pieces) < CACHED_WORDS:
+            if len(self.pieces) < CACHED_WORDS and len(piece) <= LONGEST_CACHED:
                 self.pieces[piece] = ids
         return ids
 
@@ -71,7 +72,7 @@ class WordIds:
                 word = words[i]
                 if PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word)):
                     out[i] = b"".join(map(self._piece, PIECES.findall(word.lower())))
-                    if room > 0:
+                    if room > 0 and len(word) <= LONGEST_CACHED:
                         known[word] = out[i]
                     room -= 1
                 else:
@@ -83,12 +84,11 @@ class WordIds:
 
     def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For stretches of ``texts``: index of the first, ids of all in a row, and the bounds of each text's ids."""
-        texts = pc.fill_null(fresh(texts), "")
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
-            part = fresh(texts[at:end])
+            part = pc.fill_null(fresh(texts[at:end]), "")
             words = pc.ascii_split_whitespace(part)
             plain = words.flatten()
             if not pc.any(pc.match_substring(part, "<|")).as_py():  # else lower-casing could make a special token
@@ -104,9 +104,10 @@ class WordIds:
             first = np.cumsum(width) - width
             n = width[code]
             ends = np.concatenate([[0], np.cumsum(n)])
-            index = np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])
+            index = np.repeat((first[code] - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)  # a slice has fewer ids than that
             yield at, flat[index], ends[bounds]
             at = end
+        pa.default_memory_pool().release_unused()
 
 
 @lru_cache(maxsize=1)
