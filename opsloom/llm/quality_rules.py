@@ -2,13 +2,10 @@
 
 Each document is measured once and the measures are stored. Rule failures are then added up by host; per rule an
 empirical Beta prior is fitted to the hosts' failure rates (method of moments), which draws the rate of a small host
-to the common rate. A host whose drawn rate of a rule is above ``max_rate`` is flagged for that rule, and the verdict
-is joined back: a document goes if it fails the base rule, or if it fails a rule that its host is flagged for. A
-document that fails no rule always stays, whatever its host does.
-
-Where junk is spread over many hosts no host is flagged. ``clear`` then lets a document's own margin decide: one that
-fails a rule by far (``CLEAR``, twice its bound) goes whatever its host, and a narrow failure only on a flagged host. The
-pipeline judges so; the registered query keeps the rule that its SQL states.
+to the common rate. A host whose drawn rate of a rule stands out from the corpus rate of that rule is flagged for it, and
+the verdict is joined back: a document goes if it fails the base rule, if it fails a rule that its host is flagged for, or
+if it fails a rule by far (``CLEAR``, twice its bound), so junk that is spread over many hosts goes too. A narrow failure
+on an ordinary host stays, and so does a document that fails no rule, whatever its host does.
 
 Defined results: a null or empty text has no words and fails the base rule; a null host is a host of its own; rows with
 the same or with no id are judged one by one; an empty table gives an empty result; other columns of the input are not read.
@@ -25,7 +22,7 @@ from opsloom.session import written
 
 Q, S = {}, {}
 
-MAX_RATE = 0.3
+RATIO, LEAST_RATE = 1.5, 0.01  # a host is bad at a rule from so many times the corpus rate, and not below so small a rate
 SPAN = 8
 # rule -> failed? Each is a whole-number comparison of a document's measures.
 RULES = {
@@ -64,12 +61,14 @@ def repeat_words(words: Column) -> Column:
     return let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), F.lit(0)).otherwise(covered(r))).cast("bigint")
 
 
-def measures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``doc_id``, ``host`` and the counts the rules are made of."""
+def measures(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``host`` and the counts the rules are made of; with ``keep`` those columns as the struct ``row``."""
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != "")
-    split = docs.select("doc_id", F.col(host).alias("host"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
+    row = [F.struct(*keep).alias("row")] if keep else []
+    split = docs.select(*row, "doc_id", F.col(host).alias("host"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
     return split.select(
+        *(["row"] if keep else []),
         "doc_id",
         "host",
         F.size("words").cast("bigint").alias("n_words"),
@@ -93,21 +92,25 @@ def beta_priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
     return priors
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE, clear: bool = False) -> DataFrame:
-    """One row per document: its measures, ``base_failed``, ``host_flagged`` (for any rule) and ``kept``. With ``clear`` a document that
-    fails a rule by far isn't kept, whatever its host."""
-    measured = written(measures(docs, host), "quality")
+def quality_verdicts(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: float = LEAST_RATE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its measures, ``base_failed``, ``host_flagged`` (for any rule) and ``kept``.
+
+    A host is flagged for a rule if its drawn rate is above ``ratio`` times the corpus rate of the rule and above
+    ``least``; then its documents that fail the rule go. A document that fails a rule by far goes whatever its host.
+    With ``keep`` those columns of the document come along as the struct ``row``, so nothing has to be joined to it later.
+    """
+    measured = written(measures(docs, host, keep), "quality")
     failed = {r: F.expr(cond) for r, cond in RULES.items()}
     hosts = written(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(failed[r]).alias(f"f_{r}") for r in RULES]), "hosts")
     priors = beta_priors(hosts)
+    corpus = hosts.agg(*[(F.sum(f"f_{r}") / F.sum("n")).alias(r) for r in RULES]).first()
     drawn = {r: (F.col(f"f_{r}") + a) / (F.col("n") + a + b) for r, (a, b) in priors.items()}
-    verdict = hosts.select(F.col("host").alias("__host"), *[(drawn[r] > max_rate).alias(f"bad_{r}") for r in RULES])
+    bad = {r: (drawn[r] > ratio * (corpus[r] or 0.0)) & (drawn[r] > least) for r in RULES}
+    verdict = hosts.select(F.col("host").alias("__host"), *[bad[r].alias(f"bad_{r}") for r in RULES])
     any_of = lambda conds: reduce(lambda x, y: x | y, conds)
     joined = measured.join(verdict, F.col("host").eqNullSafe(F.col("__host")), "left").drop("__host")
     base = any_of([failed[r] for r in BASE])
-    soft = any_of([failed[r] & F.col(f"bad_{r}") for r in RULES])
-    if clear:
-        soft = soft | any_of([F.expr(cond) for cond in CLEAR.values()])
+    soft = any_of([failed[r] & F.col(f"bad_{r}") for r in RULES] + [F.expr(cond) for cond in CLEAR.values()])
     return joined.select(
         *measured.columns,
         base.alias("base_failed"),
@@ -128,9 +131,11 @@ def _sql() -> str:
     prior = ", ".join(
         f"avg(f_{r} / n) AS m_{r}, CASE WHEN var_pop(f_{r} / n) > 1e-12 THEN least(greatest(avg(f_{r} / n) * (1 - avg(f_{r} / n)) / var_pop(f_{r} / n) - 1, 1.0), 1e6) ELSE 1e6 END AS s_{r}"
         for r in RULES)
-    bad = ", ".join(f"(f_{r} + m_{r} * s_{r}) / (n + m_{r} * s_{r} + (1 - m_{r}) * s_{r}) > {MAX_RATE} AS bad_{r}" for r in RULES)
+    drawn = {r: f"(f_{r} + m_{r} * s_{r}) / (n + m_{r} * s_{r} + (1 - m_{r}) * s_{r})" for r in RULES}
+    bad = ", ".join(f"({drawn[r]} > {RATIO} * c_{r} AND {drawn[r]} > {LEAST_RATE}) AS bad_{r}" for r in RULES)
+    corpus = ", ".join(f"sum(f_{r}) / sum(n) AS c_{r}" for r in RULES)
     base = " OR ".join(f"({RULES[r]})" for r in BASE)
-    soft = " OR ".join(f"(({cond}) AND bad_{r})" for r, cond in RULES.items())
+    soft = " OR ".join([f"(({cond}) AND bad_{r})" for r, cond in RULES.items()] + [f"({cond})" for cond in CLEAR.values()])
     return rf"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -146,7 +151,8 @@ m AS (SELECT w.doc_id, host, len(ws)::bigint AS n_words, length(array_to_string(
       FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 h AS (SELECT host, count(*) AS n, {fails} FROM m GROUP BY host),
 p AS (SELECT {prior} FROM h),
-v AS (SELECT host, {bad} FROM h, p)
+c AS (SELECT {corpus} FROM h),
+v AS (SELECT host, {bad} FROM h, p, c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed,
        ({' OR '.join(f'bad_{r}' for r in RULES)}) AS host_flagged, NOT ({base}) AND NOT ({soft}) AS kept
 FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host"""
