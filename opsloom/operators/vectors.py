@@ -46,10 +46,10 @@ def _blocks(n: int, block_rows: int) -> int:
     return max(1, -(-n // block_rows))
 
 
-def _pack(df: DataFrame, keys: list[str]) -> DataFrame:
+def _pack(df: DataFrame, keys: list[str], fields: tuple[str, ...] = ("id", "vec")) -> DataFrame:
     """Fold ``keys, parts, id, vec`` into blocks ``keys, part, rows``. The part is a hash of the id."""
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    return df.withColumn("part", part).groupBy(*keys, "part").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
+    return df.withColumn("part", part).groupBy(*keys, "part").agg(F.collect_list(F.struct(*fields)).alias("rows"))
 
 
 def _plain(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -62,7 +62,7 @@ def _cell_parts(assigned: DataFrame, block_rows: int) -> DataFrame:
     return assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts"))
 
 
-def _top_k(metric: str, k: int, exclude_self: bool):
+def _top_k(metric: str, k: int, exclude_self: bool, timed: bool = False):
     def block_arrays(scalar):
         rows = scalar.values
         ids = rows.field("id")
@@ -83,6 +83,9 @@ def _top_k(metric: str, k: int, exclude_self: bool):
                 else:
                     gap = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * dots
                     near = -np.rint(np.maximum(gap, 0) * scale)
+                if timed:  # only what lies before the query
+                    at = lambda column: batch.column(column)[i].values.field("at").to_numpy(zero_copy_only=False)
+                    near = np.where(at("c_rows")[order][None, :] < at("q_rows")[:, None], near, -np.inf)
                 if exclude_self:
                     same = q_ids.to_numpy(zero_copy_only=False)[:, None] == c_ids.to_numpy(zero_copy_only=False)[order][None, :]
                     near = np.where(same, -np.inf, near)
@@ -104,10 +107,10 @@ def _top_k(metric: str, k: int, exclude_self: bool):
     return run
 
 
-def _merge(pairs: DataFrame, metric: str, k: int, id_type: str, exclude_self: bool) -> DataFrame:
+def _merge(pairs: DataFrame, metric: str, k: int, id_type: str, exclude_self: bool, timed: bool = False) -> DataFrame:
     """Score block pairs and keep the K best per query. Candidates per query are K times the blocks it met."""
     scored = pairs.select("q_rows", "c_rows").mapInArrow(
-        _top_k(metric, k, exclude_self), f"query_id {id_type}, match_id {id_type}, score double"
+        _top_k(metric, k, exclude_self, timed), f"query_id {id_type}, match_id {id_type}, score double"
     )
     best = F.col("score").desc() if metric == "ip" else F.col("score").asc()
     w = Window.partitionBy("query_id").orderBy(best, "match_id")
@@ -211,6 +214,33 @@ def knn_within(queries: DataFrame, corpus: DataFrame, group: str, k: int, metric
     return _knn_by_cell(celled(queries), celled(corpus), k, metric, exclude_self, block_rows)
 
 
+TIME_SLICES = 64
+
+
+def knn_before(queries: DataFrame, corpus: DataFrame, k: int, time: str, metric: str = "ip", id_col: str = "vec_id", vec_col: str = "embedding",
+               block_rows: int = BLOCK_ROWS, slices: int = TIME_SLICES) -> DataFrame:
+    """Exact top-K among the vectors whose ``time`` lies before the query's; a row without a time can neither ask nor match.
+
+    The corpus is cut into time slices of about equal size and each slice into blocks by id hash, so a slice that holds a
+    hot time is split too. A block of queries meets the slices up to its own only; inside, later vectors are masked.
+    """
+    timed = lambda df: df.filter(F.col(vec_col).isNotNull() & F.col(time).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
+    c = materialize(timed(corpus), "timed-corpus")
+    cuts = c.agg(F.percentile_approx("at", [i / slices for i in range(1, slices)], 1000)).first()[0] or []
+    edges = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
+    cell = F.size(F.filter(edges, lambda e: e < F.col("at"))).alias("cell")
+    c = c.select("*", cell)
+    q = materialize(timed(queries).select("*", cell), "timed-queries")
+    c_parts = materialize(_cell_parts(c, block_rows), "time-slices")
+    fields = ("id", "vec", "at")
+    c_blocks = _pack(c.join(c_parts, "cell"), ["cell"], fields).select("cell", "part", F.col("rows").alias("c_rows"))
+    q_blocks = _pack(q.join(_cell_parts(q, block_rows), "cell"), ["cell"], fields)
+    earlier = q_blocks.select(F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.col("cell"))).alias("cell"))
+    spread = earlier.join(c_parts, "cell").select("cell", "q_rows", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return _merge(spread.join(c_blocks, ["cell", "part"]), metric, k, dict(c.dtypes)["id"], False, True)
+
+
 def _knn_by_cell(near_q: DataFrame, near_c: DataFrame, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
     """Top-K of queries (``id``, ``vec``, ``cell``) among the corpus rows of their cells; blocks of a hot cell are split on both sides."""
     c_parts = _cell_parts(near_c, block_rows)
