@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsloom.operators import search as R, tfidf as TT, vectors as V
+from opsloom.operators import search as R, tfidf as TT, vector_index as VI, vectors as V
 from opsloom.operators.embed import with_semantic_text
 from opsloom.operators.text import STOP_WORDS
 from opsloom.plans.base import over_repaired, repaired, sql_list
@@ -130,6 +130,37 @@ def _recall(spark, sf):
 
 Q["knn_ivf_recall"] = _recall
 
+
+
+def code_index(spark, sf):
+    """Two thirds of the vectors are indexed, the rest appended without fitting again."""
+    e = emb(spark, sf)
+    late = F.pmod(F.xxhash64("vec_id"), F.lit(3)) == 0
+    return VI.build_code_index(e.filter(~late), work_path(spark, "code-index"), K).append(e.filter(late))
+
+
+Q["knn_codes"] = lambda spark, sf: code_index(spark, sf).search(emb(spark, sf), K)
+
+
+def _code_checks(spark, sf):
+    """Recall of every vector's search against the exact one, and the share of the vectors that were scored."""
+    e = emb(spark, sf)
+    index = code_index(spark, sf)
+    key = ["query_id", "match_id"]
+    exact, found = V.knn(e, e, K).select(*key), index.search(e, K).select(*key, F.lit(1).alias("hit"))
+    rows = exact.join(found, key, "left").agg(F.count(F.lit(1)).alias("pairs"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    n = index.vectors.count()
+    struct = lambda c, ok, v: F.struct(F.lit(c).alias("check_name"), ok.alias("passed"), v.cast("bigint").alias("n"))
+    return rows.select(F.inline(F.array(
+        struct("recall_at_least_0_9", F.col("recall") >= 0.9, F.col("pairs")), struct("scored_under_a_third", F.lit(3 * K * index.candidates_per_match < n), F.lit(n)))))
+
+
+Q["knn_codes_checks"] = _code_checks
+S["knn_codes_checks"] = f"""
+WITH n AS (SELECT count(*) AS c FROM embeddings WHERE embedding IS NOT NULL)
+SELECT 'recall_at_least_0_9' AS check_name, true AS passed, (c * least(c, {K}))::bigint AS n FROM n
+UNION ALL SELECT 'scored_under_a_third', true, c::bigint FROM n"""
+
 Q["tfidf_topterms"] = lambda spark, sf: TT.top_terms(TT.tfidf(docs(spark, sf), "doc_id", "description"))
 S["tfidf_topterms"] = f"""
 WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
