@@ -1,8 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates (built-in expressions only).
 
-A block is a line of a text, or a window of as many words as a template has, wherever lines break, as the set of its
-words; so a notice wrapped over lines is found too. Windows are kept for a template only where enough of its words stand
-in them, so a text without them has none. Every block that contains at least ``THRESHOLD`` of the words of a
+A block of a template is a window of as many words as the template has, wherever lines break, as the set of the template's
+words in it; so a notice wrapped over lines is found, and words that stand far apart are no notice. Windows are kept only
+where enough of the words stand in them, so a text without them has none. Every block that contains at least ``THRESHOLD`` of the words of a
 template is found: words are ordered by their document frequency over the whole table, rarest first; the first
 ``|T| - need + 1`` words of a template are its prefix, and a block that holds ``need`` of its words must hold one of
 those (prefix filter), must have ``need`` template words at all (length filter) and must have enough words left after
@@ -90,21 +90,19 @@ def scanned(docs: DataFrame, templates, threshold: float) -> DataFrame:
     """One pass over the texts: word counts, places of phrases, template words of the text, and the blocks with enough of them."""
     sets = [set(t.split()) for _, t in templates]
     vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*sets))])
-    least = min(needed(s, threshold) for s in sets)
     text = ascii_lower(text_of())
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("row_hash"), text.alias("text")).withColumn("plain", plain_words(F.col("text")))
     padded = F.concat(F.lit(" "), F.col("plain"), F.lit(" "))
     none = F.array().cast("array<int>")
     found = lambda phrase: let(split_words(F.col("plain")), lambda words: starts_of(words, phrase))
     places = [F.when(padded.contains(f" {p} "), found(p)).otherwise(none) for p, _ in PHRASES]
-    block = lambda line, i: F.struct(i.alias("line"), F.array_intersect(split_words(plain_words(line)), vocabulary).alias("words"))
-    blocks = F.filter(F.transform(F.split("text", "\n", -1), block), lambda b: F.size(b.words) >= least)
     rows = rows.withColumn("seen", F.array_intersect(split_words(F.col("plain")), vocabulary))
-    wrapped = F.array_distinct(F.concat(*[template_windows(text, threshold) for _, text in templates]))
-    over_lines = F.transform(wrapped, lambda words, i: F.struct((-i - 1).alias("line"), words.alias("words")))
+    of = lambda k, text: F.transform(template_windows(text, threshold), lambda words: F.struct(F.lit(k).alias("own"), words.alias("words")))
+    windows = F.concat(*[of(k, text) for k, (_, text) in enumerate(templates)])
+    blocks = F.transform(windows, lambda b, i: F.struct(i.alias("line"), b.own.alias("own"), b.words.alias("words")))
     return rows.select(
         "doc_id", "row_hash", F.size(split_words(F.col("plain"))).cast("bigint").alias("n_words"),
-        *[p.alias(f"at_{i}") for i, p in enumerate(places)], "seen", F.concat(blocks, over_lines).alias("blocks"))
+        *[p.alias(f"at_{i}") for i, p in enumerate(places)], "seen", blocks.alias("blocks"))
 
 
 def values(spark, rows: list[tuple], names: str) -> DataFrame:
@@ -127,10 +125,10 @@ def template_blocks(rows: DataFrame, templates, threshold: float) -> DataFrame:
     sets = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{label}', {a})" for k, label, a in full) + " AS t(template, label, ranks)")
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
     blocks = rows.select("doc_id", "row_hash", F.inline("blocks")).select(
-        "doc_id", "row_hash", "line", F.sort_array(F.transform("words", lambda w: F.element_at(ranks, w))).alias("block"))
+        "doc_id", "row_hash", "line", "own", F.sort_array(F.transform("words", lambda w: F.element_at(ranks, w))).alias("block"))
     places = blocks.select("*", F.posexplode("block").alias("at", "word"))
     size = F.size("block")
-    fits = (size >= F.col("need")) & (F.least(size - F.col("at"), F.col("t_size") - F.col("t_at")) >= F.col("need"))
+    fits = (F.col("own") == F.col("template")) & (size >= F.col("need")) & (F.least(size - F.col("at"), F.col("t_size") - F.col("t_at")) >= F.col("need"))
     small = values(spark, index, "template, word, t_at, t_size, need")
     candidates = places.join(F.broadcast(small), "word").filter(fits).dropDuplicates(["doc_id", "row_hash", "line", "template"])
     counted = candidates.join(F.broadcast(sets), "template").withColumn("shared", F.size(F.array_intersect("block", "ranks")))
@@ -165,16 +163,17 @@ Q["op7_license_scan"] = op7_license_scan
 def _sql() -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES)
-    templates = ", ".join(f"({sorted(set(t.split()))}, '{label}', {needed(set(t.split()), THRESHOLD)})" for label, t in TEMPLATES)
+    templates = ", ".join(f"({k}, {sorted(set(t.split()))}, '{label}', {needed(set(t.split()), THRESHOLD)}, {len(t.split())})" for k, (label, t) in enumerate(TEMPLATES))
     return rf"""
-WITH p(ws, label) AS (VALUES {phrases}), t(ws, label, need) AS (VALUES {templates}),
+WITH p(ws, label) AS (VALUES {phrases}), t(k, ws, label, need, width) AS (VALUES {templates}),
 d AS (SELECT doc_id, {lower.format("coalesce(text, '')")} AS x FROM documents),
 w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
 b AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w.ws, p.ws AS pw, label, unnest(range(1, len(w.ws) - len(p.ws) + 2)) AS i FROM w, p)
       WHERE ws[i:i + len(pw) - 1] = pw),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY doc_id),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM d),
-s AS (SELECT doc_id, label, len(list_intersect(l.ws, t.ws)) AS k, len(t.ws) AS n, need FROM l, t),
+wat AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+h AS (SELECT doc_id, i, word, k, label, need, width, n FROM wat JOIN (SELECT k, label, need, width, len(ws) AS n, unnest(ws) AS word FROM t) USING (word)),
+s AS (SELECT doc_id, label, need, n, count(DISTINCT word) OVER (PARTITION BY doc_id, k ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS k FROM h),
 more AS (SELECT doc_id, list(label) AS labels, max(k / n) AS c FROM s WHERE k >= need GROUP BY doc_id)
 SELECT w.doc_id, len(w.ws)::bigint AS n_words, coalesce(base.n, 0)::bigint AS n_base, lo::bigint AS first_word, hi::bigint AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,
