@@ -8,9 +8,9 @@ rest; these values lie in shards by key. Documents send their distinct keys, pac
 values stream in first and the keys are looked up in them, and the shards' sums are added up by document.
 
 One trusted document in ``HELD`` (by the hash of its id) is kept out of the counts, so that its perplexity is that of new
-text. Per language the threshold is the ``QUANTILE`` of these documents' log perplexities, on a grid of a thousandth; with
-too few of them to see that quantile it is their mean plus ``SPREAD`` deviations, if that is higher. Short documents are
-drawn to the language's mean by ``PRIOR_WORDS`` words before they are compared.
+text. Per language the threshold is the ``QUANTILE`` of these documents' log perplexities, on a grid of a thousandth; its
+distance to their mean is drawn to that of all languages together, which counts as ``HELD_PRIOR`` more documents. Short
+documents are drawn to the language's mean by ``PRIOR_WORDS`` words before they are compared.
 
 Defined results: a null text or one without words has no perplexity and isn't kept; a null language, or one without
 trusted documents, is held to the threshold of all trusted documents, and without any trusted document everything with
@@ -35,12 +35,11 @@ from opsloom.sources.tables import table
 
 Q, S = {}, {}
 
-VOCABULARY = 65_534  # types that the lower order is spread over at least; more if the trusted texts have more
 START = xxhash.xxh3_64_intdigest(b" ")  # no word has a blank
 QUANTILE = 0.995
 PRIOR_WORDS = 20
 HELD = 5
-SPREAD = 2.0
+HELD_PRIOR = 200  # held-out documents that a language's own quantile is weighed against
 SHARD_ROWS = 2_000_000
 SLICE_BYTES = 4_000_000
 GRID = 1000
@@ -142,7 +141,7 @@ class Model:
         follows = written(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("follow")), "kn-words")
         f = follows.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("follow"), F.lit(0)).alias("seen"), *[F.count_if(F.col("follow") == k).alias(f"n{k}") for k in range(1, 5)]).first()
         low = discounts([f[f"n{k}"] for k in range(1, 5)])
-        base = 1.0 / (max(VOCABULARY, f["types"]) + 1)
+        base = 1.0 / (f["types"] + 1)  # all types and the unknown word
         more = f["types"] - f["n1"] - f["n2"]
         rest = float(low[1] * f["n1"] + low[2] * f["n2"] + low[3] * more) * base
         self.seen, self.rows = f["seen"], f["seen"] + 2 * f["types"]
@@ -264,13 +263,12 @@ def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
     cells = drawn.groupBy(*by, "mean", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(*by)  # cells of the grid, not documents
     ranked = cells.withColumn("upto", F.sum("n").over(whole.orderBy("cell"))).withColumn("total", F.sum("n").over(whole))
-    place = F.col("cell") / float(GRID)
-    spread = F.sqrt(F.sum(F.col("n") * (place - F.col("mean")) ** 2) / F.sum("n"))
-    cut = ranked.groupBy(*by, "mean").agg(
-        F.min(F.when(F.col("upto") >= F.col("total") * quantile, F.col("cell") + 1)).alias("at"), spread.alias("spread"), F.max("total").alias("total"))
-    seen = F.col("at") / float(GRID)
-    few = F.col("total") * (1 - quantile) < 1
-    return written(cut.select(*by, "mean", F.when(few, F.greatest(seen, F.col("mean") + SPREAD * F.col("spread"))).otherwise(seen).alias("cut")), "kn-thresholds")
+    cut = written(ranked.groupBy(*by, "mean").agg(
+        F.min(F.when(F.col("upto") >= F.col("total") * quantile, F.col("cell") + 1)).alias("at"), F.max("total").alias("total")), "kn-quantiles")
+    above = F.col("at") / float(GRID) - F.col("mean")
+    pooled = cut.filter("all").select(above.alias("above")).first()
+    drawn = (F.col("total") * above + HELD_PRIOR * (pooled["above"] if pooled else 0.0)) / (F.col("total") + HELD_PRIOR)
+    return written(cut.select(*by, "mean", (F.col("mean") + drawn).alias("cut")), "kn-thresholds")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -31,7 +31,7 @@ def brute(trusted, scored):
     for (v, _), c in pairs.items():
         total[v] += c
         back[v] += high[min(c, 3)]
-    spread = sum(low[min(c, 3)] for c in follow.values()) / (M.VOCABULARY + 1)
+    spread = sum(low[min(c, 3)] for c in follow.values()) / (len(follow) + 1)
     out = []
     for t in scored:
         w = ["<s>", *(x if x in known else "<unk>" for x in code(t))]
@@ -78,7 +78,7 @@ def test_odd_texts(spark):
 
 def test_rare_words_beyond_any_vocabulary(spark):
     """More trusted types than 16-bit ids: the rare ones keep their pairs and the result is that of the full model."""
-    types = M.VOCABULARY + 20_000
+    types = 85_534
     texts = [" ".join(f"w{i + j} x{i + j}" for j in range(100)) for i in range(0, types // 2, 100)]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], LABELS)
@@ -86,7 +86,7 @@ def test_rare_words_beyond_any_vocabulary(spark):
     held = {r[0] for r in spark.range(len(texts)).filter(F.pmod(F.xxhash64("id"), F.lit(M.HELD)) == 0).collect()}
     trusted = [t for i, t in enumerate(texts) if i not in held]
     known = {w for t in trusted for w in words(t)}
-    assert len(known) > M.VOCABULARY
+    assert len(known) > 65_535
     low, high = min(out[i] for i in held), max(p for i, p in out.items() if i not in held)
     assert max(p for i, p in out.items() if i not in held) == pytest.approx(min(p for i, p in out.items() if i not in held), rel=1e-3)
     assert low > 5 * high
