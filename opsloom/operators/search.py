@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opsloom.functions.lookup import lookup_join
 from opsloom.functions.ordinals import trim_ws
 from opsloom.operators.embed import Embedder, fit_embedder, with_semantic_text
+from opsloom.operators.text import semantic_text
 from opsloom.operators.vectors import knn
 
 # The ticket a free text stands for, and its business hours.
@@ -29,14 +30,36 @@ def tickets_from_text(df: DataFrame, text: str, as_of) -> DataFrame:
     })
 
 
+# Text fields that a query given as a record may name.
+RECORD_FIELDS = ("short_description", "description", "category", "subcategory", "business_service", "cmdb_ci", "priority")
+
+
+def record_tickets(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``record``: the ticket that a JSON object describes, null for any other text.
+
+    Fields are read by a schema; one that the record lacks has the template's value, unknown ones are ignored. A text is a
+    record if it is an object that names at least one field.
+    """
+    schema = ", ".join(f"{c} string" for c in RECORD_FIELDS)
+    body = trim_ws(F.col(text))
+    read = F.when(body.startswith("{") & body.endswith("}"), F.from_json(body, schema))
+    parsed = df.withColumn("__r", read)
+    given = F.greatest(*[F.col(f"__r.{c}").isNotNull() for c in RECORD_FIELDS])
+    field = lambda c: F.coalesce(F.col(f"__r.{c}"), F.lit(FREE_TEXT_TICKET.get(c)).cast("string")).alias(c)
+    return parsed.withColumn("record", F.when(F.col("__r").isNotNull() & given, F.struct(*[field(c) for c in RECORD_FIELDS]))).drop("__r")
+
+
 def resolve_queries(asked: DataFrame, store: DataFrame) -> DataFrame:
-    """``(query_id, kind, semantic_text)``: a stored ticket number stands for its stored text, else the query is the text."""
-    q = asked.select("query_id", trim_ws(F.col("query")).alias("number"))
+    """``(query_id, kind, semantic_text)``: a stored ticket number stands for its stored text, a record for the text of the
+    ticket it describes, else the query is the text."""
+    q = record_tickets(asked, "query").select("query_id", trim_ws(F.col("query")).alias("number"), "record")
     asked_for = store.select("number", "semantic_text").join(q.select("number").distinct(), "number", "left_semi")
     known = lookup_join(q, asked_for, ["number"])  # only the texts that are asked for meet the queries
-    return known.select(
-        "query_id", F.when(F.col("semantic_text").isNotNull(), "number").otherwise("text").alias("kind"),
-        F.coalesce("semantic_text", "number").alias("semantic_text"))
+    is_record = F.col("record").isNotNull()
+    described = known.select("query_id", "number", F.col("semantic_text").alias("stored"), is_record.alias("is_record"), "record.*")
+    return described.select(
+        "query_id", F.when(F.col("stored").isNotNull(), "number").when(F.col("is_record"), "record").otherwise("text").alias("kind"),
+        F.coalesce("stored", F.when(F.col("is_record"), semantic_text(described)), "number").alias("semantic_text"))
 
 
 def save_vectors(df: DataFrame, path: str) -> str:

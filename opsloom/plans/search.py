@@ -172,11 +172,13 @@ SELECT * FROM (SELECT id, term, weight, row_number() OVER (PARTITION BY id ORDER
 
 
 def _resolve(spark, sf):
-    """Ticket numbers of all stored vectors and all conversation turns, asked as queries."""
+    """Ticket numbers of all stored vectors, all conversation turns, and every ticket as a JSON record, asked as queries."""
     numbers = emb(spark, sf).select(F.concat(F.lit("n"), "vec_id").alias("query_id"), F.concat(F.lit(" "), ticket_number("vec_id")).alias("query"))
     turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
-    store = with_semantic_text(repaired(spark, sf, text=True))
-    return R.resolve_queries(numbers.unionByName(turns), store).select("query_id", "kind", F.md5("semantic_text").alias("digest"))
+    tickets = repaired(spark, sf, text=True)
+    records = tickets.select(F.concat(F.lit("r"), "ticket_key").alias("query_id"), F.to_json(F.struct(*R.RECORD_FIELDS, F.col("number").alias("ticket_number"))).alias("query"))
+    store = with_semantic_text(tickets)
+    return R.resolve_queries(numbers.unionByName(turns).unionByName(records), store).select("query_id", "kind", F.md5("semantic_text").alias("digest"))
 
 
 Q["resolve_queries"] = _resolve
@@ -184,7 +186,9 @@ S["resolve_queries"] = over_repaired(SEMANTIC_SQL + r"""
 , a AS (SELECT concat('n', cast(vec_id AS varchar)) AS query_id, concat('INC', lpad(cast(vec_id AS varchar), 12, '0')) AS query FROM embeddings
   UNION ALL SELECT concat(cast(conv_id AS varchar), '-', cast(turn AS varchar)), regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') FROM conversations)
 SELECT query_id, CASE WHEN s.number IS NULL THEN 'text' ELSE 'number' END AS kind, md5(coalesce(semantic_text, query)) AS digest
-FROM a LEFT JOIN sem s ON s.number = a.query""")
+FROM a LEFT JOIN sem s ON s.number = a.query
+UNION ALL SELECT concat('r', cast(ticket_key AS varchar)), 'record',
+  md5(CASE WHEN cmdb_ci IS NULL THEN replace(semantic_text, ' | CI: General CI] [Priority', ' | CI: ci-query-node] [Priority') ELSE semantic_text END) FROM sem""")
 
 
 def _store(spark, sf):

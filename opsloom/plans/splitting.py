@@ -111,6 +111,36 @@ c AS (SELECT s.caller, f.fold, f.m, sum(s.y) FILTER (s.fold <> f.fold) AS sy, co
 SELECT number, round((coalesce(sy, 0) + 10 * m) / (n + 10), 4) AS caller_te FROM s JOIN c USING (caller, fold)""")
 
 
+def _classes(spark, sf):
+    """Shares of the assignment group, from the train tickets for all others and from earlier tickets for these; each ticket's own class and the sum are shown."""
+    df = X.random_split(repaired(spark, sf)).withColumn("order", F.conv(F.substring(X.row_hash(), 1, 8), 16, 10).cast("bigint"))
+    train, rest = df.filter("split = 'train'"), df.filter("split <> 'train'")
+    classes, fitted = N.class_shares(train, "caller", "assignment_group")
+    encoded = N.target_encode_classes(rest, fitted, "caller")
+    _, ordered = N.target_encode_classes_ordered(train, "caller", "assignment_group", F.col("order"))
+    own = F.get("caller_te", F.array_position(F.array(*[F.lit(k) for k in classes]), F.col("assignment_group")).cast("int") - 1)
+    total = F.aggregate("caller_te", F.lit(0.0), lambda a, x: a + x)
+    show = lambda d: d.select("number", "split", F.round(own, 4).alias("own_share"), F.round(total, 4).alias("total"))
+    return show(encoded).unionByName(show(ordered))
+
+
+Q["target_encode_classes"] = _classes
+S["target_encode_classes"] = over_repaired(f"""
+, s AS (SELECT number, caller AS c, assignment_group AS k, {RANDOM} AS split, ('0x' || substr(md5(concat(number, '42')), 1, 8))::bigint AS h FROM rep),
+t AS (SELECT *, floor(h * {N.ORDER_BUCKETS} / 4294967296.0)::int AS b FROM s WHERE split = 'train'),
+g AS (SELECT k, count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY 1),
+ck AS (SELECT c, k, count(*) AS n FROM t GROUP BY ALL), cn AS (SELECT c, count(*) AS n FROM t GROUP BY ALL),
+o AS (SELECT number, split, (SELECT count(DISTINCT k) FROM t) AS classes,
+  count(*) OVER (PARTITION BY c, k ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_ck,
+  count(*) OVER (PARTITION BY c ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_c,
+  count(*) OVER (PARTITION BY k ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_k,
+  count(*) OVER (ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM t)
+SELECT number, split, round((n_ck + 10 * CASE WHEN n > 0 THEN n_k / n::double ELSE 1 / classes::double END) / (n_c + 10), 4) AS own_share, 1.0::double AS total FROM o
+UNION ALL
+SELECT number, split, round(CASE WHEN cn.n IS NULL THEN g.p ELSE (coalesce(ck.n, 0) + 10 * g.p) / (cn.n + 10) END, 4), CASE WHEN g.p IS NULL THEN NULL ELSE 1.0::double END
+FROM s LEFT JOIN g USING (k) LEFT JOIN ck ON ck.c = s.c AND ck.k = s.k LEFT JOIN cn ON cn.c = s.c WHERE split <> 'train'""")
+
+
 def _snapshot(spark, sf):
     base = work_path(spark, "versions")
     df = tickets(spark, sf, text=True)

@@ -158,3 +158,32 @@ def test_versions(rows, tmp_path):
     assert V.save_version(df, base, file_format="csv") == 3
     assert sorted(map(tuple, V.load_version(df.sparkSession, base, 3, df.schema).collect())) == [("a", 1), ("b", 2)]
     assert sorted(map(tuple, V.load_version(df.sparkSession, base, 1).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_class_targets(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    from opsloom.operators import encode as N
+
+    rows = [(i, "hot" if i % 3 else f"c{i % 7}", None if i % 11 == 0 else f"k{(i * i) % 4}", (i * 2654435761) % 2**32) for i in range(400)]
+    df = spark.createDataFrame(rows, "number int, c string, k string, h bigint")
+    classes, fitted = N.class_shares(df, "c", "k", smoothing=5.0)
+    name = lambda v: v or "UNKNOWN"
+    assert classes == sorted({name(k) for _, _, k, _ in rows})
+    total, of = Counter(name(k) for _, _, k, _ in rows), Counter((c, name(k)) for _, c, k, _ in rows)
+    n = Counter(c for _, c, _, _ in rows)
+    unseen = spark.createDataFrame([(900, "new"), (901, "hot")], "number int, c string")
+    got = {r["number"]: r["c_te"] for r in N.target_encode_classes(unseen, fitted, "c").collect()}
+    assert np.allclose(got[900], [total[k] / 400 for k in classes])
+    assert np.allclose(got[901], [(of["hot", k] + 5 * total[k] / 400) / (n["hot"] + 5) for k in classes])
+    names, ordered = N.target_encode_classes_ordered(df, "c", "k", F.col("h"), smoothing=5.0, buckets=16)
+    place = {i: (h * 16) // 2**32 for i, _, _, h in rows}
+    out = {r["number"]: r["c_te"] for r in ordered.collect()}
+    assert names == classes and len(out) == 400
+    for i, c, _, _ in rows:
+        before = [(x, name(k)) for j, x, k, _ in rows if place[j] < place[i]]
+        prior = [sum(k == y for _, k in before) / len(before) if before else 1 / len(classes) for y in classes]
+        own = [k for x, k in before if x == c]
+        assert np.allclose(out[i], [(own.count(y) + 5 * p) / (len(own) + 5) for y, p in zip(classes, prior)])

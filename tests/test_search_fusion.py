@@ -153,3 +153,16 @@ def test_chosen_probes_reach_recall_on_given_embeddings(spark, sf):
     for queries in (e, some):
         exact, near = ranked(V.knn(some, e, 10)), ranked(V.knn_cells(queries, e, 10))
         assert np.mean([len(set(exact[i]) & set(near[i])) / len(exact[i]) for i in exact]) >= 0.9
+
+
+def test_records_are_queries(spark):
+    from opsloom.operators import search as R
+
+    store = spark.createDataFrame([("INC1", "stored text")], "number string, semantic_text string")
+    asked = spark.createDataFrame([
+        ("a", '{"short_description": "ATM jam", "category": "HW", "extra": 1}'), ("b", "INC1"), ("c", "{not json}"), ("d", '{"other": 2}'), ("e", None), ("f", ' {"priority": 2} ')],
+        "query_id string, query string")
+    got = {r["query_id"]: (r["kind"], r["semantic_text"]) for r in R.resolve_queries(asked, store).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": "record", "b": "number", "c": "text", "d": "text", "e": "text", "f": "record"}
+    assert "ATM jam" in got["a"][1] and "Category: HW" in got["a"][1] and "ci-query-node" in got["a"][1]
+    assert got["b"][1] == "stored text" and got["d"][1] == '{"other": 2}' and "Priority: 2" in got["f"][1]
