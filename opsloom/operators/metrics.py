@@ -87,10 +87,14 @@ def roc_auc(counts: DataFrame) -> DataFrame:
 
 
 def roc_curve(counts: DataFrame) -> DataFrame:
-    """Curve points per class: everything scored at or above the threshold is called positive."""
+    """Curve points per class: everything scored at or above the threshold is called positive. Every curve starts at (0, 0), where
+    no score reaches the threshold (null)."""
     rate = lambda side: F.round((F.col(f"{side}_total") - F.col(f"{side}_before")) / F.col(f"{side}_total"), 6)
-    return counts.filter((F.col("pos_total") > 0) & (F.col("neg_total") > 0)).select(
-        "cls", F.round("score", 6).alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr"))
+    points = counts.filter((F.col("pos_total") > 0) & (F.col("neg_total") > 0)).select(
+        "cls", F.round("score", 6).alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr"), (F.col("pos_before") + F.col("neg_before") == 0).alias("__lowest"))
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    own = F.struct("threshold", "tpr", "fpr")
+    return points.select("cls", F.inline(F.when(F.col("__lowest"), F.array(own, start)).otherwise(F.array(own))))
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

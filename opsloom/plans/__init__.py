@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "quality", "features", "profiling", "splitting", "search", "fusing", "modeling")
+MODULES = ("cleaning", "quality", "features", "profiling", "splitting", "search", "fusing", "modeling", "prepare")
 
 
 def registry():

@@ -195,7 +195,8 @@ Q["roc_curve"] = lambda spark, sf: M.roc_curve(_counts(spark, sf))
 S["roc_curve"] = over_repaired(FULL_CTE + """
 , c AS (SELECT cls, score, sum(y) AS p, count(*) - sum(y) AS n FROM fs GROUP BY 1, 2)
 SELECT cls, round(score, 6) AS threshold, round(sum(p) OVER (PARTITION BY cls ORDER BY score DESC) / (sum(p) OVER (PARTITION BY cls))::double, 6) AS tpr,
-  round(sum(n) OVER (PARTITION BY cls ORDER BY score DESC) / (sum(n) OVER (PARTITION BY cls))::double, 6) AS fpr FROM c""")
+  round(sum(n) OVER (PARTITION BY cls ORDER BY score DESC) / (sum(n) OVER (PARTITION BY cls))::double, 6) AS fpr FROM c
+UNION ALL SELECT DISTINCT cls, NULL::double, 0.0::double, 0.0::double FROM c""")
 
 Q["regression_metrics"] = lambda spark, sf: M.regression_metrics(
     best_scores(spark, sf).filter("split = 'test'").select(F.col("resolution_time_hours").alias("label"), F.col("cell_hours").alias("prediction")))

@@ -52,7 +52,9 @@ def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet side table, or None when nothing is stored there."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
