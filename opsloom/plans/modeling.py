@@ -71,7 +71,12 @@ def expected(source: str, **counts: str) -> str:
     return over_repaired(f", t AS ({source}) " + " UNION ALL ".join(f"SELECT '{c}' AS check_name, true AS passed, ({n})::bigint AS n FROM t" for c, n in counts.items()))
 
 
-ROWS = F.count(F.lit(1))
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 TICKETS = f"SELECT *, {RANDOM} AS split FROM rep"
 
 
@@ -91,8 +96,8 @@ def _feature_checks(spark, sf):
     shares = [F.get("x", names.index(c)).between(0, 1) for c in M.FREQUENCY]
     every = lambda conds: F.every(F.forall(F.array(*conds), lambda v: v))
     return checks(
-        x, every_ticket_once=(F.count_distinct("number") == ROWS, ROWS), one_width=(F.min(F.size("x")) == len(names), ROWS),
-        no_missing_value=(F.every(F.forall("x", lambda v: ~F.isnan(v) & v.isNotNull())), ROWS), one_hot_groups=(every(ones), ROWS), shares_in_range=(every(shares), ROWS),
+        x, every_ticket_once=(F.count_distinct("number") == n_rows(), n_rows()), one_width=(F.min(F.size("x")) == len(names), n_rows()),
+        no_missing_value=(F.every(F.forall("x", lambda v: ~F.isnan(v) & v.isNotNull())), n_rows()), one_hot_groups=(every(ones), n_rows()), shares_in_range=(every(shares), n_rows()),
         train_rows=(F.lit(True), F.count_if(F.col("split") == "train")))
 
 
@@ -115,8 +120,8 @@ def _router_checks(spark, sf):
     best, base = max(v for m, v in f1.items() if m != "most_frequent"), f1["most_frequent"]
     chosen = F.max("chosen")
     return checks(
-        row, val_rows_scored=(F.lit(True), F.max("rows")), chosen_is_best=(F.abs(chosen - best) <= 1e-3, ROWS),
-        above_most_frequent=(chosen > base, ROWS), boosted_compared=(F.lit("boosted_trees" in f1), ROWS))
+        row, val_rows_scored=(F.lit(True), F.max("rows")), chosen_is_best=(F.abs(chosen - best) <= 1e-3, n_rows()),
+        above_most_frequent=(chosen > base, n_rows()), boosted_compared=(F.lit("boosted_trees" in f1), n_rows()))
 
 
 Q["train_router"] = _router
@@ -136,7 +141,7 @@ def _duration_checks(spark, sf):
     test = F.col("split") == "test"
     log_error = lambda c: F.avg(F.when(test, F.abs(F.log1p(c) - F.log1p("resolution_time_hours"))))
     return checks(
-        scored, hours_not_negative=(F.every(F.coalesce(F.col("predicted_hours") >= 0, F.lit(False))), ROWS),
+        scored, hours_not_negative=(F.every(F.coalesce(F.col("predicted_hours") >= 0, F.lit(False))), n_rows()),
         not_worse_than_median=(log_error(F.col("predicted_hours")) <= 1.05 * log_error(F.lit(middle)), F.count_if(test)))
 
 
@@ -159,8 +164,8 @@ def _score_checks(spark, sf):
     out = model.score(d).select("number", "predicted_group", "confidence").join(again, "number")
     ok = lambda c: F.every(F.coalesce(c, F.lit(False)))
     return checks(
-        out, every_ticket_once=(F.count_distinct("number") == ROWS, ROWS), group_known=(ok(F.col("predicted_group").isin(known)), ROWS),
-        confidence_in_range=(ok((F.col("confidence") > 0) & (F.col("confidence") <= 1)), ROWS), same_after_reload=(ok((F.col("g2") == F.col("predicted_group")) & (F.col("c2") == F.col("confidence"))), ROWS))
+        out, every_ticket_once=(F.count_distinct("number") == n_rows(), n_rows()), group_known=(ok(F.col("predicted_group").isin(known)), n_rows()),
+        confidence_in_range=(ok((F.col("confidence") > 0) & (F.col("confidence") <= 1)), n_rows()), same_after_reload=(ok((F.col("g2") == F.col("predicted_group")) & (F.col("c2") == F.col("confidence"))), n_rows()))
 
 
 Q["score_batch"] = _score
@@ -180,8 +185,8 @@ def _top3_checks(spark, sf):
     p = [F.get("c.probability", i) for i in range(3)]
     ok = lambda c: F.every(F.coalesce(c, F.lit(False)))
     return checks(
-        by.join(first, "number"), three_groups=(ok((F.size("c") == 3) & (F.size(F.array_distinct("c.candidate")) == 3)), ROWS),
-        falling=(ok((p[0] >= p[1]) & (p[1] >= p[2]) & (p[0] + p[1] + p[2] <= 1.00001)), ROWS), first_is_prediction=(ok(F.get("c.candidate", 0) == F.col("predicted_group")), ROWS))
+        by.join(first, "number"), three_groups=(ok((F.size("c") == 3) & (F.size(F.array_distinct("c.candidate")) == 3)), n_rows()),
+        falling=(ok((p[0] >= p[1]) & (p[1] >= p[2]) & (p[0] + p[1] + p[2] <= 1.00001)), n_rows()), first_is_prediction=(ok(F.get("c.candidate", 0) == F.col("predicted_group")), n_rows()))
 
 
 Q["top3_groups"] = _top3
@@ -221,7 +226,7 @@ def _attribution_checks(spark, sf):
     """Base plus contributions is the prediction for every ticket; every slot has a contribution."""
     rows, names = _contrib(spark, sf)
     total = F.col("base") + F.aggregate("contribution", F.lit(0.0), lambda a, x: a + x)
-    return checks(rows, adds_up=(F.every(F.abs(total - F.col("prediction")) < 1e-6), ROWS), every_slot=(F.every(F.size("contribution") == len(names)), ROWS))
+    return checks(rows, adds_up=(F.every(F.abs(total - F.col("prediction")) < 1e-6), n_rows()), every_slot=(F.every(F.size("contribution") == len(names)), n_rows()))
 
 
 Q["row_attribution"] = lambda spark, sf: A.row_attribution(*_contrib(spark, sf))
@@ -290,8 +295,8 @@ def _recommend_checks(spark, sf):
     """One decision per asked ticket; as many precedents as there can be, none from the query's day or later; without any, the model decides."""
     out, found = recommended(spark, sf)
     opened = data(spark, sf).select(F.col("number").alias("query_id"), "opened_at")
-    late = found.join(opened, "query_id").agg(ROWS.alias("found"), F.count_if(F.col("match_opened_at") >= F.col("opened_at")).alias("late")).first()
-    row = out.agg(ROWS.alias("rows"), F.count_distinct("query_id").alias("ids"), F.count_if(F.col("reason_code") == "NO_PRECEDENT").alias("alone"),
+    late = found.join(opened, "query_id").agg(n_rows().alias("found"), F.count_if(F.col("match_opened_at") >= F.col("opened_at")).alias("late")).first()
+    row = out.agg(n_rows().alias("rows"), F.count_distinct("query_id").alias("ids"), F.count_if(F.col("reason_code") == "NO_PRECEDENT").alias("alone"),
                   F.every((F.col("reason_code") != "NO_PRECEDENT") | (F.col("recommended_group") == F.col("model_group"))).alias("follows"))
     return checks(
         row, one_row_per_ticket=(F.max("rows") == F.max("ids"), F.max("rows")), no_later_match=(F.lit(late["late"] == 0), F.max(F.lit(late["found"]))),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.operators.prepare import prepare
-from opsloom.plans.modeling import ROWS, TICKETS, checks
+from opsloom.plans.modeling import TICKETS, checks, n_rows
 from opsloom.plans.base import over_repaired
 from opsloom.session import work_path
 from opsloom.sources.files import optional_table
@@ -28,8 +28,8 @@ def _checks(spark, sf):
     size = lambda name: (F.lit(True), F.count_if(F.col("split") == name))
     ordered = F.coalesce(F.col("resolved_at") >= F.col("opened_at"), F.lit(True)) & F.coalesce(F.col("closed_at") >= F.col("resolved_at"), F.lit(True))
     return checks(
-        df, every_ticket_once=(F.count_distinct("number") == ROWS, ROWS), times_ordered=(ok(ordered), ROWS), ordinals_in_range=(ok(F.col("priority").between(1, 5) & F.col("urgency").between(1, 3)), ROWS),
-        groups_named=(ok((F.col("assignment_group") != "") & (F.col("category") != "")), ROWS), texts_normalised=(ok((F.col("description_clean") != "") & (F.lower("description_clean") == F.col("description_clean"))), ROWS),
+        df, every_ticket_once=(F.count_distinct("number") == n_rows(), n_rows()), times_ordered=(ok(ordered), n_rows()), ordinals_in_range=(ok(F.col("priority").between(1, 5) & F.col("urgency").between(1, 3)), n_rows()),
+        groups_named=(ok((F.col("assignment_group") != "") & (F.col("category") != "")), n_rows()), texts_normalised=(ok((F.col("description_clean") != "") & (F.lower("description_clean") == F.col("description_clean"))), n_rows()),
         context_joined=(F.lit("category_side" in df.columns), F.count("owner")), train=size("train"), val=size("val"), test=size("test"))
 
 
