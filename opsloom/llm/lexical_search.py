@@ -40,7 +40,7 @@ Q, S = {}, {}
 K = 10
 SCALE, HALF = 1_000_000_000, 8
 LEAST, SLOPE = 10, 90  # a normaliser is 10 plus 90 times the length's ratio to the mean
-SEGMENT_DOCS, SEGMENT_BYTES = 8192, 4_000_000
+SEGMENT_DOCS, SEGMENT_BYTES = 8192, 2_000_000
 BLOCK_TERMS = 200_000
 ROWS = 256
 # A-Z to a-z; what is no letter, digit or part of a longer character to a blank.
