@@ -1,53 +1,113 @@
-"""Exact Shapley attribution of tree ensembles, computed inside Spark tasks from a small node table.
+"""Exact path-dependent Shapley attribution of tree ensembles of any size.
 
-The node table is bounded by trees x 2^(depth+1) rows, whatever the size of the scored data.
+Every leaf is a game of its own over the features on its path, so the leaves of all trees form one stored table and are dealt
+out to groups of a bounded size. Rows are packed into blocks of bounded bytes; a block meets every group, and what the groups
+give a block is added up in two steps. No task and no driver holds the ensemble, and a deep tree is dealt out like many small.
 """
 
 from __future__ import annotations
 
-from math import factorial
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from opsloom.session import work_path
+from opsloom.operators.boosting import BoostedTrees, binned
+from opsloom.session import work_path, written
 
-MAX_NODES = 200_000
+GROUP_LEAVES = 1024
+BLOCK_BYTES = 1 << 20
+MERGE_WAYS = 32
 
+LEAF = "tree int, leaf int, only int, value array<double>, tests array<struct<feature:int,cut:array<double>,categories:int,goes_left:boolean,ratio:double>>"
 
-def tree_nodes(model, spark) -> list[dict]:
-    """Paths of all leaves of a fitted ensemble: per leaf its feature tests, cover ratios and value."""
+
+def tree_leaves(model, spark: SparkSession) -> DataFrame:
+    """Leaves of a fitted Spark ML ensemble: the tests on the way with the share of training rows that passed each, and the value."""
     path = work_path(spark, "model")
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
     if "treeID" not in data.columns:
         data = data.withColumn("treeID", F.lit(0))
     node = data.select("treeID", "nodeData.*") if "nodeData" in data.columns else data
-    rows = node.limit(MAX_NODES + 1).collect()
-    if len(rows) > MAX_NODES:
-        raise ValueError("ensemble too large for attribution")
-    trees: dict[int, dict[int, object]] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    weights = getattr(model, "treeWeights", None) or [1.0] * len(trees)
     forest = hasattr(model, "numClasses")
-    leaves = []
-    for t, nodes in trees.items():
-        stack = [(nodes[0], [])]
+    weights = [float(w) for w in getattr(model, "treeWeights", None) or [1.0]]
+    count = model.getNumTrees if hasattr(model, "getNumTrees") else 1
+
+    def paths(key, pdf):
+        nodes = {int(r.id): r for r in pdf.itertuples(index=False)}
+        out, stack = [], [(nodes[0], [])]
         while stack:
             n, tests = stack.pop()
-            if n["leftChild"] < 0:
-                stats = np.asarray(n["impurityStats"], float)
-                value = stats / stats.sum() / len(trees) if forest else np.asarray([n["prediction"]]) * weights[t]
-                leaves.append({"tests": tests, "value": value})
+            if n.left < 0:
+                stats = np.asarray(n.stats, float)
+                value = stats / stats.sum() / count if forest else np.asarray([n.prediction]) * weights[key[0] if len(weights) > 1 else 0]
+                out.append((int(key[0]), int(n.id), -1, value.tolist(), tests))
                 continue
-            s = n["split"]
-            for child, left in ((nodes[n["leftChild"]], True), (nodes[n["rightChild"]], False)):
-                ratio = child["rawCount"] / n["rawCount"]
-                stack.append((child, tests + [(s["featureIndex"], list(s["leftCategoriesOrThreshold"]), s["numCategories"], left, ratio)]))
-    return leaves
+            for child, left in ((nodes[int(n.left)], True), (nodes[int(n.right)], False)):
+                test = {"feature": int(n.feature), "cut": list(n.cut), "categories": int(n.categories), "goes_left": left, "ratio": float(child.rows / n.rows)}
+                stack.append((child, tests + [test]))
+        return pd.DataFrame(out, columns=["tree", "leaf", "only", "value", "tests"])
+
+    flat = node.select(
+        "treeID", "id", "prediction", F.col("impurityStats").alias("stats"), F.col("rawCount").cast("double").alias("rows"), F.col("leftChild").alias("left"),
+        F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"), F.col("split.leftCategoriesOrThreshold").alias("cut"), F.col("split.numCategories").alias("categories"))
+    return written(flat.groupBy("treeID").applyInPandas(paths, LEAF), "leaves")
+
+
+def node_covers(model: BoostedTrees, rows: DataFrame, column: str = "features") -> np.ndarray:
+    """Rows that reach every node: rounds x classes x nodes; tasks count, counts are added up in two steps."""
+    shape = (len(model.rounds), model.num_classes, len(model.rounds[0][0].feature) if model.rounds else 1)
+
+    def count(batches):
+        total = np.zeros(shape, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = binned(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), model.edges)
+            for r, trees in enumerate(model.rounds):
+                for k, tree in enumerate(trees):
+                    at = np.bincount(tree.nodes(bins), minlength=shape[2])
+                    for node in range(shape[2] - 1, 0, -1):
+                        at[(node - 1) // 2] += at[node]
+                    total[r, k] += at
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGE_WAYS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["lane", "part"])
+
+    def add(pdf):
+        return pd.DataFrame({"lane": [0], "part": [sum(np.frombuffer(p, np.int64) for p in pdf["part"]).tobytes()]})
+
+    kind = "lane int, part binary"
+    added = rows.select(vector_to_array(column).alias("x")).mapInArrow(count, kind).groupBy("lane").applyInPandas(add, kind).groupBy("lane").applyInPandas(add, kind)
+    found = added.first()
+    return np.frombuffer(found["part"], np.int64).reshape(shape) if found else np.zeros(shape, np.int64)
+
+
+def boosted_leaves(model: BoostedTrees, rows: DataFrame, column: str = "features") -> DataFrame:
+    """Leaves of boosted trees, with shares of ``rows``, the training rows; a tree speaks for its own class only.
+
+    What is attributed is the margin before the softmax. A branch without any of the rows has a share of one in a million.
+    """
+    covers = node_covers(model, rows, column)
+    out = [(-1, 0, -1, model.start.tolist(), [])]
+    for r, trees in enumerate(model.rounds):
+        for k, tree in enumerate(trees):
+            stack = [(0, [])]
+            while stack:
+                node, tests = stack.pop()
+                f = int(tree.feature[node])
+                if f < 0:
+                    out.append((r * model.num_classes + k, node, k, [float(tree.value[node])], tests))
+                    continue
+                bounds, cut = model.edges[f], int(tree.cut[node])
+                bound = float(bounds[cut]) if cut < len(bounds) else float("inf")
+                for child, left in ((2 * node + 1, True), (2 * node + 2, False)):
+                    ratio = max(covers[r, k, child] / max(covers[r, k, node], 1), 1e-6)
+                    stack.append((child, tests + [(f, [bound], -1, left, float(ratio))]))
+    return written(rows.sparkSession.createDataFrame(out, LEAF), "leaves")
 
 
 def _follows(x: np.ndarray, cut: list[float], categories: int, left: bool) -> np.ndarray:
@@ -55,53 +115,113 @@ def _follows(x: np.ndarray, cut: list[float], categories: int, left: bool) -> np
     return goes_left if left else ~goes_left
 
 
+@cache
+def _points(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss points and weights between 0 and 1."""
+    t, w = np.polynomial.legendre.leggauss(n)
+    return (t + 1) / 2, w / 2
+
+
 def shapley(leaves: list[dict], x: np.ndarray, output: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Contribution of every column and the base value, for one output per row.
 
-    A leaf is a game over the features on its path: a present feature passes the rows that follow its tests,
-    an absent one passes the share of training rows that did.
+    A leaf is a game over the features on its path: a present feature passes the rows that follow its tests, an absent one
+    passes the share of training rows that did. The weight of a coalition of s among m - 1 others is the integral of
+    t^s (1 - t)^(m - 1 - s), so a contribution is the integral of the product of the others' terms share (1 - t) + passed t:
+    a polynomial of degree m - 1, which m / 2 Gauss points integrate exactly. All terms are positive, so the product of the
+    others is the whole product divided by the own term.
     """
     phi, base = np.zeros_like(x, dtype=float), np.zeros(len(x))
     for leaf in leaves:
+        only = leaf.get("only", -1)
+        at = np.flatnonzero(output == only) if only >= 0 else np.arange(len(x))
+        if not len(at):
+            continue
+        value = np.asarray(leaf["value"], float)[np.zeros(len(at), int) if only >= 0 else output[at]]
         passed: dict[int, np.ndarray] = {}
-        share: dict[int, float] = {}
+        shares: dict[int, float] = {}
         for f, cut, categories, left, ratio in leaf["tests"]:
-            passed[f] = passed.get(f, np.ones(len(x))) * _follows(x[:, f], cut, categories, left)
-            share[f] = share.get(f, 1.0) * ratio
-        value = leaf["value"][output]
-        base += value * np.prod(list(share.values()))
-        m = len(passed)
-        weight = [factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)]
-        for j in passed:
-            sums = [np.ones(len(x))]
-            for f in passed:
-                if f == j:
-                    continue
-                grown = [c * share[f] for c in sums] + [np.zeros(len(x))]
-                for s, c in enumerate(sums):
-                    grown[s + 1] = grown[s + 1] + c * passed[f]
-                sums = grown
-            phi[:, j] += value * (passed[j] - share[j]) * sum(w * c for w, c in zip(weight, sums))
+            follows = _follows(x[at, f], cut, categories, left)
+            passed[f] = passed[f] & follows if f in passed else follows
+            shares[f] = shares.get(f, 1.0) * ratio
+        share = np.array(list(shares.values()))
+        base[at] += value * share.prod()
+        if not passed:
+            continue
+        t, w = _points((len(passed) + 1) // 2)
+        present = np.stack(list(passed.values())).astype(float)
+        term = (share[:, None] * (1 - t))[:, None, :] + present[:, :, None] * t
+        others = (term.prod(axis=0) / term) @ w
+        phi[at[:, None], list(passed)] += (value * (present - share[:, None]) * others).T
     return phi, base
 
 
-def contributions(scored: DataFrame, leaves: list[dict], key: str = "number", output: str | None = None) -> DataFrame:
-    """``(key, base, contribution[])`` per scored row; for a classifier the output is the predicted class."""
-
-    def run(frames):
-        for pdf in frames:
-            if not len(pdf):
+def _blocks(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """Rows (key, x, out, target) packed into blocks of bounded bytes, stored so that a block keeps its number."""
+    def pack(batches):
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["x"].to_numpy())
-            out = pdf["out"].to_numpy().astype(int)
-            phi, base = shapley(leaves, x, out)
-            yield pd.DataFrame({key: pdf[key], "base": base, "contribution": list(phi), "prediction": pdf["target"]})
+            width = len(batch.column("x")[0])
+            size = max(1, BLOCK_BYTES // (8 * (width + 1)))
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False)
+                out = part.column("out").to_numpy(zero_copy_only=False).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([(TaskContext.get().partitionId() << 33) + n], pa.int64()), pa.array([part.num_rows], pa.int32()), pa.array([part.column(key).to_pylist()], pa.list_(part.column(key).type)),
+                    pa.array([x.tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary()), pa.array([part.column("target").to_pylist()], pa.list_(pa.float64()))], ["block", "n", "keys", "x", "out", "target"])
+                n += 1
+
+    return written(rows.mapInArrow(pack, f"block bigint, n int, keys array<{kind}>, x binary, out binary, target array<double>"), "attribution-blocks")
+
 
+def contributions(scored: DataFrame, leaves: DataFrame, key: str = "number", output: str | None = None, target: Column | None = None, group_leaves: int = GROUP_LEAVES) -> DataFrame:
+    """``(key, base, contribution[], prediction)`` per scored row; for a classifier the output is the predicted class.
+
+    ``target`` is the value the contributions explain: the probability of the output by default, the prediction of a regression.
+    Rows without features are left out; a null or repeated key is kept as it is.
+    """
     out = F.col(output).cast("int") if output else F.lit(0)
-    target = F.element_at(vector_to_array("probability"), out + 1) if output else F.col("prediction")
-    rows = scored.select(key, vector_to_array("features").alias("x"), out.alias("out"), target.alias("target"))
+    if target is None:
+        target = F.element_at(vector_to_array("probability"), out + 1) if output else F.col("prediction")
     kind = dict(scored.dtypes)[key]
-    return rows.mapInPandas(run, f"{key} {kind}, base double, contribution array<double>, prediction double")
+    rows = scored.filter(F.col("features").isNotNull()).select(key, vector_to_array("features").alias("x"), out.alias("out"), target.alias("target"))
+    blocks = _blocks(rows, key, kind)
+    groups = max(1, -(-leaves.count() // group_leaves))
+    group = F.pmod(F.xxhash64("tree", "leaf"), F.lit(groups)).cast("int").alias("g")
+    packed = leaves.select(group, F.struct("only", "value", "tests").alias("leaf")).groupBy("g").agg(F.collect_list("leaf").alias("leaves"))
+    pairs = blocks.select("block", "n", "x", "out", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")).join(packed, "g")
+
+    def part(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                games = [leaf | {"tests": [tuple(t.values()) for t in leaf["tests"]]} for leaf in row["leaves"]]
+                x = np.frombuffer(row["x"]).reshape(row["n"], -1)
+                phi, base = shapley(games, x, np.frombuffer(row["out"], np.int32))
+                whole = np.column_stack([base, phi]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["g"] % MERGE_WAYS], pa.int32()), pa.array([whole], pa.binary())], ["block", "lane", "part"])
+
+    def add(pdf):
+        total = sum(np.frombuffer(p) for p in pdf["part"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "lane": [0], "part": [total.tobytes()]})
+
+    shape = "block bigint, lane int, part binary"
+    parts = pairs.select("block", "g", "n", "x", "out", "leaves").mapInArrow(part, shape)
+    added = parts.groupBy("block", "lane").applyInPandas(add, shape).groupBy("block").applyInPandas(add, shape)
+
+    def unpack(batches):
+        for batch in batches:
+            for i, row in enumerate(batch.select(["n", "part"]).to_pylist()):
+                whole = np.frombuffer(row["part"]).reshape(row["n"], -1)
+                phi = np.ascontiguousarray(whole[:, 1:])
+                offsets = np.arange(row["n"] + 1, dtype=np.int32) * phi.shape[1]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("keys")[i].values, pa.array(whole[:, 0]), pa.ListArray.from_arrays(offsets, phi.ravel()), batch.column("target")[i].values], [key, "base", "contribution", "prediction"])
+
+    rejoined = blocks.select("block", "n", "keys", "target").join(added.select("block", "part"), "block")
+    return rejoined.mapInArrow(unpack, f"{key} {kind}, base double, contribution array<double>, prediction double")
 
 
 def row_attribution(contrib: DataFrame, names: list[str], key: str = "number", top: int = 5) -> DataFrame:

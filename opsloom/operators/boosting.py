@@ -109,9 +109,23 @@ class BoostedTrees:
         """Share of the total gain of every slot."""
         return self.gains / self.gains.sum() if self.gains.sum() > 0 else self.gains
 
-    def probabilities(self, values: np.ndarray) -> np.ndarray:
+    def margins(self, values: np.ndarray) -> np.ndarray:
+        """Scores per class before the softmax."""
         bins = binned(values, self.edges)
-        return softmax(add_rounds(np.tile(self.start, (len(bins), 1)), bins, self.rounds))
+        return add_rounds(np.tile(self.start, (len(bins), 1)), bins, self.rounds)
+
+    def probabilities(self, values: np.ndarray) -> np.ndarray:
+        return softmax(self.margins(values))
+
+    def with_margins(self, df: DataFrame, column: str = "features") -> DataFrame:
+        """``margins``: the scores per class of every row."""
+        model = self
+
+        @F.pandas_udf("array<double>")
+        def score(x: pd.Series) -> pd.Series:
+            return pd.Series(list(model.margins(np.stack(x.to_list()))) if len(x) else [])
+
+        return df.withColumn("margins", score(vector_to_array(column)))
 
     def transform(self, df: DataFrame, column: str = "features") -> DataFrame:
         model = self

@@ -7,10 +7,12 @@ the number of rows that each one must cover computed from the given tables.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opsloom.operators import artefacts as K, attribution as A, embed as E, fusion as U, models as M, search as R, vectors as V
+from opsloom.operators.boosting import fit_boosted
 from opsloom.operators.metrics import classification_metrics
 from opsloom.operators.split import random_split
 from opsloom.plans.base import over_repaired, repaired
@@ -218,8 +220,7 @@ def forest(spark, sf) -> M.Router:
 def _contrib(spark, sf):
     model = forest(spark, sf)
     scored = model.score(data(spark, sf))
-    leaves = A.tree_nodes(model.model, spark)
-    return A.contributions(scored, leaves, output="prediction"), M.slot_names(scored)
+    return A.contributions(scored, A.tree_leaves(model.model, spark), output="prediction"), M.slot_names(scored)
 
 
 def _attribution_checks(spark, sf):
@@ -234,6 +235,32 @@ Q["global_attribution"] = lambda spark, sf: A.global_attribution(*_contrib(spark
 Q["attribution_checks"] = _attribution_checks
 S["attribution_checks"] = expected(TICKETS, adds_up="count(*)", every_slot="count(*)")
 
+ENSEMBLE_ROUNDS, ENSEMBLE_DEPTH = 40, 2
+
+
+def _train_ensemble(spark, sf, path):
+    """Boosted trees, all rounds kept: a tree per round and group."""
+    features = router(spark, sf).features
+    train = features.transform(data(spark, sf).filter("split = 'train' AND assignment_group IS NOT NULL"))
+    labels = StringIndexer(inputCol="assignment_group", outputCol="label", stringOrderType="alphabetAsc").fit(train)
+    rows = labels.transform(train).select("features", "label", F.lit(False).alias("is_val"))
+    K.save_router(M.Router(features, labels, fit_boosted(rows, len(labels.labels), ENSEMBLE_ROUNDS, ENSEMBLE_DEPTH)), spark, path)
+
+
+def _ensemble_checks(spark, sf):
+    """Base plus contributions is the margin of the predicted group for every ticket, whatever the number of trees; as many trees as rounds times groups."""
+    model = K.load_router(spark, stored(spark, sf, "ensemble", lambda path: _train_ensemble(spark, sf, path)))
+    scored = model.model.with_margins(model.score(data(spark, sf)))
+    leaves = A.boosted_leaves(model.model, scored.filter("split = 'train'"))
+    rows = A.contributions(scored, leaves, output="prediction", target=F.array_max("margins"))
+    total = F.col("base") + F.aggregate("contribution", F.lit(0.0), lambda a, x: a + x)
+    trees = leaves.filter("tree >= 0").agg(F.count_distinct("tree").alias("n")).first()["n"]
+    return checks(rows, adds_up=(F.every(F.abs(total - F.col("prediction")) < 1e-6), n_rows()), every_ticket_once=(F.count_distinct("number") == n_rows(), n_rows()), trees=(F.lit(True), F.max(F.lit(trees))))
+
+
+Q["ensemble_attribution_checks"] = _ensemble_checks
+S["ensemble_attribution_checks"] = expected(TICKETS, adds_up="count(*)", every_ticket_once="count(*)", trees=f"{ENSEMBLE_ROUNDS} * count(DISTINCT assignment_group) FILTER (split = 'train')")
+
 
 def _embed(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("number"), F.col("text").alias("semantic_text"))

@@ -1,3 +1,6 @@
+from itertools import combinations
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +50,7 @@ def test_importance_names(router, tickets, spark):
 def test_attribution_adds_up(router, tickets, spark):
     model = router[0]
     scored = model.score(tickets)
-    contrib = A.contributions(scored, A.tree_nodes(model.model, spark), output="prediction")
+    contrib = A.contributions(scored, A.tree_leaves(model.model, spark), output="prediction")
     bad = contrib.filter(F.abs(F.col("base") + F.aggregate("contribution", F.lit(0.0), lambda a, x: a + x) - F.col("prediction")) > 1e-6)
     assert contrib.count() == 600 and bad.count() == 0
     names = M.slot_names(scored)
@@ -55,6 +58,48 @@ def test_attribution_adds_up(router, tickets, spark):
     assert A.row_attribution(contrib, names).count() == 3000
 
 
+def test_attribution_in_many_groups_and_of_boosted_trees(tickets, spark):
+    router, _ = M.train_router(tickets, tree_counts=(), rounds=4)
+    scored = router.model.with_margins(router.score(tickets))
+    leaves = A.boosted_leaves(router.model, scored.filter("split = 'train'"))
+    found = [A.contributions(scored, leaves, output="prediction", target=F.array_max("margins"), group_leaves=n) for n in (3, 1000)]
+    for contrib in found:
+        bad = contrib.filter(F.abs(F.col("base") + F.aggregate("contribution", F.lit(0.0), lambda a, x: a + x) - F.col("prediction")) > 1e-9)
+        assert contrib.count() == 600 and bad.count() == 0
+    by = [{r["number"]: r["contribution"] for r in c.collect()} for c in found]
+    assert all(by[0][n] == pytest.approx(by[1][n], abs=1e-9) for n in by[0])
+
+
+def test_attribution_odd_rows(router, tickets, spark):
+    """Repeated rows and null keys stay, a row without features goes, an empty table gives an empty result."""
+    scored = router[0].score(tickets).withColumn("extra", F.lit("x")).withColumn("base", F.lit(1))
+    leaves = A.tree_leaves(router[0].model, spark)
+    odd = scored.withColumn("number", F.when(F.col("number") != "INC1", F.col("number"))).unionByName(scored)
+    assert A.contributions(odd, leaves, output="prediction").count() == 1200
+    assert A.contributions(odd.filter("false"), leaves, output="prediction").count() == 0
+    gone = scored.withColumn("features", F.when(F.col("number") != "INC1", F.col("features")))
+    assert A.contributions(gone, leaves, output="prediction").count() == 599
+
+
+def test_shapley_of_long_paths_matches_subsets():
+    """All coalitions of seven features, two of them tested twice."""
+    rng = np.random.default_rng(5)
+    tests = [(f, [0.5], -1, bool(rng.integers(2)), float(rng.uniform(0.1, 0.9))) for f in (0, 1, 2, 3, 4, 5, 6, 2, 5)]
+    x = rng.uniform(size=(1, 7))
+    phi, base = A.shapley([{"tests": tests, "value": np.array([3.0])}], x, np.array([0]))
+
+    def game(present):
+        return 3.0 * np.prod([float((x[0, f] <= 0.5) == left) if f in present else ratio for f, _, _, left, ratio in tests])
+
+    want = np.zeros(7)
+    for j in range(7):
+        rest = [f for f in range(7) if f != j]
+        for size in range(7):
+            for s in combinations(rest, size):
+                want[j] += factorial(size) * factorial(6 - size) / factorial(7) * (game({*s, j}) - game(set(s)))
+    assert base[0] == pytest.approx(game(set())) and phi[0] == pytest.approx(want, abs=1e-12)
+
+
 def test_shapley_matches_subset_definition():
     leaves = [
         {"tests": [(0, [0.5], -1, True, 0.6), (1, [0.5], -1, True, 0.5)], "value": np.array([1.0])},
