@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from opsloom.functions.lookup import lookup_join
 from opsloom.functions.ordinals import trim_ws
@@ -91,6 +91,21 @@ def similar_texts(model: Embedder, index: DataFrame, asked: DataFrame, k: int =
     return knn(model.transform(resolved), index, k, id_col="number")
 
 
+def close_notes(matches: DataFrame, notes: DataFrame, k: int = 3) -> DataFrame:
+    """Close notes of similar tickets, best first: ``(query_id, rank, close_note, resolution_code, best_score, n_tickets)``.
+
+    ``matches`` has (query_id, match_id, score), ``notes`` at most one row (match_id, close_note, resolution_code) a ticket. Blank notes are left
+    out; a note with one code that several matches share, after trimming, is one row with the best score. Equal scores: more
+    tickets first, then the smaller note and code. A query whose matches have no note has no row.
+    """
+    said = notes.select("match_id", trim_ws(F.col("close_note")).alias("close_note"), "resolution_code").filter(F.length("close_note") > 0)
+    by = matches.select("query_id", "match_id", "score").join(said, "match_id").groupBy("query_id", "close_note", "resolution_code").agg(
+        F.max("score").alias("best_score"), F.count(F.lit(1)).alias("n_tickets"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("best_score"), F.desc("n_tickets"), "close_note", F.asc_nulls_last("resolution_code"))
+    return by.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "close_note", "resolution_code", "best_score", "n_tickets")
+
+
 def exclude_cancelled(df: DataFrame, state: int = 8) -> DataFrame:
     """Drop cancelled tickets before training; a table without states is left alone."""
     return df.filter(F.coalesce(F.col("state").try_cast("int") != state, F.lit(True))) if "state" in df.columns else df

@@ -240,8 +240,9 @@ ENSEMBLE_ROUNDS, ENSEMBLE_DEPTH = 40, 2
 
 def _train_ensemble(spark, sf, path):
     """Boosted trees, all rounds kept: a tree per round and group."""
-    features = router(spark, sf).features
-    train = features.transform(data(spark, sf).filter("split = 'train' AND assignment_group IS NOT NULL"))
+    known = data(spark, sf).filter("split = 'train' AND assignment_group IS NOT NULL")
+    features = M.fit_features(known)
+    train = features.transform(known)
     labels = StringIndexer(inputCol="assignment_group", outputCol="label", stringOrderType="alphabetAsc").fit(train)
     rows = labels.transform(train).select("features", "label", F.lit(False).alias("is_val"))
     K.save_router(M.Router(features, labels, fit_boosted(rows, len(labels.labels), ENSEMBLE_ROUNDS, ENSEMBLE_DEPTH)), spark, path)

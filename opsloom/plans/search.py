@@ -199,3 +199,25 @@ def _store(spark, sf):
 
 Q["embedding_store"] = _store
 S["embedding_store"] = "SELECT vec_id, label, i - 1 AS i, round(embedding[i]::double, 6) AS x FROM embeddings, range(1, 65) r(i)"
+
+
+NOTE_MATCHES = 20
+
+
+def _notes(spark, sf):
+    """The last turn after the opening one is the ticket's close note, its order status the resolution code."""
+    last = table(spark, sf, "conversations").filter(F.col("turn") > 0).groupBy("conv_id").agg(F.max_by("text", "turn").alias("close_note"))
+    status = table(spark, sf, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_orderstatus").alias("resolution_code"))
+    notes = last.withColumnRenamed("conv_id", "match_id").join(status, "match_id", "left")
+    e = emb(spark, sf)
+    return R.close_notes(V.knn(e, e, NOTE_MATCHES, exclude_self=True), notes).withColumn("close_note", F.md5("close_note"))
+
+
+Q["similar_close_notes"] = _notes
+S["similar_close_notes"] = rf"""
+WITH m AS ({knn_sql(NOTE_MATCHES, True)}),
+l AS (SELECT conv_id, regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS note, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE turn > 0),
+g AS (SELECT query_id, note, o_orderstatus AS code, max(score) AS best, count(*) AS n FROM m JOIN l ON l.conv_id = m.match_id AND l.rn = 1 AND l.note <> ''
+  LEFT JOIN orders ON o_orderkey = m.match_id GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, n DESC, note, code NULLS LAST) AS rank FROM g)
+SELECT query_id, rank, md5(note) AS close_note, code AS resolution_code, best AS best_score, n AS n_tickets FROM r WHERE rank <= 3"""

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import fusion as U, metrics as M, tfidf as TT, vectors as V
+from opsloom.operators import fusion as U, metrics as M, search as R, tfidf as TT, vectors as V
 
 MATCH = "query_id bigint, rank bigint, number string, similarity_score double, assignment_group string, resolution_time_hours double, reassignment_count int"
 PRED = "query_id bigint, model_group string, model_confidence double, model_hours double"
@@ -166,3 +166,11 @@ def test_records_are_queries(spark):
     assert {k: v[0] for k, v in got.items()} == {"a": "record", "b": "number", "c": "text", "d": "text", "e": "text", "f": "record"}
     assert "ATM jam" in got["a"][1] and "Category: HW" in got["a"][1] and "ci-query-node" in got["a"][1]
     assert got["b"][1] == "stored text" and got["d"][1] == '{"other": 2}' and "Priority: 2" in got["f"][1]
+
+
+def test_close_notes_merge_rank_and_leave_blanks_out(rows):
+    matches = rows([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.8, 3), (1, 13, 0.7, 4), (1, 14, 0.6, 5), (2, 13, 0.5, 1), (3, 99, 0.4, 1)], "query_id int, match_id int, score double, rank int")
+    notes = rows([(10, "  ", "F"), (11, "restart", "F"), (12, "clean disk", "F"), (13, " restart\n", "F"), (14, "restart", None), (15, None, "O")], "match_id int, close_note string, resolution_code string")
+    found = [tuple(r) for r in R.close_notes(matches, notes).orderBy("query_id", "rank").collect()]
+    assert found == [(1, 1, "restart", "F", 0.8, 2), (1, 2, "clean disk", "F", 0.8, 1), (1, 3, "restart", None, 0.6, 1), (2, 1, "restart", "F", 0.5, 1)]
+    assert R.close_notes(matches.filter("false"), notes).count() == 0
