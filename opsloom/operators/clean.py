@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from opsloom.functions.order_stats import quantiles, ranked_values
-from opsloom.functions.ordinals import ORDINAL_RULES, apply_rule, is_blank, to_bool, trim_ws
+from opsloom.functions.ordinals import ORDINAL_RULES, apply_rule, is_blank, parse_ordinal, to_bool, trim_ws
 from opsloom.schema import POLICY, REQUIRED_COLUMNS, SPARK_TYPES
 from opsloom.session import materialize
 
@@ -210,7 +210,8 @@ def clean(df: DataFrame, strict: bool = False, allow_custom: bool = False) -> Da
 def cleaning_ledger(df: DataFrame, fill: dict[str, str]) -> DataFrame:
     """Rows touched per step, from change flags in one aggregate over the table.
 
-    Duplicate rows and winsorised rows need a grouped count and a quantile; both are pre-aggregated.
+    Levels outside their bounds are counted after parsing. Type enforcement and trimming go over whole columns, so they count all
+    rows if there is a column to change. Duplicate rows and winsorised rows need a grouped count and a quantile; both are pre-aggregated.
     """
     late_resolve = _before("resolved_at", "opened_at")
     resolved = F.when(late_resolve, F.col("opened_at") + F.expr(RESOLVE_OFFSET)).otherwise(F.col("resolved_at"))
@@ -222,6 +223,17 @@ def cleaning_ledger(df: DataFrame, fill: dict[str, str]) -> DataFrame:
         ("Timestamp Progression Correction", "resolved_at"): late_resolve,
         ("Timestamp Progression Correction", "closed_at"): F.coalesce(F.col("closed_at") < resolved, F.lit(False)),
     }
+    for c, (words, default, low, high) in ORDINAL_RULES.items():
+        raw = c if c in df.columns else f"{c}_raw"
+        if raw in df.columns:
+            level = parse_ordinal(F.col(raw), words, default, isinstance(df.schema[raw].dataType, NumericType))
+            flags["Business Rule Enforcement", c] = (level < low) | (level > high)
+    typed = coerce_types(df).schema
+    retyped = [f.name for f in df.schema.fields if f.name not in ORDINAL_RULES and typed[f.name].dataType != f.dataType]
+    if retyped:
+        flags["Data Type Enforcement", ", ".join(retyped)] = F.lit(True)
+    if any(isinstance(f.dataType, StringType) for f in df.schema.fields):
+        flags["String Normalization", "ALL_STRINGS"] = F.lit(True)
     steps = list(flags)
     counted = df.agg(*[F.count_if(flags[s]).alias(f"c{i}") for i, s in enumerate(steps)])
     rows = F.inline(

@@ -30,11 +30,13 @@ def event_tickets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("number"), F.col("ts").alias("opened_at"), "event_type", "value")
 
 
-PRIORITY_SQL = """least(greatest(coalesce(
+PRIORITY_LEVEL_SQL = """coalesce(
   CASE WHEN contains(lower(trim(priority_raw)), 'planning') THEN 5 WHEN contains(lower(trim(priority_raw)), 'low') THEN 4
        WHEN contains(lower(trim(priority_raw)), 'medium') THEN 3 WHEN contains(lower(trim(priority_raw)), 'moderate') THEN 3
        WHEN contains(lower(trim(priority_raw)), 'high') THEN 2 WHEN contains(lower(trim(priority_raw)), 'critical') THEN 1 END,
-  try_cast(nullif(regexp_extract(lower(trim(priority_raw)), '^(\\d+)', 1), '') AS int), 3), 1), 5)"""
+  try_cast(nullif(regexp_extract(lower(trim(priority_raw)), '^(\\d+)', 1), '') AS int), 3)"""
+
+PRIORITY_SQL = f"least(greatest({PRIORITY_LEVEL_SQL}, 1), 5)"
 
 REPAIRED_CTE = TICKETS_CTE + f""",
 rep1 AS (SELECT * REPLACE (CASE WHEN resolved_at < opened_at THEN opened_at + INTERVAL 4 HOURS ELSE resolved_at END AS resolved_at),

@@ -8,7 +8,7 @@ from opsloom.functions.lookup import lookup_join
 from opsloom.functions.ordinals import ORDINAL_RULES, apply_rule, parse_ordinal
 from opsloom.operators import clean as C
 from opsloom.operators.features import enrich, log_target, from_log_target, select_with_defaults
-from opsloom.plans.base import PRIORITY_SQL, over_repaired, over_tickets, repaired, stamp, with_priority
+from opsloom.plans.base import PRIORITY_LEVEL_SQL, PRIORITY_SQL, over_repaired, over_tickets, repaired, stamp, with_priority
 from opsloom.sources import files
 from opsloom.sources.tables import table, tickets
 
@@ -220,6 +220,10 @@ UNION ALL SELECT 'Domain Catalog Validation', 'assignment_group', count(*) FILTE
 UNION ALL SELECT 'Timestamp Progression Correction', 'resolved_at', count(*) FILTER (resolved_at < opened_at) FROM tickets
 UNION ALL SELECT 'Timestamp Progression Correction', 'closed_at', count(*) FILTER (closed_at <
    CASE WHEN resolved_at < opened_at THEN opened_at + INTERVAL 4 HOURS ELSE resolved_at END) FROM tickets
+UNION ALL SELECT 'Business Rule Enforcement', 'priority', count(*) FILTER (""" + PRIORITY_LEVEL_SQL + """ NOT BETWEEN 1 AND 5) FROM tickets
+UNION ALL SELECT 'Business Rule Enforcement', 'business_impact', count(*) FILTER (coalesce(business_impact, 2) NOT BETWEEN 1 AND 3) FROM tickets
+UNION ALL SELECT 'Business Rule Enforcement', 'urgency', count(*) FILTER (coalesce(urgency, 2) NOT BETWEEN 1 AND 3) FROM tickets
+UNION ALL SELECT 'String Normalization', 'ALL_STRINGS', count(*) FROM tickets
 UNION ALL SELECT 'Duplicate Removal', 'number', count(*) - count(DISTINCT number) FROM tickets
 UNION ALL SELECT 'Outlier Winsorization', 'reassignment_count', count(*) FILTER (reassignment_count >
    (SELECT CASE WHEN q BETWEEN 5 AND 15 THEN q ELSE 15 END FROM (SELECT quantile_cont(reassignment_count, 0.99) AS q FROM tickets))) FROM tickets)

@@ -111,3 +111,13 @@ def test_json_array_and_object(spark, tmp_path):
     schema = StructType([StructField("number", StringType())])
     got = {r["number"] for n in ("a", "b") for r in files.read_json(spark, str(tmp_path / f"{n}.json"), schema, multi_line=True).collect()}
     assert got == {"A", "B", "C"}
+
+
+def test_ledger_counts_clips_types_and_trims(rows):
+    df = rows([("INC1", "9 - other", "0", "5", "2026-01-01 10:00:00", "g "), ("INC2", "2 - High", None, "low", "bad", None)],
+              "number string, priority string, business_impact string, urgency string, opened_at string, assignment_group string")
+    df = df.withColumns({"category": F.lit("a"), "resolved_at": F.lit(None).cast("timestamp_ntz"), "closed_at": F.lit(None).cast("timestamp_ntz"), "opened_at": F.expr("try_cast(opened_at AS timestamp_ntz)")})
+    found = {(r["step"], r["affected_column"]): r["records_modified"] for r in C.cleaning_ledger(df.withColumn("made_sla", F.lit("1")), ()).collect()}
+    assert found["Business Rule Enforcement", "priority"] == 1 and found["Business Rule Enforcement", "business_impact"] == 1
+    assert found["Business Rule Enforcement", "urgency"] == 1
+    assert found["String Normalization", "ALL_STRINGS"] == 2 and found["Data Type Enforcement", "made_sla"] == 2
