@@ -174,3 +174,19 @@ def test_close_notes_merge_rank_and_leave_blanks_out(rows):
     found = [tuple(r) for r in R.close_notes(matches, notes).orderBy("query_id", "rank").collect()]
     assert found == [(1, 1, "restart", "F", 0.8, 2), (1, 2, "clean disk", "F", 0.8, 1), (1, 3, "restart", None, 0.6, 1), (2, 1, "restart", "F", 0.5, 1)]
     assert R.close_notes(matches.filter("false"), notes).count() == 0
+
+
+def test_a_block_pair_is_scored_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    block = [{"id": i, "vec": v} for i, v in enumerate(rng.normal(size=(V.BLOCK_ROWS, 16)).astype(np.float32).tolist())]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("vec", pa.list_(pa.float32()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([block], kind)] * 2, ["q_rows", "c_rows"])
+    tracemalloc.start()
+    found = sum(out.num_rows for out in V._top_k("ip", 10, False)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 10 * V.BLOCK_ROWS and peak < 64 << 20
