@@ -61,6 +61,19 @@ def test_equals_the_same_boosting_on_arrays(spark):
     assert model.losses[-1] < 0.6 * model.losses[0] and model.shares()[:2].sum() > 0.8
 
 
+def test_equal_rows_are_counted_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, size=(3000, 3)).astype(float)  # 27 patterns
+    y, val = rng.integers(0, 3, 3000), np.arange(3000) % 5 == 0
+    rows = frame(spark, x, y, val)
+    stored = B.blocks(rows, B.bin_edges(rows)).collect()
+    assert sum(r["n"] for r in stored) == 27
+    assert sum(np.frombuffer(r["rows"], np.int64).sum() for r in stored) == 3000
+    model = B.fit_boosted(rows, 3, rounds=3, depth=2, patience=99)
+    _, losses = local_fit(x, y, val, 3, 4, 2, 0.3)
+    assert model.losses == pytest.approx(losses, rel=1e-6)
+
+
 def test_early_stop_unseen_labels_and_empty_classes(spark):
     rng = np.random.default_rng(6)
     x, y = rng.normal(size=(300, 3)), rng.integers(0, 2, 300)
