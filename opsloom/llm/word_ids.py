@@ -18,11 +18,12 @@ import regex
 
 from opsloom.llm.shingles import fresh
 
-SLICE_BYTES = 1_000_000
-CACHED_WORDS = 120_000  # of up to 40 characters: some 20 MB
+SLICE_BYTES = 3_000_000
+CACHED_WORDS = 250_000  # of up to 40 characters, and as many of before the last change: some 100 MB
 LONGEST_CACHED = 40
+PLAIN_ROWS = 1 << 14  # words that are cut in one go
 
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 # Characters that lower-case one to one and that composition leaves alone: words of these need no full normalisation.
 PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
 
@@ -48,35 +49,59 @@ class WordIds:
         self.model = self.tokenizer.model
         self.names = _byte_names()
         self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the words cached before the last change
+        self.pieces: dict[str, bytes] = {"\n": b""}
         self.passed = 0  # words met since the cache is full
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
-            ids = pack_ids([t.id for t in self.model.tokenize(named)])
-            if len(self.pieces) < CACHED_WORDS and len(piece) <= LONGEST_CACHED:
-                self.pieces[piece] = ids
-        return ids
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        known = self.pieces
+        out = list(map(known.get, pieces))
+        for i, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[i]
+                ids = known.get(piece)  # met earlier in this list
+                if ids is None:
+                    named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+                    ids = pack_ids([t.id for t in self.model.tokenize(named)])
+                    if len(known) < CACHED_WORDS and len(piece) <= LONGEST_CACHED:
+                        known[piece] = ids
+                out[i] = ids
+        return out
+
+    def _plain(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of plain words: all are cut in one go, a line break tells one from the next."""
+        pieces = PIECES.findall("\n".join(words).lower())
+        ids = self._pieces(pieces)
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        breaks = [i for i, piece in enumerate(pieces) if piece == "\n"]
+        bounds = [0, *ends[breaks].tolist(), int(ends[-1]) if ids else 0]
+        flat = b"".join(ids)
+        return (flat[a:b] for a, b in zip(bounds, bounds[1:]))
 
     def of(self, words: list[str]) -> list[bytes]:
         if self.passed > CACHED_WORDS:  # the words have changed since the cache was filled
-            self.words, self.pieces, self.passed = {"": b""}, {}, 0
-        known, room = self.words, max(0, CACHED_WORDS - len(self.words))
+            self.older, self.words, self.pieces, self.passed = self.words, {"": b""}, {"\n": b""}, 0
+        known, older, room = self.words, self.older, max(0, CACHED_WORDS - len(self.words))
         out = list(map(known.get, words))
-        odd = []
+        plain, odd = [], []
         for i, ids in enumerate(out):
             if ids is None:
                 word = words[i]
-                if PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word)):
-                    out[i] = b"".join(map(self._piece, PIECES.findall(word.lower())))
-                    if room > 0 and len(word) <= LONGEST_CACHED:
-                        known[word] = out[i]
+                ids = out[i] = older.get(word)
+                if ids is None:
+                    (plain if PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word)) else odd).append(i)
+                else:  # still met: it outlives the next change of the cache
+                    if room > 0:
+                        known[word] = ids
                     room -= 1
-                else:
-                    odd.append(i)
+        for lo in range(0, len(plain), PLAIN_ROWS):
+            part = plain[lo:lo + PLAIN_ROWS]
+            for i, ids in zip(part, self._plain([words[i] for i in part])):
+                out[i] = ids
+                if room > 0 and len(words[i]) <= LONGEST_CACHED:
+                    known[words[i]] = ids
+                room -= 1
         self.passed += max(0, -room)
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
             out[i] = pack_ids(e.ids)

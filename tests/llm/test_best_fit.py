@@ -91,3 +91,23 @@ def test_word_ids_equal_the_tokenizer(monkeypatch):
     for at, flat, bounds in coder.slices(arr):
         for k in range(len(bounds) - 1):
             assert flat[bounds[k]:bounds[k + 1]].tolist() == ids_of(texts[at + k])[:-1], texts[at + k][:80]
+
+
+def test_frequent_words_outlive_a_change_of_the_cache(monkeypatch):
+    from opsloom.llm import word_ids as W
+
+    monkeypatch.setattr(W, "CACHED_WORDS", 50)
+    coder = WordIds(M.tokenizer_file())
+    met, model = [], coder.model
+
+    class Counting:
+        def tokenize(self, piece):
+            met.append(piece)
+            return model.tokenize(piece)
+
+    coder.model = Counting()
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(676)]
+    coder.of(["common", *letters[:60]])
+    coder.of(letters[60:130])
+    assert coder.of(["common"]) == [W.pack_ids(ids_of("common")[:-1])]
+    assert met.count("common") == 1 and len(coder.words) <= 51 and len(coder.older) <= 51
