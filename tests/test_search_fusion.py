@@ -79,6 +79,16 @@ def test_tfidf_matches_formula(spark):
     assert got[(1, "router")] == pytest.approx(a / np.hypot(a, b)) and (3, "the") not in got
 
 
+def test_parts_of_texts_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 90, f"router w{i % 7}a failed " * 20) for i in range(100)], "id int, t string")
+    want = sorted(map(tuple, TT.term_counts(docs, "id", "t").collect()))
+    monkeypatch.setattr(TT, "PART_BYTES", 1000)
+    counts = TT.term_counts(docs, "id", "t")
+    assert sorted(map(tuple, counts.collect())) == want
+    size = sum(len(f"router w{i % 7}a failed " * 20) for i in range(100))
+    assert counts.rdd.getNumPartitions() >= size / 1000
+
+
 def match_rows(groups, scores, hours, moves, q=1):
     return [(q, i + 1, f"INC{i}", s, g, h, m) for i, (g, s, h, m) in enumerate(zip(groups, scores, hours, moves))]
 
