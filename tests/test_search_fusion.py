@@ -64,6 +64,20 @@ def test_probed_cells_recall(spark):
     assert full == exact
 
 
+def test_queries_are_stored_once_and_hot_cells_are_split(spark):
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(300, 8))
+    m[:200] = m[0]  # one cell holds two thirds of the rows
+    df = frame(spark, m / np.linalg.norm(m, axis=1, keepdims=True))
+    centres = V.train_cells(df, 4)
+    assert V.probed_cells(df, centres, 3, "vec_id", "embedding").count() == 300
+    group, groups = V._cell_groups(V.nearest_cells(df, centres, 1, "vec_id", "embedding"), 50)
+    rows = V.nearest_cells(df, centres, 1, "vec_id", "embedding").groupBy(group.alias("g")).count().collect()
+    assert groups >= 5 and max(r["count"] for r in rows) < 100 and max(r["g"] for r in rows) < groups
+    for metric in ("ip", "l2"):
+        assert ranked(V.knn_cells(df, df, 5, cells=4, probes=4, metric=metric, exclude_self=True, block_rows=40)) == ranked(V.knn(df, df, 5, metric, exclude_self=True))
+
+
 def test_append_checks_dimension(spark):
     a, b = frame(spark, np.ones((5, 4))), frame(spark, np.ones((2, 3)))
     assert V.append_vectors(a, a).count() == 10
