@@ -149,6 +149,23 @@ def test_index_and_text_queries(spark, tmp_path):
         R.build_index(df, str(tmp_path / "v1"), dimensions=20)
 
 
+def test_query_texts_are_embedded_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"INC{i}", f"router{i % 4} disk{i % 3} failed word{i}") for i in range(40)], "number string, short_description string")
+    model, index = R.build_index(df, str(tmp_path / "v1"), dimensions=20)
+    seen = spark.sparkContext.accumulator(0)
+
+    def ask(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    asked = spark.createDataFrame([("a", "INC7"), ("b", "word11 failed")], "query_id string, query string").repartition(1)
+    once = materialize(asked, "asked").mapInArrow(ask, asked.schema)
+    first = R.similar_texts(model, index, once, 1)
+    before = seen.value
+    assert {r["query_id"]: r["match_id"] for r in first.collect()}["a"] == "INC7" and seen.value == before
+
+
 def test_store_rejects_mixed_dimensions(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<float>")
     with pytest.raises(ValueError):
