@@ -166,6 +166,12 @@ def test_query_texts_are_embedded_once(spark, tmp_path):
     assert {r["query_id"]: r["match_id"] for r in first.collect()}["a"] == "INC7" and seen.value == before
 
 
+def test_parts_of_training_rows_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_ROWS", 10)
+    rows = M._stored(spark.range(600), "parts-test")
+    assert rows.rdd.getNumPartitions() == 60 and rows.count() == 600
+
+
 def test_store_rejects_mixed_dimensions(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<float>")
     with pytest.raises(ValueError):
