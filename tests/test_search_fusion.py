@@ -76,6 +76,8 @@ def test_queries_are_stored_once_and_hot_cells_are_split(spark):
     assert groups >= 5 and max(r["count"] for r in rows) < 100 and max(r["g"] for r in rows) < groups
     for metric in ("ip", "l2"):
         assert ranked(V.knn_cells(df, df, 5, cells=4, probes=4, metric=metric, exclude_self=True, block_rows=40)) == ranked(V.knn(df, df, 5, metric, exclude_self=True))
+    some = df.filter("vec_id < 20")
+    assert ranked(V.knn_cells(some, some, 3, block_rows=4)) == ranked(V.knn(some, some, 3))
 
 
 def test_append_checks_dimension(spark):
