@@ -13,10 +13,12 @@ Documents with equal shingle sets form one class, and classes are compared by th
   every link among them exactly. A shingle that only one component holds can't link two, so these come first, then rare
   ones. From the places of a shared shingle follows how much two sets can share at most (positional filter); a row that
   even the smallest set under its shingle rules out is dropped before the join, as is a shingle left to one component.
+  Before the join, each shingle proposes as hub the set whose shingles are the most common ones, which is the least edited
+  of a group of copies, and its members are compared with it; what the hubs join into one component is not compared again.
 * Verification: signatures of a pair are compared batch by batch. With a uniform prior the similarity after m matches in
   n is Beta(m + 1, n - m + 1); a pair goes as soon as the chance of a similarity at the threshold or above is under
-  ``MISS``. Survivors are confirmed on full shingle sets: in every round each class's best edge, at the end only what
-  would still join two components.
+  ``MISS``. Survivors are confirmed on full shingle sets: in every round each class's best edge, whichever end it is, and
+  after the leader rounds and each later join only what would still join two components.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a row without an id is
 linked with nothing, its component is null and it stays; rows that repeat an id are one document with the links of each
@@ -47,6 +49,8 @@ MISS = 1e-6
 LEADER_ROUNDS = 3
 LEADERS = 3  # leaders that a member is compared with in a round
 NARROWINGS = 3
+HUB_ROUNDS = 6  # at most; none is left out of the join that follows
+HUB_CHOICE = 4  # from the second round on a hub is the best of one set in so many
 SMALL_BUCKET = 8
 _SEED = np.random.default_rng(2)
 _A = (_SEED.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -195,16 +199,18 @@ class Linker:
         return both.filter(F.col("ca") != F.col("cb")).drop("ca", "cb")
 
     def examine(self, pairs: DataFrame) -> None:
-        """Sift the pairs; confirm each class's best, and let the others wait for the end."""
+        """Sift the pairs; confirm each class's best, at either end, and let the others wait."""
         left = written(sift(pairs, self.sigs), "survivors")
-        best = left.groupBy(F.col("b").alias("v")).agg(F.max(F.struct("matches", "a", "b")).alias("e")).select("e.a", "e.b")
+        ends = left.select(F.col("a").alias("v"), "*").union(left.select(F.col("b").alias("v"), "*"))
+        best = ends.groupBy("v").agg(F.max(F.struct("matches", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
         self.add(written(best, "best"))
         self.waiting = left if self.waiting is None else self.waiting.union(left)
 
-    def finish(self, pairs: DataFrame) -> None:
-        """Sift the pairs and confirm everything that may still join two components."""
-        left = sift(pairs, self.sigs).union(self.waiting)
-        self.add(written(self.between(left).select("a", "b").distinct(), "rest"))
+    def settle(self) -> None:
+        """Confirm everything that waits and may still join two components."""
+        if self.waiting is not None:
+            left, self.waiting = self.waiting, None
+            self.add(written(self.between(left).select("a", "b").distinct(), "rest"))
 
 
 def buckets(rows: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
@@ -232,13 +238,16 @@ def least_shared(sizes):
     return F.ceil(sizes * THRESHOLD / (100 + THRESHOLD) - 1e-9)
 
 
+PREFIX = ["key", "cid", "n_set", "comp", "place", "common"]
+
+
 def narrowed(rows: DataFrame) -> DataFrame:
     """Rows whose place still allows a link with the smallest set under their key, under keys of several components."""
     by = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_set").alias("least_set"))
     by = by.filter("lo <> hi").select("key", "least_set")
     smallest = F.greatest(F.col("least_set"), F.ceil(F.col("n_set") * THRESHOLD / 100))
     fit = F.col("n_set") - F.col("place") + 1 >= least_shared(F.col("n_set") + smallest)
-    return written(rows.join(by, "key").filter(fit).select("key", "cid", "n_set", "comp", "place"), "prefixes")
+    return written(rows.join(by, "key").filter(fit).select(*PREFIX), "prefixes")
 
 
 def prefix_rows(docs: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -265,11 +274,46 @@ def prefix_rows(docs: DataFrame, crowded: DataFrame) -> DataFrame:
     counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") != F.max("comp")).alias("links")), "crowded-counts")
     first = F.dense_rank().over(Window.partitionBy("cid", "own").orderBy("links", "df", "key"))  # equal rows of the table rank alike
     prefix = F.col("n_set") - F.ceil(F.col("n_set") * THRESHOLD / 100) + 1
-    ranked = rows.join(counts, "key").withColumn("place", first).filter(F.col("links") & (F.col("place") <= prefix))
-    ranked = written(ranked.select("key", "cid", "n_set", "comp", "place"), "prefixes")
-    for _ in range(NARROWINGS):
-        ranked = narrowed(ranked)
-    return ranked
+    common = F.avg("df").over(Window.partitionBy("cid", "own"))
+    ranked = rows.join(counts, "key").withColumn("place", first).withColumn("common", common).filter(F.col("links") & (F.col("place") <= prefix))
+    return written(ranked.select(*PREFIX), "prefixes")
+
+
+def possible_pairs(rows: DataFrame) -> int:
+    """Pairs of rows with one key and different components."""
+    by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return by.agg(F.sum(F.expr("CAST(n AS DECIMAL(38,0)) * n - same"))).first()[0] or 0
+
+
+def hub_pairs(rows: DataFrame, rnd: int) -> DataFrame:
+    """Pairs of a row and the hub of its key: at most one a row."""
+    chosen = F.lit(rnd == 0) | (F.pmod(F.xxhash64(F.lit(rnd), F.col("cid")), F.lit(HUB_CHOICE)) == 0)
+    hubs = rows.groupBy("key").agg(F.max(F.struct(chosen.alias("chosen"), "common", "cid", "comp", "n_set")).alias("h"))
+    hubs = hubs.select("key", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n_set").alias("hub_set"))
+    met = rows.join(hubs, "key").filter((F.col("comp") != F.col("hub_comp")) & alike("n_set", "hub_set"))
+    met = met.groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("times"), "hub"))  # a set has a hub in each key at most
+    return met.withColumn("rank", best).filter(F.col("rank") <= LEADERS).select(*ordered("cid", "hub")).distinct()
+
+
+def gathered(rows: DataFrame, linker: Linker) -> DataFrame:
+    """Prefix rows after the hub rounds, which go on while they join something and a join could make more pairs than there
+    were rows at first."""
+    enough, examined, joined = rows.count(), None, True
+    for rnd in range(HUB_ROUNDS + 1):
+        for _ in range(NARROWINGS):
+            rows = narrowed(rows)
+        if rnd == HUB_ROUNDS or not joined or possible_pairs(rows) <= enough:
+            break
+        before = linker.labels
+        pairs = hub_pairs(rows, rnd)
+        pairs = written(pairs if examined is None else pairs.join(examined, ["a", "b"], "left_anti"), "hub-pairs")
+        examined = pairs if examined is None else examined.union(pairs)
+        linker.examine(pairs)
+        linker.settle()
+        joined = linker.labels is not before
+        rows = linker.component(rows.drop("comp"), "cid", "comp")
+    return rows
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -295,11 +339,16 @@ def _near_dedup(docs: DataFrame) -> DataFrame:
         best = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("times"), "leader"))  # a member has a leader in each band at most
         pairs = met.withColumn("rank", best).filter(F.col("rank") <= LEADERS).select(*ordered("cid", "leader")).distinct()
         linker.examine(pairs)
+    linker.settle()
     members, by = buckets(members.withColumn("rnd", F.lit(LEADER_ROUNDS)), linker)
     members = written(members.join(by, "key").select("key", "cid", "n_set", "n", "comp"), "members")
     few = members.filter(F.col("n") <= SMALL_BUCKET).select("key", "cid", "n_set", "comp")
-    many = members.filter(F.col("n") > SMALL_BUCKET).select("cid", "n_set", "comp").distinct()
-    linker.finish(across(few).union(across(prefix_rows(docs, written(many, "crowded")))).distinct())
+    many = members.filter(F.col("n") > SMALL_BUCKET).select("cid", "n_set").distinct()
+    linker.examine(across(few).distinct())
+    linker.settle()
+    prefixes = gathered(prefix_rows(docs, written(linker.component(many, "cid", "comp"), "crowded")), linker)
+    linker.examine(across(prefixes).distinct())
+    linker.settle()
     linker.join(same_id(named, classes))
     found = linker.component(classes, "cid", "component_id").select("set_key", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")

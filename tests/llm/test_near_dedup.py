@@ -77,6 +77,33 @@ def test_crowded_groups_of_far_copies(spark, monkeypatch):
     assert same_rows(want, M.near_dedup(df).collect())
 
 
+def test_group_of_edited_copies_is_not_expanded_into_pairs(spark, monkeypatch):
+    """Copies that link to the least edited of their group join it by way of hubs, before the join across components."""
+    monkeypatch.setattr(M, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(M, "SMALL_BUCKET", 1)
+    made, across = [], M.across
+
+    def counted(rows):
+        out = across(rows)
+        if "place" in rows.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "across", counted)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for k in range(160):
+        w = list(base)
+        for _ in range(1 if k % 4 else 4):
+            w[rng.randrange(len(w))] = f"y{k}"
+        texts.append(" ".join(w))
+    rows = [((i * 83) % 997, t) for i, t in enumerate(texts)]
+    want = [(i, n, c, i == c) for i, n, c in brute(rows)]
+    assert same_rows(want, M.near_dedup(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)).collect())
+    assert made and max(made) <= 2 * len(rows), made
+
+
 def test_empty_and_other_columns(spark):
     assert M.near_dedup(empty(spark)).count() == 0
     assert M.near_dedup(documents(spark, [None, ""], clash=True)).select("n_shingles").distinct().collect()[0][0] == 0
