@@ -200,3 +200,16 @@ def test_shapley_of_many_rows_keeps_no_array_per_point():
     few, few_base = A.shapley([leaf], x[:50], output[:50])
     assert np.allclose(few, phi[:50]) and np.allclose(base, 0.5 ** 8)
     assert np.allclose(phi.sum(1) + base, (x <= 0.5).all(1))
+
+
+def test_partial_products_do_not_grow_with_the_parts(spark):
+    rows = spark.range(128).selectExpr("id", "array(cast(id % 5 as int), 5) AS ix", "array(0.6d, 0.8d) AS val").repartition(64).localCheckpoint()
+    spark.sparkContext.setJobGroup("gram", "gram")
+    got = E.gram_product(rows, np.eye(6))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    dense = np.zeros((128, 6))
+    dense[np.arange(128), np.arange(128) % 5], dense[:, 5] = 0.6, 0.8
+    assert np.allclose(got, dense.T @ dense)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("gram") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages if s) <= spark.sparkContext.defaultParallelism
