@@ -2,10 +2,11 @@
 
 The model is an interpolated modified Kneser-Ney bigram model over all words of trusted documents (labels with quality 1
 and toxic 0), named by 64-bit hashes, and one unknown word for those that never occur there. Nothing it gathers is capped
-or held by the driver: pairs, contexts and words are tables, and context sums and continuation counts are joined to the
-pairs by word. The cost of a word splits into a term of its context, a term of the word and, for a pair that was seen, the
-rest; these values lie in shards by key. Documents send their distinct keys, packed, to the shard of each; there the
-values stream in first and the keys are looked up in them, and the shards' sums are added up by document.
+or held by the driver. Texts are coded once, in slices that stay where they are stored; a slice asks, part by part, for the
+ids of its distinct words, for the counts of its distinct pairs of known words, and for the numbers of its known words, and
+gets as many answers in the order in which it asked. A part of words or pairs adds up what the trusted texts of all slices
+hold of them, so that one question counts and is answered. Ids grow with rarity, and what travels are gaps between sorted
+ids, in compressed byte planes: one to two bytes a pair. A slice's documents are then costed in one task.
 
 One trusted document in ``HELD`` (by the hash of its id) is kept out of the counts, so that its perplexity is that of new
 text. Per language the threshold is the ``QUANTILE`` of these documents' log perplexities, on a grid of a thousandth; its
@@ -26,25 +27,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from opsloom.llm.common import documents, text_of
-from opsloom.llm.shingles import _MIX, _mixed, fresh
-from opsloom.session import written
+from opsloom.llm.common import documents, shuffles_removed, small_batches, text_of
+from opsloom.llm.shingles import fresh
+from opsloom.session import work_path, written
 from opsloom.sources.tables import table
 
 Q, S = {}, {}
 
-START = xxhash.xxh3_64_intdigest(b" ")  # no word has a blank
+START, FIRST = 1, 2  # ids of a text's start and of the first word; 0 stands for unknown words
+LOW = 0xFFFFFFFF
+FREQUENT = 16  # so many words of each part deal their pairs out by both words
+ZSTD = pa.Codec("zstd")
 QUANTILE = 0.995
 PRIOR_WORDS = 20
 HELD = 5
 HELD_PRIOR = 200  # held-out documents that a language's own quantile is weighed against
-SHARD_ROWS = 2_000_000
-SLICE_BYTES = 4_000_000
+PART_WORDS = 8_000_000
+SLICE_BYTES = 8_000_000
 GRID = 1000
-PRIME = 999_983
-PACKED = ("docs", "words", "sizes", "keys", "places", "times")
 BROADCAST_IDS = 1_000_000
 
 
@@ -87,36 +90,254 @@ def contexts_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return before
 
 
-def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return _mixed(before * _MIX[0] + words * _MIX[2])
+def packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers as byte planes as wide as the largest needs, compressed."""
+    head, planes = [len(arrays)], []
+    for a in arrays:
+        a = np.ascontiguousarray(a).astype(np.uint64, copy=False)
+        width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        head += [len(a), width]
+        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return np.array(head, np.int64).tobytes() + ZSTD.compress(b"".join(planes), asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 2 * n, 8).reshape(-1, 2).tolist()
+    raw = np.frombuffer(ZSTD.decompress(data[8 + 16 * n:], sum(k * w for k, w in head), asbytes=True), np.uint8)
+    out, at = [], 0
+    for k, width in head:
+        a = np.zeros((k, 8), np.uint8)
+        a[:, :width] = raw[at:at + k * width].reshape(width, k).T
+        out.append(a.view(np.int64).ravel())
+        at += k * width
+    return out
+
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def found(known: np.ndarray, value: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of ``asked`` in sorted ``known``, else 0."""
+    if not len(known):
+        return np.zeros(len(asked), np.int64)
+    spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[spot] == asked, value[spot], 0)
+
+
+def added(keys: list[np.ndarray], *values: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct keys, sorted, and the sums of each of ``values`` by key."""
+    key, at = np.unique(np.concatenate([*keys, np.empty(0, keys[0].dtype if keys else np.int64)]), return_inverse=True)
+    out = [np.zeros(len(key), np.int64) for _ in values]
+    for total, v in zip(out, values):
+        np.add.at(total, at, np.concatenate([*v, np.empty(0, np.int64)]))
+    return [key, *out]
+
+
+class Slice:
+    """Coded texts of one row of ``slices``: its words by falling count, their codes, and its texts."""
+
+    def __init__(self, data: bytes):
+        hashes, self.code, self.n_words, self.known_id, self.text_hash, self.train = unpacked(data)
+        self.hashes = hashes.view(np.uint64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.n_words)])
+
+    def trained(self) -> np.ndarray:
+        return np.repeat(self.train, self.n_words)
+
+    def word_parts(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words by part and hash, and where each part begins."""
+        part = (self.hashes % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((self.hashes, part))
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+    def by_word(self, parts: int, answers: dict[int, bytes], column: int = 0, of: np.ndarray | None = None) -> np.ndarray:
+        """An answered value of every word (0 without one); ``of`` says which words were asked for."""
+        order, cuts = self.word_parts(parts)
+        out = np.zeros(len(self.hashes), np.int64)
+        for p, data in answers.items():
+            at = order[cuts[p]:cuts[p + 1]]
+            out[at if of is None else at[of[at] > 0]] = unpacked(data)[column]
+        return out
+
+    def pairs(self, ids: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+        """Word and word before, by id, of every place; which places hold known pairs, the place of each among the
+        distinct pairs ordered by part, these pairs, and where each part begins."""
+        words = ids[self.code]
+        before = contexts_of(words, self.bounds)
+        known = (before > 0) & (words > 0)
+        asked, place = np.unique((before[known] << 32) | words[known], return_inverse=True)
+        v, w = asked >> 32, asked & LOW
+        part = np.where((v - FIRST) // parts < FREQUENT, v + w, v) % parts  # pairs of a frequent word go to all parts
+        order = np.argsort(part, kind="stable")
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        return words, before, known, to[place], asked[order], np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def packed_pairs(pairs: np.ndarray, times: np.ndarray) -> bytes:
+    v, w = pairs >> 32, pairs & LOW
+    heads, first, n = np.unique(v, return_index=True, return_counts=True)
+    step = gaps(w)
+    step[first] = w[first]
+    return packed(gaps(heads), n, step, times)
+
+
+def unpacked_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    heads, n, step, times = unpacked(data)
+    first = np.cumsum(n) - n
+    w = np.cumsum(step)
+    return (np.repeat(np.cumsum(heads), n) << 32) | (w - np.repeat(w[first] - step[first], n)), times
+
+
+def slices(rows: DataFrame) -> DataFrame:
+    """``slice``, ``tokens``, ``data``: the coded texts, stored once in buckets of the slice, so they are never shuffled."""
+    spark = rows.sparkSession
+
+    def stretch(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SLICE_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def code(batches):
+        number = TaskContext.get().partitionId() << 32
+        for t in stretch(batches):
+            columns = [t.column(c).to_numpy().astype(np.int64) for c in ("known_id", "text_hash", "train")]
+            texts = t.column("text").cast(pa.large_string()).combine_chunks()
+            for at, ids, surface, bounds in coded_words(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, word_hashes):
+                if not len(surface):
+                    continue
+                hashes, word = np.unique(ids, return_inverse=True)
+                n = np.bincount(word[surface], minlength=len(hashes))
+                order = np.argsort(-n, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                n_words = np.diff(bounds)
+                data = packed(hashes[order], rank[word][surface], n_words, *[c[at:at + len(n_words)] for c in columns])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(surface)]), pa.array([data], pa.binary())], ["slice", "tokens", "data"])
+                number += 1
+        pa.default_memory_pool().release_unused()
 
+    path = work_path(spark, "kn-slices")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    made = rows.select("known_id", "text_hash", F.col("train").cast("bigint").alias("train"), "text").mapInArrow(code, "slice bigint, tokens bigint, data binary")
+    with small_batches(spark):
+        made.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
-def last_keys(words: np.ndarray) -> np.ndarray:
-    """Keys under which a text takes back the context term of its last word."""
-    return _mixed(words * _MIX[3])
 
+ANSWER = "slice bigint, kind int, part int, data binary, sums array<bigint>"
+WORD, PAIR, COST, TYPE, SUM = range(5)
 
-def keyed(df: DataFrame, make, columns: list[str]) -> DataFrame:
-    """``df`` with ``key``, made of some of its columns."""
-    def run(batches):
-        for batch in batches:
-            key = make(*[batch.column(c).to_numpy().view(np.uint64) for c in columns]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("value")], ["key", "value"])
 
-    return df.select(*columns, "value").mapInArrow(run, "key bigint, value double")
+def answers(rows: list[tuple]) -> pa.Table:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["slice", "kind", "part", "data", "sums"])
 
 
-def pair_counts(trusted: DataFrame) -> DataFrame:
-    """``v``, ``w``, ``n``: word before, word and count over the trusted texts; added up per slice before they leave a task."""
-    def count(batches):
-        for batch in batches:
-            for _, ids, code, bounds in coded_words(batch.column("text"), word_hashes):
-                words = ids[code]
-                before = contexts_of(words, bounds)
-                _, first, n = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (before, words)] + [pa.array(n.astype(np.int64))], ["v", "w", "n"])
+def asks(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["part", "slice", "data"])
+
+
+ASK = "part int, slice bigint, data binary"
 
-    return trusted.select("text").mapInArrow(count, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
+
+def word_ids(texts: DataFrame, parts: int) -> DataFrame:
+    """For the words of every slice their ids, by falling count in trusted texts within a part; 0 for the others."""
+    def ask(batches):
+        for batch in batches:
+            for number, data in zip(batch.column("slice").to_pylist(), batch.column("data")):
+                s = Slice(data.as_py())
+                n = np.bincount(s.code[s.trained() > 0], minlength=len(s.hashes))
+                order, cuts = s.word_parts(parts)
+                yield from asks([(p, number, packed(gaps(s.hashes[order[lo:hi]]), n[order[lo:hi]])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi]).to_batches()
+
+    def answer(table):
+        part, asked, n = table.column("part")[0].as_py(), [], []
+        for data in table.column("data"):
+            h, k = unpacked(data.as_py())
+            asked.append(np.cumsum(h.view(np.uint64), dtype=np.uint64))
+            n.append(k)
+        known, total = added([h[k > 0] for h, k in zip(asked, n)], [k[k > 0] for k in n])
+        ids = np.empty(len(known), np.int64)
+        ids[np.lexsort((known, -total))] = np.arange(len(known)) * parts + part + FIRST
+        if len(ids) and ids.max() >> 31:
+            raise ValueError("more words than 31-bit ids")
+        return answers([(s, WORD, part, packed(found(known, ids, h)), None) for s, h in zip(table.column("slice").to_pylist(), asked)])
+
+    return texts.select("slice", "data").mapInArrow(ask, ASK).groupBy("part").applyInArrow(answer, ANSWER)
+
+
+def by_part(table: pa.Table, kind: int) -> dict[int, bytes]:
+    rows = zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data"))
+    return {p: data.as_py() for k, p, data in rows if k == kind}
+
+
+def pair_counts(texts: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    """For the pairs of every slice their counts in trusted texts. Besides, for each part of words: ids, and what this part
+    of pairs adds to their total as a context, to their pairs seen once, twice and more often, and to the words they
+    follow; and sums over the pairs: how many were seen once to four times, and the start's total and pairs."""
+    def ask(left, right):
+        number, s = left.column("slice")[0].as_py(), Slice(left.column("data")[0].as_py())
+        _, _, known, place, pairs, cuts = s.pairs(s.by_word(parts, by_part(right, WORD)), parts)
+        times = np.bincount(place[s.trained()[known] > 0], minlength=len(pairs))
+        return asks([(p, number, packed_pairs(pairs[lo:hi], times[lo:hi])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi])
+
+    def answer(table):
+        part, asked, n = table.column("part")[0].as_py(), [], []
+        for data in table.column("data"):
+            pairs, k = unpacked_pairs(data.as_py())
+            asked.append(pairs[k > 0])
+            n.append(k[k > 0])
+        known, total = added(asked, n)
+        del asked, n
+        out = [(s, PAIR, part, packed(found(known, total, unpacked_pairs(data.as_py())[0])), None) for s, data in zip(table.column("slice").to_pylist(), table.column("data"))]
+        level = np.minimum(total, 3)
+        stats = [total, *[(level == k).astype(np.int64) for k in (1, 2, 3)]]
+        context, *stats = added([known >> 32], *[[x] for x in stats])
+        start = context == START
+        sums = [int((total == k).sum()) for k in range(1, 5)] + [int(x[start].sum()) for x in stats]
+        word, follow = np.unique(known & LOW, return_counts=True)
+        none = [np.zeros(len(word), np.int64)]
+        word, *stats = added([context[~start], word], *[[x[~start], *none] for x in stats], [np.zeros(int((~start).sum()), np.int64), follow])
+        to = (word - FIRST) % parts
+        out += [(-1, TYPE, int(p), packed(gaps(word[to == p]), *[x[to == p] for x in stats]), None) for p in np.unique(to)]
+        return answers([*out, (-1, SUM, part, None, sums)])
+
+    made = texts.select("slice", "data").groupBy("slice").cogroup(ids.groupBy("slice")).applyInArrow(ask, ASK)
+    return made.groupBy("part").applyInArrow(answer, ANSWER)
+
+
+def word_counts(ids: DataFrame, stats: DataFrame) -> DataFrame:
+    """For the known words of every slice their numbers as in ``pair_counts``, and sums over the words: how many, the words
+    they follow, and how many follow one to four words."""
+    def answer(table):
+        part = table.column("part")[0].as_py()
+        rows = list(zip(table.column("kind").to_pylist(), table.column("slice").to_pylist(), table.column("data")))
+        parts = [unpacked(data.as_py()) for kind, _, data in rows if kind == TYPE]
+        word, *stats = added([np.cumsum(p[0]) for p in parts], *[[p[i] for p in parts] for i in range(1, 6)])
+        out = []
+        for kind, s, data in rows:
+            if kind == WORD:
+                asked = unpacked(data.as_py())[0]
+                out.append((s, COST, part, packed(*[found(word, x, asked[asked > 0]) for x in stats]), None))
+        follow = stats[-1]
+        sums = [int((follow > 0).sum()), int(follow.sum()), *[int((follow == k).sum()) for k in range(1, 5)]]
+        return answers([*out, (-1, SUM, part, None, sums)])
+
+    return ids.union(stats).groupBy("part").applyInArrow(answer, ANSWER)
+
+
+def sums_of(df: DataFrame, n: int) -> list[int]:
+    row = df.filter(F.col("kind") == SUM).agg(*[F.sum(F.col("sums")[i]) for i in range(n)]).first()
+    return [x or 0 for x in row]
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -127,128 +348,47 @@ def discounts(of: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))])
 
 
-class Model:
-    """Value tables of a table of pairs; single sums reach the driver."""
-
-    def __init__(self, pairs: DataFrame):
-        level = F.least("n", F.lit(3))
-        of = pairs.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).first()
-        d = discounts(list(of))
-        cut = lambda c, by: F.element_at(F.array(*[F.lit(float(x)) for x in by]), (F.least(c, F.lit(3)) + 1).cast("int"))
-        heads = pairs.groupBy("v").agg(F.sum("n").alias("total"), *[F.count_if(level == k).alias(f"n{k}") for k in (1, 2, 3)])
-        back = sum((F.col(f"n{k}") * float(d[k]) for k in (1, 2, 3)), F.lit(0.0)) / F.col("total")
-        contexts = written(heads.select("v", "total", back.alias("back")), "kn-contexts")
-        follows = written(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("follow")), "kn-words")
-        f = follows.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("follow"), F.lit(0)).alias("seen"), *[F.count_if(F.col("follow") == k).alias(f"n{k}") for k in range(1, 5)]).first()
-        low = discounts([f[f"n{k}"] for k in range(1, 5)])
-        base = 1.0 / (f["types"] + 1)  # all types and the unknown word
-        more = f["types"] - f["n1"] - f["n2"]
-        rest = float(low[1] * f["n1"] + low[2] * f["n2"] + low[3] * more) * base
-        self.seen, self.rows = f["seen"], f["seen"] + 2 * f["types"]
-        self.unknown = -math.log(rest / self.seen if self.seen else base)
-        start = contexts.filter(F.col("v") == int(np.uint64(START).view(np.int64))).first()
-        self.start = -math.log(start["back"]) if start else 0.0
-        lower = follows.select("w", ((F.greatest(F.col("follow") - cut(F.col("follow"), low), F.lit(0.0)) + rest) / max(1, self.seen)).alias("lower"))
-        words = lower.join(contexts.select(F.col("v").alias("w"), "back"), "w", "left").select(
-            F.col("w").alias("key"), (-F.log("lower") - self.unknown - F.log(F.coalesce("back", F.lit(1.0)))).alias("value"))
-        main = F.greatest(F.col("n") - cut(F.col("n"), d), F.lit(0.0)) / F.col("total")
-        seen = pairs.join(contexts, "v").join(lower, "w").select("v", "w", (-F.log(main / (F.col("back") * F.col("lower")) + 1)).alias("value"))
-        last = contexts.select("v", F.log("back").alias("value"))
-        self.values = words.union(keyed(seen, pair_keys, ["v", "w"])).union(keyed(last, last_keys, ["v"]))
-
-
-def shard_names(spark, shards: int) -> list[int]:
-    """A number for each shard, so that hashing them deals every shard to a partition of its own."""
-    rows = spark.range(60 * shards).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(shards))).agg(F.min("id").alias("id")).collect()
-    free = sorted(r["id"] for r in rows)  # a residue that none of the numbers hits costs a partition, not a shard
-    return (free + [i for i in range(60 * shards) if i not in set(free)])[:shards]
-
-
-def packed_keys(docs: DataFrame, names_of: list[int]) -> DataFrame:
-    """Distinct keys of a slice of documents by shard: documents (id, hash of the text), their words (with their last word's
-    key), how many keys of each, the keys, the documents' places in them, and how often where not once."""
-    names, shards = ["shard", *PACKED], len(names_of)
-
-    def pack(batches):
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("known_id", "text_hash")], axis=1)
-            for at, ids, code, bounds in coded_words(batch.column("text"), word_hashes):
-                words, n_words = ids[code], np.diff(bounds)
-                doc = np.repeat(np.arange(len(n_words)), n_words)
-                full = np.flatnonzero(n_words)
-                ends = last_keys(words[bounds[1:][full] - 1])
-                asked, place = np.unique(np.concatenate([pair_keys(contexts_of(words, bounds), words), words, ends]), return_inverse=True)
-                is_end = np.zeros(len(asked), bool)
-                is_end[place[2 * len(words):]] = True
-                both, n = np.unique((np.concatenate([doc, doc, full]).astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64), return_counts=True)
-                doc, place = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                key_shard = shard_of(asked, shards)
-                order = np.argsort(key_shard, kind="stable")
-                cuts = np.searchsorted(key_shard[order], np.arange(shards + 1))
-                local = np.empty(len(asked), np.int64)
-                local[order] = np.arange(len(asked)) - cuts[key_shard[order]]
-                rows = np.argsort(key_shard[place], kind="stable")
-                row_cuts = np.searchsorted(key_shard[place[rows]], np.arange(shards + 1))
-                for s in range(shards):
-                    take, held = rows[row_cuts[s]:row_cuts[s + 1]], asked[order[cuts[s]:cuts[s + 1]]]
-                    if len(take):
-                        d, first, sizes = np.unique(doc[take], return_index=True, return_counts=True)
-                        ended = np.add.reduceat(is_end[place[take]].astype(np.int64), first) > 0
-                        often = np.flatnonzero(n[take] > 1)
-                        times = np.stack([often, n[take][often]]).astype(np.int32)
-                        places = local[place[take]].astype(np.uint16 if len(held) <= 1 << 16 else np.uint32)
-                        yield pa.RecordBatch.from_arrays([pa.array([names_of[s]], pa.int32()), *[pa.array([x.tobytes()]) for x in (
-                            keys[at + d], np.where(ended, n_words[d], 0).astype(np.int32), sizes.astype(np.int32), held, places, times)]], names)
-
-    return docs.select("known_id", "text_hash", "text").mapInArrow(pack, "shard int, " + ", ".join(f"{c} binary" for c in PACKED))
-
-
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return key.view(np.int64) % PRIME % shards
-
-
-def scored(packed: DataFrame, model: Model, names_of: list[int]) -> DataFrame:
-    """``known_id``, ``text_hash``, ``words``, ``cost``: for each shard the costs of a document's words."""
-    shards = len(names_of)
-    unknown, start = model.unknown, model.start
-    shard = F.element_at(F.array(*[F.lit(i) for i in names_of]), (F.pmod(F.col("key"), F.lit(PRIME)) % shards + 1).cast("int"))
-    values = model.values.select(shard.alias("shard"), "key", "value", *[F.lit(None).cast("binary").alias(c) for c in PACKED])
-    asked = packed.select("shard", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("value"), *PACKED)
-    both = values.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_last())
-
-    def look_up(batches):
-        at, known, value, parts = None, None, None, []
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if lo == hi:
-                    continue
-                part = batch.slice(lo, hi - lo)
-                if shard[lo] != at:
-                    at, known, parts = shard[lo], None, []
-                k = int(part.column("key").is_valid().to_numpy(zero_copy_only=False).sum())
-                if k:
-                    parts.append([part.column(c).slice(0, k).to_numpy(zero_copy_only=False).astype(t) for c, t in (("key", np.int64), ("value", np.float64))])
-                if k == part.num_rows:
-                    continue
-                if known is None:
-                    known = np.concatenate([p for p, _ in parts]) if parts else np.empty(0, np.int64)
-                    value = np.concatenate([c for _, c in parts]) if parts else np.empty(0)
-                for i in range(k, part.num_rows):
-                    read = lambda c, t: np.frombuffer(part.column(c)[i].as_py(), t)
-                    rows, words, sizes, keys = read("docs", np.int64).reshape(-1, 2), read("words", np.int32).astype(np.int64), read("sizes", np.int32), read("keys", np.int64)
-                    places = read("places", np.uint16 if len(keys) <= 1 << 16 else np.uint32)
-                    often = read("times", np.int32).reshape(2, -1)
-                    times = np.ones(len(places))
-                    times[often[0]] = often[1]
-                    spot = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-                    found = np.where(known[spot] == keys, value[spot], 0.0) if len(known) else np.zeros(len(keys))
-                    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                    cost = np.add.reduceat(found[places] * times, first) + words * unknown + (words > 0) * start
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(words), pa.array(cost)], ["known_id", "text_hash", "words", "cost"])
-
-    return both.mapInArrow(look_up, "known_id bigint, text_hash bigint, words bigint, cost double")
+def scored(rows: DataFrame) -> DataFrame:
+    """``known_id``, ``text_hash``, ``words``, ``cost`` of every row of ``rows`` with words, under the pairs of those with ``train``."""
+    spark = rows.sparkSession
+    with shuffles_removed(spark):
+        texts = slices(rows)
+        tokens = texts.agg(F.sum("tokens")).first()[0] or 0
+        parts = max(2 * spark.sparkContext.defaultParallelism, -(-tokens // PART_WORDS))
+        ids = written(word_ids(texts, parts), "kn-ids")
+        pairs = written(pair_counts(texts, ids, parts), "kn-pairs")
+        counts = written(word_counts(ids, pairs.filter(F.col("kind") == TYPE)), "kn-words")
+    *of, start_total, s1, s2, s3 = sums_of(pairs, 8)
+    types, seen, *follows = sums_of(counts, 6)
+    high, low = discounts(of), discounts(follows)
+    base = 1.0 / (types + 1)  # all types and the unknown word
+    rest = float(low[1] * follows[0] + low[2] * follows[1] + low[3] * (types - follows[0] - follows[1])) * base
+    unknown = rest / seen if seen else base
+
+    def cost(left, right):
+        s = Slice(left.column("data")[0].as_py())
+        ids, words = by_part(right, WORD), by_part(right, COST)
+        ids, asked = s.by_word(parts, ids), by_part(right, PAIR)
+        total, n1, n2, n3, follow = (s.by_word(parts, words, i, ids) for i in range(5))
+        word, before, known, place, pairs, cuts = s.pairs(ids, parts)
+        n = np.zeros(len(pairs), np.int64)
+        for p, data in asked.items():
+            n[cuts[p]:cuts[p + 1]] = unpacked(data)[0]
+        weight = lambda total, *n: np.where(total > 0, sum(k * d for k, d in zip(n, high[1:])) / np.maximum(total, 1), 1.0)
+        lower = np.where(ids > 0, (np.maximum(follow - low[np.minimum(follow, 3)], 0.0) + rest) / max(1, seen), unknown)
+        back = weight(total, n1, n2, n3)
+        last = np.concatenate([[0], s.code[:-1]])
+        starts = before == START
+        totals = np.where(starts, start_total, total[last])
+        p = np.where(starts, weight(np.array(start_total), *map(np.array, (s1, s2, s3))), back[last]) * lower[s.code]
+        times = n[place]
+        p[known] += np.maximum(times - high[np.minimum(times, 3)], 0.0) / np.maximum(totals[known], 1)
+        full = s.n_words > 0
+        costs = np.add.reduceat(-np.log(p), s.bounds[:-1][full])
+        return pa.table([pa.array(x) for x in (s.known_id[full], s.text_hash[full], s.n_words[full], costs)], names=["known_id", "text_hash", "words", "cost"])
+
+    answered = ids.union(pairs).union(counts).filter("slice >= 0").select("slice", "kind", "part", "data")
+    return texts.select("slice", "data").groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(cost, "known_id bigint, text_hash bigint, words bigint, cost double")
 
 
 def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
@@ -279,17 +419,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
         good = F.broadcast(good)
     rows = docs.select("doc_id", "lang", text_of().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left").select(
         "doc_id", "lang", F.col("__good").isNotNull().alias("trusted"), (F.pmod(F.xxhash64("__good"), F.lit(HELD)) == 0).alias("held"), F.coalesce("doc_id", F.lit(-1)).alias("known_id"), F.xxhash64("text").alias("text_hash"), "text")
-    trusted = rows.filter("trusted AND NOT held").select("text")
-    model = Model(written(pair_counts(trusted), "kn-pairs"))
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-model.rows // SHARD_ROWS))
-    names_of = shard_names(spark, shards)
-    sums = scored(packed_keys(rows, names_of), model, names_of).groupBy("known_id", "text_hash").agg(
+    sums = scored(rows.withColumn("train", F.col("trusted") & ~F.col("held"))).groupBy("known_id", "text_hash").agg(
         F.sum("words").alias("words"), F.sum(F.round("cost", 6).cast("decimal(30,6)")).alias("cost"))
     same = rows.groupBy("known_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("held").alias("held"))
     scores = same.join(sums, ["known_id", "text_hash"], "left").select(  # equal rows have been added up
         "doc_id", "lang", "held", "rows", F.coalesce((F.col("words") / F.col("rows")).cast("bigint"), F.lit(0)).alias("n_words"),
         (F.col("cost").cast("double") / F.col("words")).alias("log_ppl"))
-    scores = written(scores, "kn-scores")
+    with shuffles_removed(spark):
+        scores = written(scores, "kn-scores")
     cut = thresholds(scores, quantile)
     per_lang = cut.filter(~F.col("all")).select(F.col("lang").alias("__l"), "mean", "cut")
     overall = cut.filter("all").select("mean", "cut").first()

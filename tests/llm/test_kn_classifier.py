@@ -1,11 +1,14 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from opsloom.llm import kn_classifier as M
+from opsloom.session import work_base
 from opsloom.sources.tables import table
 from tests.llm.helpers import ODD, SCHEMA, documents, empty, same_rows, words
 
@@ -90,3 +93,35 @@ def test_rare_words_beyond_any_vocabulary(spark):
     low, high = min(out[i] for i in held), max(p for i, p in out.items() if i not in held)
     assert max(p for i, p in out.items() if i not in held) == pytest.approx(min(p for i, p in out.items() if i not in held), rel=1e-3)
     assert low > 5 * high
+
+
+def test_disk_is_bounded(spark):
+    """Stored tables and the shuffle files that are left take at most 1.5 times the stored documents."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    size = lambda paths: sum(f.stat().st_size for p in paths for f in ([Path(p)] if Path(p).is_file() else Path(p).rglob("*")) if f.is_file())
+    used = lambda: size([work_base(spark), *[d.getPath() for d in blocks.localDirs()]])
+    sf = "/root/testdata/sf0.1"
+    docs, labels, before = table(spark, sf, "documents"), table(spark, sf, "labels"), used()
+    out = M.classify(docs, labels)
+    assert used() - before <= 1.5 * size([f"{sf}/documents.parquet"])
+    assert out.count() == docs.count()
+
+
+def test_parts_do_not_change_the_result(spark, monkeypatch):
+    """One word in three and its pairs are very common; whatever the number of parts, words and pairs are counted alike."""
+    rng = random.Random(2)
+    rows = [(i, " ".join("the" if rng.random() < 0.3 else f"w{int(rng.paretovariate(0.7))}" for _ in range(200)), "en", "s", 1) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, 0) for i in range(40)], LABELS)
+    few = M.classify(docs, labels).collect()
+    monkeypatch.setattr(M, "PART_WORDS", 100)
+    assert same_rows(few, M.classify(docs, labels).collect())
+
+
+def test_packed_numbers_come_back():
+    wide = np.array([0, 2**64 - 1, 5], np.uint64)
+    a, b, c = M.unpacked(M.packed(wide, np.empty(0, np.int64), np.array([-1, 300, 0])))
+    assert a.view(np.uint64).tolist() == wide.tolist() and len(b) == 0 and c.tolist() == [-1, 300, 0]
+    pairs = np.unique(np.random.default_rng(3).integers(0, 50, (500, 2)) @ np.array([1 << 32, 1]))
+    back, times = M.unpacked_pairs(M.packed_pairs(pairs, np.arange(len(pairs))))
+    assert back.tolist() == pairs.tolist() and times.tolist() == list(range(len(pairs)))
+    assert all(len(x) == 0 for x in M.unpacked_pairs(M.packed_pairs(pairs[:0], pairs[:0])))
