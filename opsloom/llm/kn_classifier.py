@@ -152,6 +152,10 @@ class Slice:
         order = np.lexsort((self.hashes, part))
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 
+    def ids(self, parts: int, answers: dict[int, bytes]) -> np.ndarray:
+        rank = self.by_word(parts, answers)
+        return id_of(rank, (self.hashes % np.uint64(parts)).astype(np.int64), parts)
+
     def by_word(self, parts: int, answers: dict[int, bytes], column: int = 0, of: np.ndarray | None = None) -> np.ndarray:
         """An answered value of every word (0 without one); ``of`` says which words were asked for."""
         order, cuts = self.word_parts(parts)
@@ -169,26 +173,32 @@ class Slice:
         known = (before > 0) & (words > 0)
         asked, place = np.unique((before[known] << 32) | words[known], return_inverse=True)
         v, w = asked >> 32, asked & LOW
-        part = np.where((v - FIRST) // parts < FREQUENT, v + w, v) % parts  # pairs of a frequent word go to all parts
+        part = np.where(v < FREQUENT * parts + FIRST, v + w, v) % parts  # pairs of a frequent word go to all parts
         order = np.argsort(part, kind="stable")
         to = np.empty(len(order), np.int64)
         to[order] = np.arange(len(order))
         return words, before, known, to[place], asked[order], np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def packed_pairs(pairs: np.ndarray, times: np.ndarray) -> bytes:
+def packed_pairs(pairs: np.ndarray, times: np.ndarray, part: int, parts: int) -> bytes:
+    """Pairs of one part: what the part tells of a rare first word, or of the word after a frequent one, is left out."""
     v, w = pairs >> 32, pairs & LOW
+    limit = FREQUENT * parts + FIRST
     heads, first, n = np.unique(v, return_index=True, return_counts=True)
+    w = np.where(v < limit, w // parts, w)
     step = gaps(w)
     step[first] = w[first]
-    return packed(gaps(heads), n, step, times)
+    return packed(gaps(np.where(heads < limit, heads, limit + heads // parts)), n, step, times)
 
 
-def unpacked_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked_pairs(data: bytes, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     heads, n, step, times = unpacked(data)
-    first = np.cumsum(n) - n
-    w = np.cumsum(step)
-    return (np.repeat(np.cumsum(heads), n) << 32) | (w - np.repeat(w[first] - step[first], n)), times
+    limit = FREQUENT * parts + FIRST
+    heads = np.cumsum(heads)
+    heads = np.where(heads < limit, heads, (heads - limit) * parts + part)
+    v, first, w = np.repeat(heads, n), np.cumsum(n) - n, np.cumsum(step)
+    w -= np.repeat(w[first] - step[first], n)
+    return (v << 32) | np.where(v < limit, w * parts + (part - v) % parts, w), times
 
 
 def slices(rows: DataFrame) -> DataFrame:
@@ -250,7 +260,7 @@ ASK = "part int, slice bigint, data binary"
 
 
 def word_ids(texts: DataFrame, parts: int) -> DataFrame:
-    """For the words of every slice their ids, by falling count in trusted texts within a part; 0 for the others."""
+    """For the words of every slice their ranks from 1, by falling count in trusted texts within a part; 0 for the others."""
     def ask(batches):
         for batch in batches:
             for number, data in zip(batch.column("slice").to_pylist(), batch.column("data")):
@@ -266,15 +276,19 @@ def word_ids(texts: DataFrame, parts: int) -> DataFrame:
             asked.append(np.cumsum(h.view(np.uint64), dtype=np.uint64))
             n.append(k)
         known, total = added([h[k > 0] for h, k in zip(asked, n)], [k[k > 0] for k in n])
-        ids = np.empty(len(known), np.int64)
-        ids[np.lexsort((known, -total))] = np.arange(len(known)) * parts + part + FIRST
-        if len(ids) and ids.max() >> 31:
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, -total))] = np.arange(1, len(known) + 1)
+        if (len(known) + 1) * parts >> 31:
             raise ValueError("more words than 31-bit ids")
-        return answers([(s, WORD, part, packed(found(known, ids, h)), None) for s, h in zip(table.column("slice").to_pylist(), asked)])
+        return answers([(s, WORD, part, packed(found(known, rank, h)), None) for s, h in zip(table.column("slice").to_pylist(), asked)])
 
     return texts.select("slice", "data").mapInArrow(ask, ASK).groupBy("part").applyInArrow(answer, ANSWER)
 
 
+def id_of(rank: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return np.where(rank > 0, (rank - 1) * parts + part + FIRST, 0)
+
+
 def by_part(table: pa.Table, kind: int) -> dict[int, bytes]:
     rows = zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data"))
     return {p: data.as_py() for k, p, data in rows if k == kind}
@@ -286,19 +300,19 @@ def pair_counts(texts: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
     follow; and sums over the pairs: how many were seen once to four times, and the start's total and pairs."""
     def ask(left, right):
         number, s = left.column("slice")[0].as_py(), Slice(left.column("data")[0].as_py())
-        _, _, known, place, pairs, cuts = s.pairs(s.by_word(parts, by_part(right, WORD)), parts)
+        _, _, known, place, pairs, cuts = s.pairs(s.ids(parts, by_part(right, WORD)), parts)
         times = np.bincount(place[s.trained()[known] > 0], minlength=len(pairs))
-        return asks([(p, number, packed_pairs(pairs[lo:hi], times[lo:hi])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi])
+        return asks([(p, number, packed_pairs(pairs[lo:hi], times[lo:hi], p, parts)) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi])
 
     def answer(table):
         part, asked, n = table.column("part")[0].as_py(), [], []
         for data in table.column("data"):
-            pairs, k = unpacked_pairs(data.as_py())
+            pairs, k = unpacked_pairs(data.as_py(), part, parts)
             asked.append(pairs[k > 0])
             n.append(k[k > 0])
         known, total = added(asked, n)
         del asked, n
-        out = [(s, PAIR, part, packed(found(known, total, unpacked_pairs(data.as_py())[0])), None) for s, data in zip(table.column("slice").to_pylist(), table.column("data"))]
+        out = [(s, PAIR, part, packed(found(known, total, unpacked_pairs(data.as_py(), part, parts)[0])), None) for s, data in zip(table.column("slice").to_pylist(), table.column("data"))]
         level = np.minimum(total, 3)
         stats = [total, *[(level == k).astype(np.int64) for k in (1, 2, 3)]]
         context, *stats = added([known >> 32], *[[x] for x in stats])
@@ -308,7 +322,7 @@ def pair_counts(texts: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
         none = [np.zeros(len(word), np.int64)]
         word, *stats = added([context[~start], word], *[[x[~start], *none] for x in stats], [np.zeros(int((~start).sum()), np.int64), follow])
         to = (word - FIRST) % parts
-        out += [(-1, TYPE, int(p), packed(gaps(word[to == p]), *[x[to == p] for x in stats]), None) for p in np.unique(to)]
+        out += [(-1, TYPE, int(p), packed(gaps((word[to == p] - FIRST) // parts + 1), *[x[to == p] for x in stats]), None) for p in np.unique(to)]
         return answers([*out, (-1, SUM, part, None, sums)])
 
     made = texts.select("slice", "data").groupBy("slice").cogroup(ids.groupBy("slice")).applyInArrow(ask, ASK)
@@ -368,7 +382,7 @@ def scored(rows: DataFrame) -> DataFrame:
     def cost(left, right):
         s = Slice(left.column("data")[0].as_py())
         ids, words = by_part(right, WORD), by_part(right, COST)
-        ids, asked = s.by_word(parts, ids), by_part(right, PAIR)
+        ids, asked = s.ids(parts, ids), by_part(right, PAIR)
         total, n1, n2, n3, follow = (s.by_word(parts, words, i, ids) for i in range(5))
         word, before, known, place, pairs, cuts = s.pairs(ids, parts)
         n = np.zeros(len(pairs), np.int64)

@@ -121,7 +121,12 @@ def test_packed_numbers_come_back():
     wide = np.array([0, 2**64 - 1, 5], np.uint64)
     a, b, c = M.unpacked(M.packed(wide, np.empty(0, np.int64), np.array([-1, 300, 0])))
     assert a.view(np.uint64).tolist() == wide.tolist() and len(b) == 0 and c.tolist() == [-1, 300, 0]
-    pairs = np.unique(np.random.default_rng(3).integers(0, 50, (500, 2)) @ np.array([1 << 32, 1]))
-    back, times = M.unpacked_pairs(M.packed_pairs(pairs, np.arange(len(pairs))))
-    assert back.tolist() == pairs.tolist() and times.tolist() == list(range(len(pairs)))
-    assert all(len(x) == 0 for x in M.unpacked_pairs(M.packed_pairs(pairs[:0], pairs[:0])))
+    every = np.unique(np.random.default_rng(3).integers(1, 300, (5000, 2)) @ np.array([1 << 32, 1]))
+    for parts in (1, 3, 12):
+        v, w = every >> 32, every & M.LOW
+        part = np.where(v < M.FREQUENT * parts + M.FIRST, v + w, v) % parts
+        for p in range(parts):
+            pairs = every[part == p]
+            back, times = M.unpacked_pairs(M.packed_pairs(pairs, np.arange(len(pairs)), p, parts), p, parts)
+            assert back.tolist() == pairs.tolist() and times.tolist() == list(range(len(pairs)))
+    assert all(len(x) == 0 for x in M.unpacked_pairs(M.packed_pairs(every[:0], every[:0], 0, 3), 0, 3))
