@@ -213,3 +213,14 @@ def test_partial_products_do_not_grow_with_the_parts(spark):
     tracker = spark.sparkContext.statusTracker()
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("gram") for s in tracker.getJobInfo(j).stageIds]
     assert 0 < max(s.numTasks for s in stages if s) <= spark.sparkContext.defaultParallelism
+
+
+def test_every_turn_asks_for_similar_texts(spark):
+    from opsloom.plans.modeling import Q
+    from opsloom.sources.tables import table
+
+    sf = "/root/testdata/sf0.001"
+    turns = table(spark, sf, "conversations")
+    assert turns.filter("conv_id % 50 <> 0").count() > 0
+    found = Q["similar_texts"](spark, sf).groupBy("query_id").count().collect()
+    assert len(found) == turns.count() and all(r["count"] == 5 for r in found)
