@@ -216,3 +216,35 @@ def test_a_block_pair_is_scored_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 10 * V.BLOCK_ROWS and peak < 64 << 20
+
+
+def test_blocks_that_were_multiplied_are_not_broadcast(spark):
+    import contextlib
+    import io
+
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(700, 8)).astype(np.float32)
+    m[100:400] = m[7]
+    found = V.knn(frame(spark, m[:90]), frame(spark, m), 3, exclude_self=True, block_rows=16)
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        found.explain()
+    assert "SortMergeJoin [grid_" in said.getvalue() and "BroadcastHashJoin" not in said.getvalue()
+    assert ranked(found) == brute(m[:90].astype(float), m.astype(float), 3, "ip", True)
+
+
+def test_kept_values_screen_later_blocks_exactly():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(3000, 8)).astype(np.float32)
+    m[1500:] = m[:1500]  # ties in another block
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("vec", pa.list_(pa.float32()))]))
+    block = lambda at: [[{"id": int(i), "vec": m[i].tolist()} for i in at]]
+    pairs = lambda: [pa.RecordBatch.from_arrays([pa.array([1]), pa.array(block(range(300)), kind), pa.array(block(range(lo, lo + 1000)), kind)], ["q_block", "q_rows", "c_rows"]) for lo in (2000, 1000, 0)]
+    rows = [r for out in V._top_k("ip", 4, False)(pairs()) for r in out.to_pylist()]
+    got = {}
+    for r in sorted(rows, key=lambda r: (-r["score"], r["match_id"])):
+        got.setdefault(r["query_id"], []).append(r["match_id"])
+    assert {q: x[:4] for q, x in got.items()} == brute(m[:300].astype(float), m.astype(float), 4, "ip")
+    assert len(rows) < 3 * 4 * 300  # what can't be among the best is not handed on
