@@ -155,3 +155,20 @@ def test_missing_columns_and_blocked_predictors(trained, tickets):
     assert router.score(bare).filter("predicted_group IS NULL OR confidence <= 0").count() == 0
     with pytest.raises(ValueError):
         M.fit_features(tickets, frequency=["subcategory", "close_code"])
+
+
+def test_histograms_are_one_product_or_slot_by_slot(monkeypatch):
+    rng = np.random.default_rng(4)
+    slots, classes, nodes = np.array([0, 3, 5, 12]), 4, 2
+    bins = np.asfortranarray(np.column_stack([rng.integers(0, n, 500) for n in np.diff(slots)]).astype(np.uint8))
+    g, h = rng.normal(size=(500, classes)), rng.random((500, classes))
+    at = rng.integers(-1, nodes, (classes, 500))
+    want = np.zeros((classes, 2, nodes, slots[-1]))
+    for k in range(classes):
+        for i in np.flatnonzero(at[k] >= 0):
+            want[k, 0, at[k, i], slots[:-1] + bins[i]] += g[i, k]
+            want[k, 1, at[k, i], slots[:-1] + bins[i]] += h[i, k]
+    monkeypatch.setattr(B, "PRODUCT_CELLS", 1000)  # several parts
+    product = B._histograms(bins, g, h, at, nodes, slots)
+    monkeypatch.setattr(B, "PRODUCT_SLOTS", 0)
+    assert np.allclose(product, want) and np.allclose(B._histograms(bins, g, h, at, nodes, slots), want)
