@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import attribution as A, embed as E, models as M, search as R
+from opsloom.operators import attribution as A, embed as E, models as M, search as R, tfidf as TT
 from opsloom.operators.split import random_split
 from opsloom.session import materialize
 
@@ -224,3 +224,18 @@ def test_every_turn_asks_for_similar_texts(spark):
     assert turns.filter("conv_id % 50 <> 0").count() > 0
     found = Q["similar_texts"](spark, sf).groupBy("query_id").count().collect()
     assert len(found) == turns.count() and all(r["count"] == 5 for r in found)
+
+
+def test_terms_of_embedded_texts_are_counted_once(spark, monkeypatch):
+    texts = [f"router{i % 4} disk{i % 3} failed word{i}" for i in range(40)] + [None, "the"]
+    df = spark.createDataFrame([(i if i else 1, t) for i, t in enumerate(texts)], "number int, semantic_text string")  # two texts of one id
+    counted, count = [], E.term_counts
+    monkeypatch.setattr(E, "term_counts", lambda *a: counted.append(1) or count(*a))
+    model, vectors = E.fit_transform(df, dimensions=6)
+    again = {r["number"]: r["embedding"] for r in model.transform(df).collect()}
+    assert len(counted) == 2  # one for the fit and its vectors, one for this reading
+    rows = vectors.collect()
+    assert len(rows) == 42 and all(np.allclose(r["embedding"], again[r["number"]], atol=1e-6) for r in rows)
+    weights = {(r["id"], r["ix"]): r["weight"] for r in TT.weights(df, model.vocab, "number", "semantic_text").collect()}
+    packed = {(r["id"], i): v for r in E.sparse_rows(df, model.vocab, "number", "semantic_text").collect() for i, v in zip(r["ix"], r["val"])}
+    assert packed == pytest.approx(weights)
