@@ -239,3 +239,14 @@ def test_terms_of_embedded_texts_are_counted_once(spark, monkeypatch):
     weights = {(r["id"], r["ix"]): r["weight"] for r in TT.weights(df, model.vocab, "number", "semantic_text").collect()}
     packed = {(r["id"], i): v for r in E.sparse_rows(df, model.vocab, "number", "semantic_text").collect() for i, v in zip(r["ix"], r["val"])}
     assert packed == pytest.approx(weights)
+
+
+def test_rows_are_explained_where_they_are(router, tickets, spark):
+    import contextlib
+    import io
+
+    scored = materialize(router[0].score(tickets).select("number", "features", "probability", "prediction"), "scored")
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        A.contributions(scored, A.tree_leaves(router[0].model, spark), output="prediction").explain()
+    assert "MapInArrow" in said.getvalue() and "Join" not in said.getvalue() and "FlatMapGroups" not in said.getvalue()
