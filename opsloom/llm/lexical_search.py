@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opsloom.llm.common import documents, small_batches
-from opsloom.session import written
+from opsloom.session import work_path
 from opsloom.sources.tables import table
 
 Q, S = {}, {}
@@ -43,10 +44,35 @@ LEAST, SLOPE = 10, 90  # a normaliser is 10 plus 90 times the length's ratio to
 SEGMENT_DOCS, SEGMENT_BYTES = 8192, 2_000_000
 BLOCK_TERMS = 200_000
 ROWS = 256
+STORED_BYTES = 16_000_000  # of a row group of a stored table, and of what a task reads of its files
+SCAN_ROWS = 16  # rows that a scan decodes at once; a segment is some 10 MB
 # A-Z to a-z; what is no letter, digit or part of a longer character to a blank.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``written`` in small row groups: a task holds one to write or read it, however large its part of the table. The writer
+    else looks at its size after 100 rows only, which may be segments."""
+    path = work_path(df.sparkSession, name)
+    df.write.options(**{"parquet.block.size": STORED_BYTES, "parquet.page.size.row.check.min": 1}).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_scans(spark):
+    """Jobs inside read stored tables in parts and batches whose bytes don't grow with the table."""
+    wanted = {"spark.sql.files.maxPartitionBytes": str(STORED_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(SCAN_ROWS)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        with small_batches(spark):
+            yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def terms_of(text: bytes) -> list[bytes]:
     return text.translate(TERM_BYTES).split()
 
@@ -135,16 +161,16 @@ class LexicalIndex:
 
 def build_index(docs: DataFrame) -> LexicalIndex:
     """Index every document with all its terms."""
-    with small_batches(docs.sparkSession):
+    with small_scans(docs.sparkSession):
         return _build_index(docs)
 
 
 def _build_index(docs: DataFrame) -> LexicalIndex:
-    rows = written(counted(docs), "term-counts")
+    rows = stored(counted(docs), "term-counts")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     n, terms = total["n"], total["terms"]
     m = F.expr(f"CAST({SLOPE} * n AS DECIMAL(20, 0)) * CAST({n} AS DECIMAL(18, 0)) div CAST({max(1, terms)} AS DECIMAL(20, 0)) + {LEAST}")
-    return LexicalIndex(written(segments(rows.withColumn("m", m)), "lexical-index"), n, terms)
+    return LexicalIndex(stored(segments(rows.withColumn("m", m)), "lexical-index"), n, terms)
 
 
 def frequencies(index: LexicalIndex, asked: frozenset[bytes]) -> dict[bytes, int]:
@@ -252,7 +278,7 @@ def search_block(index: LexicalIndex, wanted: dict, k: int) -> DataFrame | None:
     if not items:
         return None
     first = {r["item"]: r["score"] for r in ranked(sweep(index, items, [1] * len(items), k, True), k).filter(F.col("rank") == k).collect()}  # a row an item
-    found = written(ranked(sweep(index, items, [first.get(i, 1) for i in range(len(items))], k, False), k), "found")
+    found = stored(ranked(sweep(index, items, [first.get(i, 1) for i in range(len(items))], k, False), k), "found")
     spark = index.table.sparkSession
     kind = "string" if any(isinstance(i, str) for i, _, _ in items) else "bigint"
     ids = spark.createDataFrame([(n, i) for n, (i, _, _) in enumerate(items)], f"item int, item_id {kind}")
@@ -261,7 +287,7 @@ def search_block(index: LexicalIndex, wanted: dict, k: int) -> DataFrame | None:
 
 def search(index: LexicalIndex, items: DataFrame, k: int = K) -> DataFrame:
     """The ``k`` best documents of every item (``item_id``, ``text``) with a score above 0."""
-    with small_batches(items.sparkSession):
+    with small_scans(items.sparkSession):
         return _search(index, items, k)
 
 
@@ -275,7 +301,7 @@ def _search(index: LexicalIndex, items: DataFrame, k: int) -> DataFrame:
     kind = dict(items.dtypes)["item_id"]
     kind = kind if kind == "string" else "bigint"
     terms = items.select(F.col("item_id").cast(kind).alias("item_id"), "text").mapInArrow(split, f"item_id {kind}, term binary").distinct()
-    terms = written(terms, "item-terms")
+    terms = stored(terms, "item-terms")
     blocks = -(-terms.count() // BLOCK_TERMS)
     out = []
     for b in range(blocks):

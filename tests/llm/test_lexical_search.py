@@ -107,3 +107,22 @@ def test_visits_are_pruned(monkeypatch):
     seen.clear()
     here.best(terms, weights, 1, len(docs), False)
     assert opened < sum(seen)
+
+
+def test_stored_tables_are_read_in_bounded_parts(spark, tmp_path):
+    """Row groups, splits and decoded batches are bounded by bytes or rows, and the session's own settings come back."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    with M.small_scans(spark):
+        assert [int(spark.conf.get(n)) <= M.STORED_BYTES for n in names] == [True] * 3 and int(spark.conf.get(names[1])) == M.SCAN_ROWS
+        noise = lambda batches: (pa.RecordBatch.from_arrays([pa.array([os.urandom(10**6)])], ["x"]) for b in batches for _ in range(b.num_rows))
+        rows = spark.range(0, 60, 1, 1).mapInArrow(noise, "x binary")  # 60 MB in one part
+        kept = M.stored(rows, "row-groups")
+        sizes = [g.total_byte_size for f in kept.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for g in map(m.row_group, range(m.num_row_groups))]
+        assert len(sizes) > 1 and kept.count() == 60
+    assert [spark.conf.get(n) for n in names] == before
