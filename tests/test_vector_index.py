@@ -65,3 +65,22 @@ def test_only_earlier_vectors_match(spark):
         earlier = [j for j in range(n) if times[j] < times[i] and j != 5] if i != 5 else []
         want = sorted(earlier, key=lambda j: (-score[i, j], j))[:4]
         assert [m for _, m in sorted(got.get(i, []))] == want
+
+
+def test_candidates_are_scored_where_they_are_found(spark):
+    """No pair of a query and a candidate is joined with its vectors; over many blocks the search equals the exact one."""
+    import contextlib
+    import io
+
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(500, 16))
+    vectors[100:160] = vectors[3]
+    df = frame(spark, vectors)
+    index = I.build_code_index(df, work_path(spark, "codes"), k=3)
+    found = index.search(df, 3, candidates=500, exclude_self=True)
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        found.explain()
+    assert said.getvalue().count("Join") == said.getvalue().count("SortMergeJoin [grid_") == 1
+    key = lambda d: sorted((r["query_id"], r["rank"], r["match_id"], r["score"]) for r in d.collect())
+    assert key(found) == key(V.knn(df, df, 3, exclude_self=True))
